@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from gapweave.llm import quality
+from gapweave.llm import counts, html, packing, quality, urls
 
 
 def queries() -> dict:
-    return {"op7_quality_rules": quality.op7_quality_rules}
+    return {
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op6_url_filters": urls.op6_url_filters,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op8_token_counts": counts.op8_token_counts,
+        "op10_html_extraction": html.op10_html_extraction,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**quality.SQL}
+    return {**urls.SQL, **quality.SQL}
