@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from gapweave.llm import counts, html, packing, quality, urls
+from gapweave.llm import counts, html, langid, packing, quality, shards, urls
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op4_token_shards": shards.op4_token_shards,
         "op6_url_filters": urls.op6_url_filters,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_token_counts": counts.op8_token_counts,
+        "op9_language_id": langid.op9_language_id,
         "op10_html_extraction": html.op10_html_extraction,
     }
 
