@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gapweave.llm import counts, html, langid, packing, quality, shards, urls
+from gapweave.llm import counts, decontaminate, html, langid, packing, quality, shards, urls
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_token_shards": shards.op4_token_shards,
+        "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_url_filters": urls.op6_url_filters,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_token_counts": counts.op8_token_counts,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**urls.SQL, **quality.SQL}
+    return {**decontaminate.SQL, **urls.SQL, **quality.SQL}
