@@ -182,8 +182,11 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     )
 
 
-def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `df` with spans in `text_col` replaced: entities by class marks, terms generalised or taken out."""
+def redact(df: DataFrame, text_col: str = "text", measure: str | None = None) -> DataFrame:
+    """The rows of `df` with spans in `text_col` replaced: entities by class marks, terms generalised or taken out.
+
+    `measure` names a column, if there is one, that holds the length of the text.
+    """
     own = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
     got = all_spans(packed, F.col(f"_row.`{text_col}`"), ["_row"]).withColumn("_t", F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))
@@ -198,7 +201,17 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.aggregate(spans, start, put, lambda s: F.concat(s.out, F.substring(F.col("_t"), s.at + 1, F.length("_t"))))
     new = F.when(F.size(F.concat("spans", "term_spans")) > 0, text).otherwise(F.col(f"_row.`{text_col}`"))
-    return got.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in own])
+    changed = got.withColumn("_new", new).withColumn("_more", F.size("spans") + F.size("term_spans") > 0)
+
+    def column(c: str) -> Column:
+        old = F.col(f"_row.`{c}`")
+        if c == text_col:
+            return F.col("_new").alias(c)
+        if c == measure:
+            return F.when(F.col("_more"), F.length("_new").cast(df.schema[c].dataType)).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return changed.select(*[column(c) for c in own])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
