@@ -128,7 +128,7 @@ def disclosing_terms(words: DataFrame, spans: DataFrame) -> DataFrame:
     likely = stage(support.filter(F.col("texts") >= SUPPORT), "likely_terms")
     counts = None
     for block in in_blocks(likely.select("term").distinct()):
-        at = words.select(F.explode("_w").alias("w")).select(term(F.col("w")).alias("term"))
+        at = words.select(F.explode_outer("_w").alias("w")).select(term(F.col("w")).alias("term"))
         n = at.join(block, "term").groupBy("term").agg(F.count("*").alias("n_t"))
         counts = n if counts is None else counts.unionByName(n)
     entities = each.groupBy("entity").agg(F.count("*").alias("n_e"))
@@ -144,7 +144,7 @@ def term_spans(df: DataFrame, terms: DataFrame, id_cols: list[str]) -> DataFrame
     """For each row that has one, id columns and term_spans: where disclosing terms stand."""
     hits = None
     for block in in_blocks(terms):
-        at = df.select(*id_cols, "_w", F.posexplode("_w").alias("i", "w")).withColumn("term", term(F.col("w"))).join(block, "term")
+        at = df.select(*id_cols, "_w", F.posexplode_outer("_w").alias("i", "w")).withColumn("term", term(F.col("w"))).join(block, "term")
         start = (total(F.transform(F.slice("_w", F.lit(1), F.col("i")), lambda x: F.length(x) + 1)) + F.length("w") - F.length(F.ltrim(F.col("w"), F.lit(SIGNS)))).cast("int")
         got = at.select(*id_cols, start.alias("start"), (start + F.length("term")).alias("end"), F.col("term").alias("value"), "action")
         hits = got if hits is None else hits.unionByName(got)
