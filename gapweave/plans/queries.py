@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gapweave.functions import context, geometry as g, ids
-from gapweave.operators import evaluate, series, splits
+from gapweave.operators import evaluate, families, library, scoring, selection, series, splits, transfer
 from gapweave.plans import oracle as o
 from gapweave.sources.fixes import event_fixes
 
@@ -395,3 +395,389 @@ def _cyc(name: str, value: str, period: str) -> str:
 def temporal_context(spark, sf):
     found = context.temporal(F.col("start_time"), F.col("end_time"))
     return tasks_of(spark, sf).select("task_uid", *[c.alias(k) if k in ("diel_bin", "season") else r6(c, k) for k, c in found.items()])
+
+
+# --- priors, library, retrieval ------------------------------------------------------------
+
+PRIOR_VALUES = ["step_q50", "step_q90", "step_q95", "path_ratio_q25", "path_ratio_q50", "path_ratio_q75", "path_ratio_q90", "directness_q25", "directness_q50", "directness_q75"]
+
+
+def _q(c: str, *at: int) -> str:
+    return ", ".join(f"round(quantile_cont({c}, {a / 100}), 6) + 0.0 AS {{}}_q{a}" for a in at)
+
+
+PRIORS = o.tasks() + f""", tr AS (SELECT dataset, taxon, setting_name, {o.length('truth')} / greatest({o.dist('s', 'e')}, 1e-9) AS ratio, {o.directness('truth')} AS directness, {o.steps('truth')} AS steps FROM tasks),
+sr AS (SELECT dataset, taxon, setting_name, unnest(steps) AS step FROM tr),
+pa AS (SELECT dataset, taxon, setting_name, grouping(dataset, taxon, setting_name) AS gid, count(*) AS n_steps, {_q('step', 50, 90, 95).format('step', 'step', 'step')} FROM sr GROUP BY GROUPING SETS ((dataset, taxon, setting_name), (dataset, taxon), (taxon), ())),
+pb AS (SELECT dataset, taxon, setting_name, grouping(dataset, taxon, setting_name) AS gid, count(*) AS n_tasks, {_q('ratio', 25, 50, 75, 90).format(*['path_ratio'] * 4)}, {_q('directness', 25, 50, 75).format(*['directness'] * 3)} FROM tr
+ GROUP BY GROUPING SETS ((dataset, taxon, setting_name), (dataset, taxon), (taxon), ())),
+priors AS (SELECT CASE pa.gid WHEN 0 THEN 'dataset_taxon_setting' WHEN 1 THEN 'dataset_taxon' WHEN 5 THEN 'taxon' ELSE 'global' END AS level, CASE WHEN pa.gid = 7 THEN 'global' ELSE concat_ws('|', pa.dataset, pa.taxon, pa.setting_name) END AS key,
+ n_steps, n_tasks, {', '.join(PRIOR_VALUES)} FROM pa JOIN pb ON pa.gid = pb.gid AND pa.dataset IS NOT DISTINCT FROM pb.dataset AND pa.taxon IS NOT DISTINCT FROM pb.taxon AND pa.setting_name IS NOT DISTINCT FROM pb.setting_name)"""
+
+
+def priors_of(spark, sf):
+    return scoring.movement_priors(tasks_of(spark, sf))
+
+
+@query(o.with_(PRIORS) + "SELECT * FROM priors")
+def movement_priors(spark, sf):
+    return priors_of(spark, sf).select("level", "key", "n_steps", "n_tasks", *[r6(c) for c in PRIOR_VALUES])
+
+
+@query(o.with_(PRIORS) + """, few AS (SELECT * FROM priors WHERE NOT (level = 'dataset_taxon_setting' AND taxon_of IN ('puma', 'tiger')) AND NOT (level = 'dataset_taxon' AND taxon_of = 'tiger'))
+SELECT task_uid, coalesce(a.level, b.level, c.level, d.level) AS level, coalesce(a.step_q90, b.step_q90, c.step_q90, d.step_q90) AS step_q90 FROM tasks t
+LEFT JOIN few a ON a.level = 'dataset_taxon_setting' AND a.key = t.dataset || '|' || t.taxon || '|' || t.setting_name LEFT JOIN few b ON b.level = 'dataset_taxon' AND b.key = t.dataset || '|' || t.taxon
+LEFT JOIN few c ON c.level = 'taxon' AND c.key = t.taxon LEFT JOIN few d ON d.level = 'global'""".replace("FROM priors WHERE", "FROM (SELECT *, split_part(key, '|', 2) AS taxon_of FROM priors) WHERE"))
+def prior_lookup(spark, sf):
+    p = priors_of(spark, sf).withColumn("taxon_of", F.try_element_at(F.split("key", r"\|"), F.lit(2)))
+    gone = ((F.col("level") == "dataset_taxon_setting") & F.col("taxon_of").isin("puma", "tiger")) | ((F.col("level") == "dataset_taxon") & (F.col("taxon_of") == "tiger"))
+    found = scoring.with_priors(tasks_of(spark, sf), p.filter(~F.coalesce(gone, F.lit(False))))
+    return found.select("task_uid", F.col("prior.level").alias("level"), r6(F.col("prior.step_q90"), "step_q90"))
+
+
+SCALE_SQL = "round(greatest(1.4826 * (SELECT median(abs({c} - m.{c}_m)) FROM env, m), (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349, 1e-6), 6) + 0.0"
+
+
+@query(o.with_(o.tasks()) + ", env AS (SELECT (truth_env[1] + truth_env[len(truth_env)]) / 2 AS env_mean, truth_env[len(truth_env)] - truth_env[1] AS env_delta FROM tasks), m AS (SELECT median(env_mean) AS env_mean_m, median(env_delta) AS env_delta_m FROM env) "
+       + " UNION ALL ".join(f"SELECT '{c}' AS layer, {SCALE_SQL.format(c=c)} AS scale FROM env" for c in ("env_mean", "env_delta")))
+def context_scales(spark, sf):
+    found = library.context_scales(library.described(tasks_of(spark, sf)), ["env_mean", "env_delta"])
+    return spark.createDataFrame(list(found.items()), "layer string, scale double").select("layer", r6("scale"))
+
+
+DESCRIBED = ["n_points_scaled", "log_coarse_dt", "log_displacement", "log_base_step", "prev_step_log_ratio", "next_step_log_ratio", "incoming_alignment", "outgoing_alignment", "incoming_lateral_abs", "outgoing_lateral_abs", "context_sex_female"]
+
+
+def _leg(v: str, kind: str) -> str:
+    dx, dy = (f"({v[0]}.x - {v[1]}.x)", f"({v[0]}.y - {v[1]}.y)")
+    size = f"sqrt({dx} ** 2 + {dy} ** 2)"
+    body = {"cos": f"({dx} * (e.x - s.x) + {dy} * (e.y - s.y)) / ({size} * d)", "sin": f"abs({dy} * (e.x - s.x) - {dx} * (e.y - s.y)) / ({size} * d)", "log": f"ln(({size} + 1) / (d + 1))"}[kind]
+    return f"CASE WHEN {size} > 1e-9 AND d > 1e-9 THEN {body} ELSE 0.0 END"
+
+
+@query(o.with_(o.tasks()) + f""", x AS (SELECT *, {o.dist('s', 'e')} AS d FROM tasks), y AS (SELECT task_uid, n_points / 20.0 AS n_points_scaled, ln(1 + coarse_dt_min) AS log_coarse_dt, ln(1 + d) AS log_displacement, ln(1 + d / (n_points - 1)) AS log_base_step,
+{_leg(('s', 'prev'), 'log')} AS prev_step_log_ratio, {_leg(('nxt', 'e'), 'log')} AS next_step_log_ratio, {_leg(('s', 'prev'), 'cos')} AS incoming_alignment, {_leg(('nxt', 'e'), 'cos')} AS outgoing_alignment,
+{_leg(('s', 'prev'), 'sin')} AS incoming_lateral_abs, {_leg(('nxt', 'e'), 'sin')} AS outgoing_lateral_abs, CASE WHEN sex = 'F' THEN 1.0 ELSE 0.0 END AS context_sex_female FROM x) SELECT task_uid, {o.r6(*DESCRIBED)} FROM y""")
+def task_descriptor(spark, sf):
+    t = tasks_of(spark, sf)
+    found = library.descriptor(t)
+    return t.select("task_uid", *[r6(found[c], c) for c in DESCRIBED])
+
+
+def vectors(spark, sf) -> DataFrame:
+    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM e GROUP BY i)
+SELECT vec_id, (i - 1)::INT AS i, round((v - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 6) + 0.0 AS z FROM e JOIN s USING (i)""")
+def standardize(spark, sf):
+    v = vectors(spark, sf)
+    size = len(v.first().vec)
+    return v.select(F.col("id").alias("vec_id"), F.posexplode(library.scaled(F.col("vec"), library.scaler(v, "vec", size))).alias("i", "z")).select("vec_id", "i", r6("z"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+d AS (SELECT q.vec_id AS id, e.vec_id AS hit, sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - e.v[i]) ** 2))) AS distance FROM q, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, hit) AS rank FROM d) SELECT id, hit, round(distance, 6) + 0.0 AS distance, rank::INT AS rank FROM r WHERE rank <= 20""")
+def knn_topk(spark, sf):
+    v = vectors(spark, sf)
+    return library.nearest(v.filter("id % 50 = 0"), v, 20).select("id", "hit", r6("distance"), "rank")
+
+
+def split_tasks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Gaps for training and for testing, by the hash split."""
+    t = tasks_of(spark, sf).withColumn("split", splits.global_split(F.col("task_uid"))).persist()  # many plans read it
+    return t.filter("split = 'train'"), t.filter("split = 'test'")
+
+
+def retrieved(spark, sf):
+    train, test = split_tasks(spark, sf)
+    motifs = library.build(train).persist()
+    return test, motifs, library.retrieve(test, motifs).persist()
+
+
+@query()
+def motif_library(spark, sf):
+    m = library.build(split_tasks(spark, sf)[0])
+    return m.select("motif_id", "source_task_uid", "n_points", r6("motif_path_ratio"), r6("motif_directness"), r6("motif_lateral_mean"), "motif_lateral_sign", F.size("features").alias("n_features"))
+
+
+@query()
+def retrieve_rerank(spark, sf):
+    return retrieved(spark, sf)[2].select("task_uid", "motif_id", "retrieval_rank", r6("retrieval_score"), r6("descriptor_distance"), r6("context_temporal_cost"), r6("context_environment_cost"), r6("context_demographic_cost"))
+
+
+def scored_of(spark, sf):
+    test, motifs, hits = retrieved(spark, sf)
+    found = scoring.candidates(test, hits, motifs)
+    return scoring.score(found, scoring.movement_priors(split_tasks(spark, sf)[0])).persist(), test
+
+
+@query()
+def candidates(spark, sf):
+    test, motifs, hits = retrieved(spark, sf)
+    found = scoring.candidates(test, hits, motifs)
+    return found.select("task_uid", "candidate_id", "candidate_order", "style", "motif_id", "lateral_scale", "mirror", r6(g.path_length(F.col("path")), "length_m"))
+
+
+@query(o.with_(o.tasks()) + f", {o.PATHS}, " + """k AS (SELECT task_uid, method, CASE WHEN method = 'linear' THEN 'a' ELSE 'b' END AS style, list_transform(path, lambda p: {'x': round(p.x / 100), 'y': round(p.y / 100)}) AS key FROM paths),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_uid, key ORDER BY method) AS n FROM k) SELECT task_uid, method FROM r WHERE n = 1""")
+def candidate_dedupe(spark, sf):
+    from pyspark.sql import Window
+
+    key = F.transform("path", lambda p: F.struct(F.round(p.x / 100), F.round(p.y / 100)))
+    w = Window.partitionBy("task_uid", key).orderBy("method")
+    return paths_of(spark, sf).withColumn("n", F.row_number().over(w)).filter("n = 1").select("task_uid", "method")
+
+
+@query()
+def score_candidates(spark, sf):
+    scored, _ = scored_of(spark, sf)
+    return scored.select("task_uid", "candidate_id", "rank", r6("total_cost"), r6("listwise_probability"), *[r6(f"cost_{k}") for k in scoring.PROFILE])
+
+
+@query(o.with_(PAIRED) + """, z AS (SELECT task_uid, method, ADE / 1000 AS cost, min(ADE / 1000) OVER (PARTITION BY task_uid) AS m FROM metrics2)
+SELECT task_uid, method, row_number() OVER (PARTITION BY task_uid ORDER BY cost, method)::INT AS rank, round(exp(m - cost) / sum(exp(m - cost)) OVER (PARTITION BY task_uid), 6) + 0.0 AS p FROM z""")
+def listwise_prob(spark, sf):
+    m = evaluate.evaluate(paths_of(spark, sf)).select("task_uid", "method", (F.col("ADE") / 1000).alias("cost"))
+    return scoring.ranked(m, "cost", "method").select("task_uid", "method", "rank", r6("listwise_probability", "p"))
+
+
+@query(o.with_(o.tasks()) + f", {o.PATHS}, w AS (SELECT task_uid, list(path ORDER BY method) AS ps, list(CASE method WHEN 'linear' THEN 0.5 WHEN 'rtg_bridge' THEN 0.2 ELSE 0.3 END ORDER BY method) AS ws FROM paths GROUP BY task_uid), "
+       + "m AS (SELECT task_uid, list_transform(range(1, len(ps[1]) + 1), lambda i: {'x': list_sum(list_transform(range(1, 4), lambda j: ws[j] * ps[j][i].x)), 'y': list_sum(list_transform(range(1, 4), lambda j: ws[j] * ps[j][i].y))}) AS path FROM w) " + long_sql("m"))
+def weighted_path(spark, sf):
+    p = paths_of(spark, sf).withColumn("w", F.when(F.col("method") == "linear", 0.5).when(F.col("method") == "rtg_bridge", 0.2).otherwise(0.3))
+    lists = p.groupBy("task_uid").agg(F.array_sort(F.collect_list(F.struct("method", "path", "w"))).alias("a"))
+    lists = lists.select("task_uid", F.transform("a", lambda e: e["path"]).alias("ps"), F.transform("a", lambda e: e["w"]).alias("ws"))
+    return long_path(lists.withColumn("path", families.weighted_mean(F.col("ps"), F.col("ws"))))
+
+
+@query(o.with_(o.tasks()) + f", ab AS (SELECT task_uid, {o.LINEAR} AS a, {o.RTG} AS b FROM tasks), m AS (SELECT task_uid, list_transform(range(1, len(a) + 1), lambda i: {{'x': 0.75 * a[i].x + 0.25 * b[i].x, 'y': 0.75 * a[i].y + 0.25 * b[i].y}}) AS path FROM ab) " + long_sql("m"))
+def blend_paths(spark, sf):
+    t, (s, e, n) = tasks_of(spark, sf), (F.col(c) for c in ("start", "end", "n_points"))
+    both = t.withColumns({"a": g.linear_path(s, e, n), "b": g.rtg_path(s, e, n)})
+    return long_path(both.withColumn("path", g.blend(F.col("a"), F.col("b"), 0.25)))
+
+
+def family_paths(spark, sf) -> DataFrame:
+    """All weighted, blended, diverse and generated paths of the test gaps: task_uid, method, family, source_rank, path, cost."""
+    scored, test = scored_of(spark, sf)
+    train, _ = split_tasks(spark, sf)
+    weighted = families.representatives(scored)
+    mixed = families.blends(scored, weighted)
+    null = F.lit(None)
+    named = weighted.withColumns({"anchor": null.cast("string"), "lam": null.cast("double")}).unionByName(mixed)
+    name = families.method_name(*[F.col(c) for c in ("family", "score", "beta", "anchor", "lam")])
+    out = named.select("task_uid", name.alias("method"), null.cast("int").alias("source_rank"), "path")
+    for more in (families.diverse(scored), families.ecological(test, families.artifacts(train)), families.latent(train, test)):
+        out = out.unionByName(more.select("task_uid", "method", F.col("source_rank").cast("int"), "path"))
+    return out
+
+
+@query()
+def representatives(spark, sf):
+    scored, _ = scored_of(spark, sf)
+    made = families.representatives(scored)
+    return long_path(made, "path", "score", "beta")
+
+
+@query()
+def blend_grid(spark, sf):
+    scored, _ = scored_of(spark, sf)
+    mixed = families.blends(scored, families.representatives(scored))
+    return mixed.select("task_uid", families.method_name(*[F.col(c) for c in ("family", "score", "beta", "anchor", "lam")]).alias("method"), r6(g.path_length(F.col("path")), "length_m"))
+
+
+@query()
+def diverse_sr(spark, sf):
+    return families.diverse(scored_of(spark, sf)[0]).select("task_uid", "method", "source_rank", "candidate_id", r6(g.path_length(F.col("path")), "length_m"))
+
+
+@query()
+def ecological_paths(spark, sf):
+    train, test = split_tasks(spark, sf)
+    return long_path(families.ecological(test, families.artifacts(train)), "path", "method")
+
+
+@query()
+def latent_decoder(spark, sf):
+    train, test = split_tasks(spark, sf)
+    return long_path(families.latent(train, test), "path", "method")
+
+
+@query()
+def brownian_bridge(spark, sf):
+    return long_path(families.brownian(tasks_of(spark, sf)), "path", "method")
+
+
+# --- selection -----------------------------------------------------------------------------
+
+
+def paired_split(spark, sf):
+    return paired_of(spark, sf).withColumn("split", splits.global_split(F.col("task_uid")))
+
+
+SPLIT = PAIRED + ", ps AS (SELECT *, CASE WHEN h < 0.70 THEN 'train' WHEN h < 0.85 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, " + o.hash01("task_uid") + " AS h FROM paired))"
+CHOSEN = """SELECT {k} method, count(DISTINCT task_uid) AS n_tasks, median(ADE) AS ADE_median, median(RMSE) AS RMSE_median, median(path_length_log_error) AS length_error, median(delta_ADE_vs_linear) AS delta_median, avg(delta_ADE_vs_linear) AS delta_mean,
+avg(better_than_linear) AS win_rate, median(ade_ratio_to_linear) AS ade_ratio, median(rmse_ratio_to_linear) AS rmse_ratio, median(100 * (1 - ade_ratio_to_linear)) AS gain_pct FROM ps WHERE split = 'validation' AND method <> 'linear' GROUP BY {k} method"""
+
+
+@query(o.with_(SPLIT) + ", c AS (" + CHOSEN.format(k="") + """) SELECT method, n_tasks, round(win_rate, 6) + 0.0 AS win_rate, round(ade_ratio, 6) + 0.0 AS ade_ratio, CASE WHEN win_rate >= 0.55 AND ade_ratio <= 1 THEN 'selected_global_robust' ELSE 'best_available_no_global_eligible' END AS selection_reason
+FROM c ORDER BY (win_rate >= 0.55 AND ade_ratio <= 1) DESC, win_rate DESC, ade_ratio, rmse_ratio, length_error, method LIMIT 1""")
+def robust_global(spark, sf):
+    return selection.robust_global(paired_split(spark, sf), F.col("method") != "linear").select("method", "n_tasks", r6("win_rate"), r6("ade_ratio"), "selection_reason")
+
+
+@query(o.with_(SPLIT) + ", " + ", ".join(f"g{d} AS (SELECT *, -0.08 * gain_pct - 0.75 * win_rate + 0.02 * delta_median + 0.02 * RMSE_median + 0.35 * length_error AS score FROM ({CHOSEN.format(k=k)}))" for d, k in ((2, "dataset, setting_name,"), (1, "dataset,"), (0, "")))
+       + ", " + ", ".join(f"m{d} AS (SELECT {k} arg_min(method, row(score, ADE_median, RMSE_median, method)) AS m FROM g{d} {w} {grp})" for d, k, w, grp in (
+           (2, "dataset, setting_name,", "WHERE (-delta_median >= 1 OR gain_pct >= 1) AND win_rate >= 0.52 AND delta_mean <= 0", "GROUP BY dataset, setting_name"),
+           (1, "dataset,", "WHERE (-delta_median >= 1 OR gain_pct >= 1) AND win_rate >= 0.52 AND delta_mean <= 0", "GROUP BY dataset"), (0, "", "", "")))
+       + """ SELECT s.dataset, s.setting_name, coalesce(m2.m, m1.m, m0.m) AS method, CASE WHEN m2.m IS NOT NULL THEN 2 WHEN m1.m IS NOT NULL THEN 1 ELSE 0 END AS level FROM (SELECT DISTINCT dataset, setting_name FROM ps WHERE split = 'validation') s
+LEFT JOIN m2 ON m2.dataset = s.dataset AND m2.setting_name = s.setting_name LEFT JOIN m1 ON m1.dataset = s.dataset, m0""")
+def guarded_setting(spark, sf):
+    return selection.guarded(paired_split(spark, sf), F.col("method") != "linear", ["dataset", "setting_name"])
+
+
+RANKED_SQL = PAIRED + ", rk AS (SELECT task_uid, method, round(ADE, 6) AS ADE, row_number() OVER (PARTITION BY task_uid ORDER BY method) AS source_rank FROM metrics2)"
+
+
+def ranked_methods(spark, sf):
+    from pyspark.sql import Window
+
+    m = evaluate.evaluate(paths_of(spark, sf)).select("task_uid", "method", F.round("ADE", 6).alias("ADE"))
+    return m.withColumn("source_rank", F.row_number().over(Window.partitionBy("task_uid").orderBy("method")))
+
+
+@query(o.with_(RANKED_SQL) + """, e AS (SELECT *, unnest([1, 3, 5]) AS k FROM rk) SELECT task_uid, k::INT AS candidate_set_k, 'topk_top' || k || '_minADE_candidate_set' AS method, arg_min(method, row(ADE, method)) AS source_method, round(min(ADE), 6) + 0.0 AS ADE, count(*) AS n_in_set,
+true AS oracle_within_generated_set FROM e WHERE source_rank <= k GROUP BY task_uid, k""")
+def topk_oracle(spark, sf):
+    out = selection.topk_oracle(ranked_methods(spark, sf), (1, 3, 5))
+    return out.select("task_uid", "candidate_set_k", "method", "source_method", r6("ADE"), "n_in_set", "oracle_within_generated_set")
+
+
+@query(o.with_(RANKED_SQL) + """, f AS (SELECT *, CASE method WHEN 'linear' THEN 'a' ELSE 'b' END AS family FROM rk), r AS (SELECT *, row_number() OVER (PARTITION BY task_uid, family ORDER BY ADE, method) <= 1 AS by_quota FROM f),
+s AS (SELECT *, row_number() OVER (PARTITION BY task_uid ORDER BY by_quota DESC, ADE, method) AS set_rank FROM r) SELECT task_uid, method, family, by_quota, set_rank::INT AS set_rank FROM s WHERE set_rank <= 2""")
+def balanced_top10(spark, sf):
+    m = ranked_methods(spark, sf).withColumn("family", F.when(F.col("method") == "linear", "a").otherwise("b"))
+    return selection.balanced_set(m, "ADE", {"a": 1, "b": 1}, 2).select("task_uid", "method", "family", "by_quota", "set_rank")
+
+
+@query(o.with_(PAIRED) + "SELECT task_uid, CASE method WHEN 'linear' THEN 'Linear' ELSE 'RTG bridge' END AS paper_label, true AS is_deployable_top1 FROM metrics2 WHERE method IN ('linear', 'rtg_bridge')")
+def paper_labels(spark, sf):
+    m = evaluate.evaluate(paths_of(spark, sf))
+    return selection.reported(m, {k: selection.LABELS[k] for k in ("linear", "rtg_bridge")}).select("task_uid", "paper_label", "is_deployable_top1")
+
+
+def family_benchmark(spark, sf):
+    """Every family's paths against truth: the whole benchmark in one plan."""
+    test = split_tasks(spark, sf)[1]
+    all_ = family_paths(spark, sf).join(test.select("task_uid", "dataset", "taxon", "setting_name", "truth"), "task_uid")
+    m = evaluate.evaluate(all_.unionByName(evaluate.baselines(test).select("task_uid", "method", F.lit(None).cast("int").alias("source_rank"), "path", "dataset", "taxon", "setting_name", "truth")))
+    return evaluate.summary(evaluate.add_linear(m), ["method"]).select("method", "n_tasks", r6("ADE_median"), r6("better_than_linear_rate"), r6("ade_ratio_to_linear_median"))
+
+
+# --- transfer, few shot, folds -------------------------------------------------------------
+
+
+def units(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as source individuals, every tenth customer as a target; nation is the species, region the habitat."""
+    n = load(spark, sf, "nation")
+    s, c = load(spark, sf, "supplier"), load(spark, sf, "customer").filter("c_custkey % 10 = 0")
+    own = [F.col("n_name").alias("species_id"), F.col("n_regionkey").cast("string").alias("habitat_id")]
+    a = s.join(n, s.s_nationkey == n.n_nationkey).select(F.lit("d").alias("dataset"), F.col("s_suppkey").cast("string").alias("animal_id"), *own)
+    b = c.join(n, c.c_nationkey == n.n_nationkey).select(F.lit("d").alias("dataset"), F.col("c_custkey").cast("string").alias("animal_id"), *own)
+    return a, b
+
+
+UNITS = """a AS (SELECT DISTINCT s_suppkey::VARCHAR AS animal_id, n_name AS species_id, n_regionkey::VARCHAR AS habitat_id FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+b AS (SELECT DISTINCT c_custkey::VARCHAR AS animal_id, n_name AS species_id, n_regionkey::VARCHAR AS habitat_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0),
+pr AS (SELECT a.animal_id AS s, b.animal_id AS t, CASE WHEN a.species_id = b.species_id THEN 'same_species' ELSE 'different_species' END || '_' || CASE WHEN a.habitat_id = b.habitat_id THEN 'same_habitat' ELSE 'different_habitat' END AS relation FROM a, b WHERE a.animal_id <> b.animal_id)"""
+
+
+@query(o.with_(UNITS) + "SELECT s AS source_animal_id, t AS target_animal_id, relation AS transfer_relation FROM pr")
+def transfer_pairs(spark, sf):
+    return transfer.pairs(*units(spark, sf)).select("source_animal_id", "target_animal_id", "transfer_relation")
+
+
+@query(o.with_(UNITS) + "SELECT relation AS transfer_relation, count(*) AS n FROM pr GROUP BY relation")
+def transfer_counts(spark, sf):
+    return transfer.pairs(*units(spark, sf)).groupBy("transfer_relation").agg(F.count("*").alias("n"))
+
+
+@query(o.with_(UNITS) + """, c AS (SELECT b.animal_id, count(*) FILTER (relation = 'same_species_same_habitat') AS n_ss, count(*) FILTER (relation = 'same_species_different_habitat') AS n_sd, count(*) FILTER (relation = 'different_species_same_habitat') AS n_ds,
+count(*) FILTER (relation = 'different_species_different_habitat') AS n_dd, count(relation) AS n_total FROM b LEFT JOIN pr ON pr.t = b.animal_id GROUP BY b.animal_id)
+SELECT *, CASE WHEN n_ss > 0 THEN 'same_species_same_habitat' WHEN n_sd > 0 THEN 'same_species_different_habitat' WHEN n_ds > 0 THEN 'different_species_same_habitat' WHEN n_dd > 0 THEN 'different_species_different_habitat' ELSE 'no_training_source' END AS best_relation FROM c""")
+def transfer_support(spark, sf):
+    a, b = units(spark, sf)
+    return transfer.support(a, b, "animal_id")
+
+
+DAYS = (1, 3, 7, 14, 30)
+FEW = o.tasks() + f", dd AS (SELECT unnest([{', '.join(map(str, DAYS))}]) AS days), fs AS (SELECT t.task_uid, days, c.task_uid AS calibration_uid FROM tasks t JOIN dd ON true JOIN tasks c ON c.dataset = t.dataset AND c.taxon = t.taxon AND c.animal_id = t.animal_id AND c.end_time < t.start_time AND c.end_time >= t.start_time - to_days(days))"
+
+
+@query(o.with_(FEW) + "SELECT task_uid, days::INT AS days, calibration_uid FROM fs")
+def fewshot_calibration(spark, sf):
+    t = tasks_of(spark, sf)
+    return transfer.past_calibration(t, t, DAYS).select("task_uid", "days", "calibration_uid")
+
+
+@query(o.with_(FEW) + ", n AS (SELECT t.task_uid, d.days, count(fs.task_uid) AS n FROM tasks t CROSS JOIN dd d LEFT JOIN fs ON fs.task_uid = t.task_uid AND fs.days = d.days GROUP BY ALL) SELECT days::INT AS days, count(*) AS n_targets, count(*) FILTER (n > 0) AS n_covered, round(avg(n), 6) + 0.0 AS mean_gaps, median(n)::DOUBLE AS median_gaps FROM n GROUP BY days")
+def fewshot_coverage(spark, sf):
+    t = tasks_of(spark, sf)
+    return transfer.coverage(t, transfer.past_calibration(t, t, DAYS), DAYS).select("days", "n_targets", "n_covered", r6("mean_gaps"), "median_gaps")
+
+
+@query(o.with_(o.tasks()) + """, f AS (SELECT dataset || '|' || taxon || '|' || animal_id AS fold_key, count(*) AS n_test FROM tasks GROUP BY ALL ORDER BY fold_key LIMIT 8) SELECT (row_number() OVER (ORDER BY fold_key) - 1)::INT AS fold, fold_key, n_test, (SELECT count(*) FROM tasks) - n_test AS n_train FROM f""")
+def loio_folds(spark, sf):
+    return transfer.held_out_folds(tasks_of(spark, sf), F.concat_ws("|", "dataset", "taxon", "animal_id"))
+
+
+# --- environment and time joins ------------------------------------------------------------
+
+
+@query(o.with_(o.tasks()) + """, x AS (SELECT task_uid, truth_env AS t, list_transform(truth_env, lambda v: v * 0.5 + 10) AS p FROM tasks), y AS (SELECT task_uid, abs(list_median(p) - list_median(t)) AS raw, list_aggregate(t, 'quantile_cont', 0.75) - list_aggregate(t, 'quantile_cont', 0.25) AS iqr, list_aggregate(t, 'stddev_pop') AS dev FROM x)
+SELECT task_uid, round(raw, 6) + 0.0 AS env_abs_error, round(CASE WHEN iqr > 1e-9 THEN raw / iqr WHEN dev > 1e-9 THEN raw / dev END, 6) + 0.0 AS env_error FROM y""")
+def env_exposure_error(spark, sf):
+    t = tasks_of(spark, sf).withColumn("moved", F.transform("truth_env", lambda v: v * 0.5 + 10))
+    error, raw = transfer.exposure_error(F.col("truth_env"), F.col("moved"))
+    return t.select("task_uid", r6(raw, "env_abs_error"), r6(error, "env_error"))
+
+
+@query("""WITH p AS (SELECT event_id, user_id, value FROM events), c AS (SELECT (i // 20)::BIGINT AS row, (i % 20)::BIGINT AS col, i::DOUBLE AS v FROM range(0, 400) t(i))
+SELECT event_id, v AS layer FROM p LEFT JOIN c ON c.col = floor((value - 10) / 5)::BIGINT AND c.row = floor((100.0 - user_id) / 5)::BIGINT""")
+def raster_sample(spark, sf):
+    from gapweave.sources.tables import sample_raster
+
+    points = load(spark, sf, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+    cells = spark.range(400).select((F.col("id") / 20).cast("long").alias("row"), (F.col("id") % 20).alias("col"), F.col("id").cast("double").alias("value"))
+    return sample_raster(points, cells, 10.0, 100.0, 5.0, "layer").select("event_id", "layer")
+
+
+@query(o.with_(o.FIXES) + """, t AS (SELECT user_id::VARCHAR AS animal_id, event_id, ts + INTERVAL 5 HOUR AS time FROM events), m AS (SELECT event_id, t.time, f.time AS near_time, abs(date_diff('second', f.time, t.time)) / 60.0 AS gap, f.x,
+row_number() OVER (PARTITION BY event_id ORDER BY abs(date_diff('microsecond', f.time, t.time)), f.time) AS k FROM t JOIN fixes f ON f.animal_id = t.animal_id AND abs(date_diff('microsecond', f.time, t.time)) <= 360 * 60000000)
+SELECT event_id, near_time, x AS near_x FROM m WHERE k = 1""")
+def asof_nearest(spark, sf):
+    left = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("animal_id"), "event_id", F.timestamp_add("HOUR", F.lit(5), F.col("ts")).alias("time"))
+    return transfer.nearest_in_time(left, event_fixes(spark, sf), ["animal_id"], "time", ["x"], 360).select("event_id", "near_time", "near_x")
+
+
+@query(o.with_(o.tasks()) + """, s AS (SELECT task_uid AS segment_id, animal_id, start_time + INTERVAL 6 HOUR AS a, end_time + INTERVAL 6 HOUR AS b FROM tasks), t AS (SELECT *, CASE WHEN h < 0.70 THEN 'train' WHEN h < 0.85 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, """ + o.hash01("task_uid") + """ AS h FROM tasks)),
+m AS (SELECT segment_id, task_uid, split, row_number() OVER (PARTITION BY segment_id ORDER BY CASE split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, abs(date_diff('second', a, start_time)) + abs(date_diff('second', b, end_time)), task_uid) AS k
+FROM s JOIN t USING (animal_id) WHERE abs(date_diff('second', a, start_time)) <= 86400 AND abs(date_diff('second', b, end_time)) <= 86400) SELECT segment_id, task_uid, split FROM m WHERE k = 1""")
+def segment_task_match(spark, sf):
+    t = tasks_of(spark, sf).withColumn("split", splits.global_split(F.col("task_uid")))
+    later = lambda c: F.timestamp_add("HOUR", F.lit(6), F.col(c))
+    s = t.select(F.col("task_uid").alias("segment_id"), "animal_id", later("start_time").alias("seg_start"), later("end_time").alias("seg_end"))
+    return transfer.match_segments(s, t, 1440)
+
+
+@query(o.with_(o.tasks()) + f""", l AS (SELECT *, {o.LINEAR} AS path FROM tasks), p AS (SELECT task_uid, animal_id, i, n_points, start_time + to_minutes(((i - 1) * fine_dt_min)::INT) AS time, path[i].x AS x, path[i].y AS y, (i > 1 AND i < n_points)::INT AS filled FROM (SELECT *, unnest(range(1, n_points + 1)) AS i FROM l)),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY animal_id, time ORDER BY filled, task_uid) = 1)
+SELECT animal_id, strftime(time, '%Y-%m-%d') AS day, time, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, filled, (row_number() OVER (PARTITION BY animal_id, time::DATE ORDER BY time) - 1)::INT AS day_order FROM f""")
+def day_compose(spark, sf):
+    t = tasks_of(spark, sf).withColumn("path", g.linear_path(F.col("start"), F.col("end"), F.col("n_points")))
+    p = t.select("task_uid", "animal_id", "n_points", "start_time", "fine_dt_min", F.posexplode("path").alias("i", "p"))
+    time = F.timestamp_add("MINUTE", (F.col("i") * F.col("fine_dt_min")).cast("int"), F.col("start_time"))
+    p = p.select("task_uid", "animal_id", time.alias("time"), "p.x", "p.y", ((F.col("i") > 0) & (F.col("i") < F.col("n_points") - 1)).cast("int").alias("filled"))
+    return transfer.compose_days(p).select("animal_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "time", r6("x"), r6("y"), "filled", "day_order")
