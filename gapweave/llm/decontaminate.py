@@ -76,20 +76,23 @@ def overlaps(docs: DataFrame, items: DataFrame, id_cols: list[str], text_col: st
     for mask, least, below in MASKS:
         some = bench.filter(F.size("item") >= least) if below is None else bench.filter((F.size("item") >= least) & (F.size("item") < below))
         table_ = stage(
-            seeds(some, "item", mask, "seeds").select("item_id", "item", F.posexplode("seeds").alias("at", "seed")), "seeds"
+            seeds(some, "item", mask, "seeds").select("item_id", "item", F.posexplode_outer("seeds").alias("at", "seed")).filter("seed IS NOT NULL"), "seeds"
         )  # the benchmark only
         if table_.isEmpty():
             continue
-        placed = seeds(own, "own", mask, "seeds").select(*id_cols, "own", F.posexplode("seeds").alias("pos", "seed"))
+        # outer: else the optimizer filters by the size of the whole nested expression; a null seed meets nothing
+        placed = seeds(own, "own", mask, "seeds").select(*id_cols, "own", F.posexplode_outer("seeds").alias("pos", "seed"))
         for block in in_blocks(table_):
             hits = placed.join(block, "seed")
             eq, first = agreement(F.col("own"), F.col("item"), F.col("pos"), F.col("at"))
-            hits = hits.select(*id_cols, "item_id", "pos", "at", F.size("item").alias("item_words"), eq.alias("eq"), first.alias("first"))
+            # the row number keeps the test below out of the join, which then runs over positions without copying the text's hashes
+            hits = hits.select(*id_cols, "item_id", "pos", "at", "own", "item", F.monotonically_increasing_id().alias("_n"))
+            hits = hits.select(*id_cols, "item_id", "pos", "at", "_n", F.size("item").alias("item_words"), eq.alias("eq"), first.alias("first"))
             width = F.least(F.lit(WINDOW), F.col("item_words"))
             best = F.array_max(
                 F.transform(F.sequence(F.lit(1), F.greatest(F.size("eq") - width + 1, F.lit(1))), lambda k: total(F.slice("eq", k, width)))
             )
-            kept = hits.filter((F.size("eq") >= width) & (best >= width - tolerance(F.col("item_words")))).select(
+            kept = hits.filter((F.col("_n") >= 0) & (F.size("eq") >= width) & (best >= width - tolerance(F.col("item_words")))).select(
                 *id_cols, "item_id", "item_words", (F.col("pos") - F.col("at") + F.col("first")).alias("first_word"), total(F.col("eq")).alias("matched_words")
             )
             found = kept if found is None else found.unionByName(kept)
