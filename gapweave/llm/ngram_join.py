@@ -299,8 +299,8 @@ def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each group stays: the one whose id the component has. Rows without an id all stay."""
     found = join_components(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col)
     keep = stage(found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct(), "kept")
-    own = F.col(f"`{id_col}`")
-    return df.join(keep, own == F.col("_keep"), "left_semi").unionByName(df.filter(own.isNull()))
+    some = df.filter(F.col(f"`{id_col}`").isNotNull())
+    return some.join(keep, some[f"`{id_col}`"] == keep["_keep"], "left_semi").unionByName(df.filter(F.col(f"`{id_col}`").isNull()))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
