@@ -755,7 +755,7 @@ def raster_sample(spark, sf):
 
 
 @query(o.with_(o.FIXES) + """, t AS (SELECT user_id::VARCHAR AS animal_id, event_id, ts + INTERVAL 5 HOUR AS time FROM events), m AS (SELECT event_id, t.time, f.time AS near_time, abs(date_diff('second', f.time, t.time)) / 60.0 AS gap, f.x,
-row_number() OVER (PARTITION BY event_id ORDER BY abs(date_diff('microsecond', f.time, t.time)), f.time) AS k FROM t JOIN fixes f ON f.animal_id = t.animal_id AND abs(date_diff('microsecond', f.time, t.time)) <= 360 * 60000000)
+row_number() OVER (PARTITION BY event_id ORDER BY abs(date_diff('microsecond', f.time, t.time)), f.time) AS k FROM t JOIN fixes f ON f.animal_id = t.animal_id AND abs(date_diff('microsecond', f.time, t.time)) <= 21600000000)
 SELECT event_id, near_time, x AS near_x FROM m WHERE k = 1""")
 def asof_nearest(spark, sf):
     left = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("animal_id"), "event_id", F.timestamp_add("HOUR", F.lit(5), F.col("ts")).alias("time"))
