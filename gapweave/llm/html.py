@@ -165,8 +165,10 @@ class Page:
             if not self.unseen and not unseen:
                 if name == "br":
                     f = self.flows[-1]
-                    f.end_line() if f.now else f.part(1)
-                    f.gap = max(f.gap, 1)
+                    if f.now:
+                        f.part(1)
+                    elif f.lines:
+                        f.gap += 1
                 elif name == "hr":
                     self.flows[-1].part(2)
             return
