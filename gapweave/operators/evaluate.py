@@ -84,3 +84,13 @@ def formal_summary(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
 def pivot_methods(metrics: DataFrame, value: str, methods: Sequence[str]) -> DataFrame:
     """One row for each gap, one column for each method."""
     return metrics.groupBy("task_uid").pivot("method", list(methods)).agg(F.first(value))
+
+
+def metric_bundle(paired: DataFrame, folder: str, prefix: str, keys: dict[str, Sequence[str]] | None = None) -> None:
+    """Writes the metrics and their summaries by method, setting, species and individual."""
+    keys = keys or {"method": ["method"], "setting": ["dataset", "taxon", "setting_name", "method"], "species": ["taxon", "method"], "individual": ["dataset", "animal_id", "method"]}
+    rows = paired.persist()
+    rows.write.mode("overwrite").parquet(f"{folder}/{prefix}_task.parquet")
+    for name, by in keys.items():
+        summary(rows, by).write.mode("overwrite").parquet(f"{folder}/{prefix}_{name}.parquet")
+    rows.unpersist()

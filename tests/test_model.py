@@ -34,3 +34,21 @@ def test_streaming(spark, tmp_path):
     q.stop()
     got = {(r.animal_id, r.time.hour, r.x, r.filled) for r in spark.sql("SELECT * FROM filled").collect()}
     assert got == {("a", 0, 0.0, False), ("a", 1, 1.0, False), ("a", 2, 2.0, True), ("a", 3, 3.0, False), ("b", 0, 5.0, False)}
+
+
+def test_metadata(spark):
+    from gapweave.sources import metadata
+
+    tracks = spark.createDataFrame([("d", "tiger", "31899"), ("d", "tiger", "7")], "dataset string, taxon string, animal_id string")
+    meta = spark.createDataFrame([("x", "31899.0", "F", "sub adult"), ("y", "31899", "M", None), ("z", "8", None, None)], "note string, collar string, s string, a string")
+    assert metadata.key_column(meta, tracks) == "collar"
+    rows = {r.animal_id: r for r in metadata.attach(tracks, meta, "collar", "s", "a", order="note").collect()}
+    assert (rows["31899"].sex, rows["31899"].age_class, rows["31899"].species_id, rows["31899"].metadata_source) == ("female", "subadult", "panthera_tigris", "table")
+    assert (rows["7"].sex, rows["7"].transfer_unit) == ("unknown", "panthera_tigris__d")
+
+
+def test_metric_bundle(spark, tmp_path):
+    from gapweave.operators.evaluate import metric_bundle
+
+    metric_bundle(plans.paired_of(spark, SF), str(tmp_path), "val")
+    assert spark.read.parquet(str(tmp_path / "val_method.parquet")).count() == 3
