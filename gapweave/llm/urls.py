@@ -142,13 +142,13 @@ def swept(urls: DataFrame, rules: DataFrame, tasks: int) -> DataFrame:
 def by_suffix(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The same by an equi-join on each host suffix, for rule lists of any size."""
     labels = F.split("host", r"\.")
-    each = urls.withColumn("uid", F.monotonically_increasing_id())
-    suffixes = each.select("uid", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
+    each = urls.select("host", "path").distinct()
+    suffixes = each.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
     fit = suffixes.join(rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict"), "suffix").filter("startswith(path, rule_path)")
-    best = fit.groupBy("uid").agg(
+    best = fit.groupBy("host", "path").agg(
         F.max(F.struct(F.length("suffix") + F.length("rule_path"), F.length("suffix"), F.concat("suffix", "rule_path").alias("rule"), "verdict")).alias("b")
     )
-    return each.join(best, "uid", "left").select("id", "host", "path", "b.rule", "b.verdict")
+    return urls.join(best, ["host", "path"], "left").select("id", "host", "path", "b.rule", "b.verdict")
 
 
 def filter_urls(df: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url", default: str = "allow") -> DataFrame:
