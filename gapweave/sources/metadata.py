@@ -29,7 +29,7 @@ def attach(tracks: DataFrame, meta: DataFrame, key: str, sex: str | None = None,
     """
     pick = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
     w = Window.partitionBy("_key").orderBy(F.col(f"`{order or key}`"))
-    rows = meta.select(animal_key(pick(key)).alias("_key"), sex_label(pick(sex)).alias("_sex"), age_label(pick(age)).alias("_age"), F.nullif(text(pick(species)), F.lit("")).alias("_species"), F.row_number().over(w).alias("_r"))
+    rows = meta.withColumn("_key", animal_key(pick(key))).select("_key", sex_label(pick(sex)).alias("_sex"), age_label(pick(age)).alias("_age"), F.nullif(text(pick(species)), F.lit("")).alias("_species"), F.row_number().over(w).alias("_r"))
     joined = tracks.withColumn("_key", animal_key(F.col("animal_id"))).join(rows.filter("_r = 1").drop("_r"), "_key", "left")
     known = lambda c: F.nullif(c, F.lit("unknown"))
     own = lambda c, f: known(f(F.col(c))) if c in tracks.columns else F.lit(None).cast("string")
