@@ -126,11 +126,13 @@ def block_nearest(queries: DataFrame, part: DataFrame, k: int) -> DataFrame:
                 some = x.iloc[at : at + 512]
                 q = np.array(some["vec"].tolist(), float)
                 rough = norms - 2 * q @ mat.T
-                slack = min(len(ids), top + 16)
-                near = np.argpartition(rough, slack - 1, axis=1)[:, :slack]
-                exact = np.sqrt(((mat[near] - q[:, None, :]) ** 2).sum(axis=2))
-                order = np.lexsort((near, exact), axis=1)[:, :top]
-                hit, dist = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+                least = np.partition(rough, top - 1, axis=1)[:, top - 1] + 1e-9 * (norms.max() + (q * q).sum(axis=1))
+                hit, dist = np.empty((len(q), top), int), np.empty((len(q), top))
+                for i in range(len(q)):  # all ties of the last place take part, by exact distance and id
+                    near = np.flatnonzero(rough[i] <= least[i])
+                    exact = np.sqrt(((mat[near] - q[i]) ** 2).sum(axis=1))
+                    order = np.lexsort((near, exact))[:top]
+                    hit[i], dist[i] = near[order], exact[order]
                 yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), top), "hit": ids[hit.ravel()], "distance": dist.ravel(), "rank": np.tile(np.arange(1, top + 1, dtype=np.int32), len(some))})
 
     kind = dict(queries.dtypes)["id"]
