@@ -126,8 +126,10 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of `df` that pass, with their own columns; the metrics ride along, so nothing is joined."""
     own = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
-    judged = quality(packed.select("_row", F.col(f"_row.{text_col}").alias("_text")), "_row", "_text")
-    return judged.filter("kept").select("_row.*")
+    judged = quality(packed.select("_row", F.col(f"_row.`{text_col}`").alias("_text")), "_row", "_text")
+    # the row number keeps the filter above the metrics; pushed below, it would repeat them for each of its terms
+    numbered = judged.select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
+    return numbered.filter(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
