@@ -2,19 +2,22 @@
 
 Base spans are e-mail addresses, ip addresses, card and phone numbers by fixed
 patterns, leftmost first within a kind, failing matches dropped. Their values are
-the protected entities. Over the whole corpus, n(t, e) counts how often term t (a
-blank-separated word, lower-cased, outer signs cut off) stands within NEAR words
-of entity e and n(t) how often it stands anywhere; P(e | t) = n(t, e) / n(t) is
-what a reader of t knows of e. A term that does so in SUPPORT different texts or
-more, carries BITS of information on e and exceeds the disclosure threshold is a
-span too, wherever it stands: from GENERALISE on it is replaced by a class mark,
-from REMOVE on it is taken out.
+the protected entities. Over the distinct texts of the corpus, n(t, e) counts at
+how many mentions of entity e term t (a blank-separated word, lower-cased, outer
+signs cut off) stands within NEAR words and n(t) how often it stands anywhere;
+P(e | t) = n(t, e) / n(t) is what a reader of t knows of e. All terms near an
+entity are counted, also those of a single text. A term that carries BITS of
+information on e, exceeds the disclosure threshold and stands near e more often
+than chance explains is a span too, wherever it stands: from GENERALISE on it is
+replaced by a class mark, from REMOVE on it is taken out. Chance: a word stands
+near e with the share q of all words that do; n(t) draws have a tail of at most
+2 ** -(n(t) * KL(P, q)), which times the number of pairs (t, e) may be RISK.
 
 Null text counts as empty. All matches of whole texts are found, at any length;
-patterns do not backtrack. Equal texts are counted as often as they occur, but
-support counts each text once, so copies alone disclose nothing. Repeated ids are
-judged row by row; a null id is kept. Terms are joined in broadcast blocks, so hot
-terms need no shuffle. An empty table gives no rows. Other columns are ignored.
+patterns do not backtrack. Equal texts count once, so copies alone disclose
+nothing. Repeated ids are judged row by row; a null id is kept. Words are summed
+before the shuffle and terms joined in broadcast blocks, so hot terms are not
+shuffled one by one. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ PATTERNS = {
 #: What a text must have for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 NEAR = 5
-SUPPORT = 3
 BITS = 4.0
 GENERALISE, REMOVE = 0.5, 0.9
+#: How likely chance may make any term of the corpus a disclosing one.
+RISK = 0.05
 SIGNS = ".,;:!?()[]{}\"'"
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -118,25 +122,37 @@ def term(word: Column) -> Column:
     return F.lower(F.btrim(word, F.lit(SIGNS)))
 
 
+def left_blocks(df: DataFrame, table_: DataFrame, col: str) -> DataFrame:
+    """`df` with the column `col` that a staged table has for its text key, or null; joined in broadcast blocks, so texts stay where they are."""
+    blocks = in_blocks(table_)
+    own = df.columns
+    for i, block in enumerate(blocks):
+        df = df.join(block.withColumnRenamed(col, f"_b{i}"), ["_k1", "_k2"], "left")
+    return df.select(*own, F.coalesce(*[F.col(f"_b{i}") for i in range(len(blocks))]).alias(col))
+
+
 def disclosing_terms(words: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows (term, p, action) of the terms that exceed the disclosure thresholds. words: all texts split as _w."""
-    each = spans.select("_k1", "_k2", F.explode("around").alias("a")).select("_k1", "_k2", "a.entity", "a.terms")
+    """Rows (term, p, action) of the terms that exceed the disclosure thresholds. words: all texts split as _w, with their keys."""
+    copies = stage(spans.groupBy("_k1", "_k2").agg(F.count("*").alias("_c")).filter("_c > 1"), "copies")
+    once = left_blocks(words, copies, "_c").select("_w", (1 / F.coalesce(F.col("_c"), F.lit(1))).alias("weight"))
+    texts = spans.filter(F.size("around") > 0).groupBy("_k1", "_k2").agg(F.first("around").alias("around"))
+    each = stage(texts.select(F.explode("around").alias("a")).select("a.entity", "a.terms"), "mentions")
     own = each.select(term(F.regexp_extract("entity", "^[a-z]+:(.*)$", 1)).alias("term")).distinct()
-    pairs = each.select("_k1", "_k2", "entity", F.explode("terms").alias("term")).join(own, "term", "left_anti")
-    by_text = pairs.groupBy("entity", "term", "_k1", "_k2").agg(F.count("*").alias("n"))
-    support = by_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_te"))
-    likely = stage(support.filter(F.col("texts") >= SUPPORT), "likely_terms")
-    counts = None
-    for block in in_blocks(likely.select("term").distinct()):
-        at = words.select(F.explode_outer("_w").alias("w")).select(term(F.col("w")).alias("term"))
-        n = at.join(block, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-        counts = n if counts is None else counts.unionByName(n)
-    entities = each.groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_all = words.agg(F.sum(F.size("_w")).alias("n")).collect()[0].n or 1
+    pairs = each.select("entity", F.explode("terms").alias("term")).join(own, "term", "left_anti")
+    near_by = stage(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")), "near_terms")
+    at = once.select(F.explode_outer("_w").alias("w"), "weight").select(term(F.col("w")).alias("term"), "weight")
+    # weights of copies add up to whole numbers
+    counts = at.groupBy("term").agg(F.round(F.sum("weight")).alias("n_t"))
+    entities = each.groupBy("entity").agg(F.count("*").alias("n_e"), F.sum(F.size("terms")).alias("near"))
+    n_all = once.agg(F.round(F.sum(F.size("_w") * F.col("weight"))).alias("n")).collect()[0].n or 1.0
+    tested = max(1, near_by.count())
     p = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
-    bits = F.log2(F.col("p") * F.lit(float(n_all)) / F.col("n_e"))
-    joined = likely.join(counts, "term").join(entities, "entity").withColumn("p", p)
-    high = joined.filter((F.col("p") >= GENERALISE) & (bits >= BITS)).groupBy("term").agg(F.max("p").alias("p"))
+    bits = F.log2(F.col("p") * F.lit(n_all) / F.col("n_e"))
+    q = F.least(F.lit(1.0), F.col("near") / F.lit(n_all))
+    rest = F.when(F.col("p") < 1, (1 - F.col("p")) * F.log2((1 - F.col("p")) / (1 - q))).otherwise(F.lit(0.0))
+    beyond = (F.col("p") > q) & (F.col("n_t") * (F.col("p") * F.log2(F.col("p") / q) + rest) >= F.log2(F.lit(tested / RISK)))
+    joined = near_by.join(counts, "term").join(entities, "entity").withColumn("p", p)
+    high = joined.filter((F.col("p") >= GENERALISE) & (bits >= BITS) & beyond).groupBy("term").agg(F.max("p").alias("p"))
     return high.withColumn("action", F.when(F.col("p") >= REMOVE, "remove").otherwise("generalise"))
 
 
@@ -155,12 +171,12 @@ def term_spans(df: DataFrame, terms: DataFrame, id_cols: list[str]) -> DataFrame
 def all_spans(df: DataFrame, text: Column, carry: list[str]) -> DataFrame:
     """The columns `carry`, spans (base) and term_spans (those that touch no base span, by start)."""
     based = stage(base_spans(df, carry, text), "base_spans")
-    words = tokens(df.select(F.coalesce(text.cast("string"), F.lit("")).alias("_t")))
-    terms = stage(disclosing_terms(words, based), "terms")
+    # equal texts have equal spans, found twice and kept once
+    keyed = tokens(df.select(F.coalesce(text.cast("string"), F.lit("")).alias("_t"))).select("_w", *text_key(F.col("_t")))
+    terms = stage(disclosing_terms(keyed, based), "terms")
     if terms.isEmpty():
         return based.select(*carry, "spans", F.array().cast(SPANS).alias("term_spans"))
-    keyed = words.select("_w", *text_key(F.col("_t")))  # equal texts have equal spans, found twice and kept once
-    joined = based.join(stage(term_spans(keyed, terms, ["_k1", "_k2"]), "term_spans"), ["_k1", "_k2"], "left")
+    joined = left_blocks(based, stage(term_spans(keyed, terms, ["_k1", "_k2"]), "term_spans"), "term_spans")
     clear = F.filter("term_spans", lambda t: ~F.exists("spans", lambda s: (s.start < t.end) & (t.start < s.end)))
     by_start = F.array_sort(clear, lambda a, b: a.start - b.start)
     return joined.select(*carry, "spans", F.coalesce(by_start, F.array().cast(SPANS)).alias("term_spans"))

@@ -102,6 +102,18 @@ def test_pii_terms(spark):
     assert "zorblax" not in "".join(r.text for r in pii.redact(df).collect())
 
 
+def test_pii_terms_of_one_text(spark):
+    """A rare word beside an address of one text only gives it away in a corpus large enough to tell; copies change nothing."""
+    rng = np.random.default_rng(5)
+    filler = [" ".join(f"v{k}" for k in rng.integers(0, 50, 100)) for _ in range(200)]
+    texts = ["v1 v2 ask grobnik mail one@once.org v3 v4"] * 3 + ["ask v5"] * 4 + [f"ask v6 x{i}" for i in range(40)] + filler
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert all(got[i].n_terms == 2 and "term:10:17,term:18:22" in got[i].spans for i in range(3))
+    assert sum(r.n_terms for r in got.values()) == 6
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "v1 v2 ask   [EMAIL] v3 v4"
+
+
 def test_packing(docs, none):
     assert packing.pack(none).count() == 0
     rows = packing.pack(docs).collect()
