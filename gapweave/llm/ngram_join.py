@@ -11,7 +11,9 @@ Large groups cost no pairs within: in each prefix bucket sets are first held
 against the most central one, and links make components. What is left are pairs of
 sets in different components whose prefixes meet under every order, with sizes and
 positions that allow the similarity; all of them are verified, so no link between
-components is lost.
+components is lost. join_links then counts the links of every row: all pairs of
+distinct sets of a component are held against each other in cells of two blocks of
+sets, and a linked set counts with all its copies, as do a row's own copies.
 
 Null, empty and blank texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle. Repeated texts and ids are rows of their own
@@ -37,6 +39,8 @@ PART, OF = 100, 80
 ORDERS = 2
 #: Shingles that a task holds before it sends them.
 HOLD = 4_000_000
+#: Sets of a component in a block, about; two blocks make a cell.
+SIDE = 128
 TOKEN = np.uint64((1 << 56) - 1)
 HEAD = np.dtype([("sid", "<u8"), ("n", "<u4"), ("k", "<u4")])
 
@@ -268,8 +272,8 @@ def other_pairs(entries: DataFrame, roots: DataFrame, done: DataFrame) -> DataFr
     return every.join(known, ["a", "b"], "left_anti")
 
 
-def set_links(df: DataFrame, text_col: str) -> DataFrame:
-    """Rows (node, root): the sets that aren't the smallest set id of their component, and that one."""
+def set_links(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, root): the sets that aren't the smallest set id of their component, and that one; and the survivors."""
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets_ = stage(survivors(shared_shingles(df, text_col, buckets), buckets), "survivors")
     entries = stage(prefixes(sets_), "prefixes")
@@ -278,21 +282,80 @@ def set_links(df: DataFrame, text_col: str) -> DataFrame:
     roots = components(links)
     more = stage(verify(other_pairs(entries, roots, tried), sets_), "other_links")
     if more.isEmpty():
-        return roots
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        return roots, sets_
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), sets_
+
+
+def cell_links(n: list[int], tokens: list[np.ndarray], copies: list[int], block: list[int]) -> list[int]:
+    """For each set of a cell, how many rows it links with: of the other block, or in a cell of one block of all other sets."""
+    kinds, codes = np.unique(np.concatenate(tokens), return_inverse=True)
+    sizes = np.array([len(t) for t in tokens])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    n_, c, side = np.array(n), np.array(copies), np.array(block)
+    cross = len(set(block)) > 1
+    out = []
+    here = np.zeros(len(kinds), bool)
+    for a in range(len(n)):
+        mine = codes[begin[a] : begin[a + 1]]
+        here[mine] = True
+        both = np.add.reduceat(here[codes].astype(np.int64), begin[:-1])
+        here[mine] = False
+        good = PART * both >= OF * (n_[a] + n_ - both)
+        good &= side != side[a] if cross else np.arange(len(n)) != a
+        out.append(int(c[good].sum()))
+    return out
+
+
+def links_by_set(sets_: DataFrame, roots: DataFrame, copies: DataFrame) -> DataFrame:
+    """Rows (sid, linked): with how many rows of other sets each set of a component links. copies: rows (sid, copies)."""
+    buckets = int(sets_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root").distinct())
+    large = roots.groupBy("root").agg((F.count("*") + 1).alias("k")).filter(F.col("k") > SIDE)
+    blocks = F.coalesce(F.ceil(F.col("k") / SIDE), F.lit(1))
+    placed = members.join(F.broadcast(large), "root", "left").select("sid", "root", blocks.cast("int").alias("blocks"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    full = placed.join(copies, "sid").join(sets_.select("sid", "n", "tokens"), "sid")
+    cells = full.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "copies", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for (_, i, j), group in groupby(rows, lambda r: r[:3]):
+            block, sid, n, c, t = zip(*[r[3:] for r in group], strict=True)
+            if i != j and len(set(block)) < 2:
+                continue
+            got = cell_links(n, [np.frombuffer(x, "<u8") for x in t], c, block)
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(got, pa.int64())], ["sid", "linked"])
+
+    dealt = cells.repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(run, "sid long, linked long").groupBy("sid").agg(F.sum("linked").alias("linked"))
+
+
+def with_components(rows: DataFrame, roots: DataFrame, id_col: str, linked: DataFrame | None = None) -> DataFrame:
+    """Every row's id, n_shingles and component_id, and if links by set are given its n_links."""
+    per_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    rooted = stage(per_set.join(roots, per_set.sid == roots.node, "left").select("sid", "least", "copies", F.coalesce("root", "sid").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_set = rooted.join(least, "root").select("sid", "copies", "component_id")
+    out = [F.col("id").alias(id_col), "n_shingles", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")]
+    if linked is not None:
+        of_set = of_set.join(linked, "sid", "left")
+        out.append(F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links"))
+    return rows.join(of_set, "sid", "left").select(*out)
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, n_shingles and component_id, the smallest id that links reach."""
     rows = stage(sets(df, id_col, text_col), "sets")
-    roots = set_links(df, text_col)
-    per_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"))
-    rooted = stage(per_set.join(roots, per_set.sid == roots.node, "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = rooted.join(least, "root").select("sid", "component_id")
-    return rows.join(of_set, "sid", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return with_components(rows, set_links(df, text_col)[0], id_col)
+
+
+def join_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As join_components, and n_links: how many other rows each row links with."""
+    rows = stage(sets(df, id_col, text_col), "sets")
+    roots, sets_ = set_links(df, text_col)
+    copies = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"))
+    return with_components(rows, roots, id_col, stage(links_by_set(sets_, roots, copies), "links_by_set"))
 
 
 def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,4 +367,4 @@ def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(table(spark, sf_dir, "documents"))
+    return join_links(table(spark, sf_dir, "documents"))

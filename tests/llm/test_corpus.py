@@ -204,6 +204,26 @@ def test_ngram_join_chains(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(df).collect()) == classes(ids, texts)
 
 
+@pytest.mark.parametrize("side", [128, 7])
+def test_ngram_join_links(spark, docs, none, monkeypatch, side):
+    """Every row's links are counted, copies and links within a component too, in one block or many."""
+    monkeypatch.setattr(ngram_join, "SIDE", side)
+    assert ngram_join.join_links(none).count() == 0
+    rng = np.random.default_rng(2)
+    texts = [r.text for r in docs.collect()]
+    for base in range(2):
+        w = [f"b{base}w{i}" for i in range(100)]
+        for _ in range(40):
+            near = list(w)
+            for k in rng.integers(0, 100, rng.integers(0, 4)):
+                near[k] = f"e{rng.integers(1 << 30)}"
+            texts.append(" ".join(near))
+    every = [sets_of(t) for t in texts]
+    want = {i: sum(i != j and len(a) > 0 and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(every)) for i, a in enumerate(every)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_join.join_links(df).collect()} == want
+
+
 def test_shards(docs, none, tmp_path):
     assert shards.materialise(none, str(tmp_path / "none")).count() == 0
     rows = shards.materialise(docs, str(tmp_path / "some"), stride=64, shards=3).collect()
