@@ -40,7 +40,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes the files of staged tables that no later plan reads."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tasks_for(df: DataFrame, each: int = 16 << 20) -> int:
+    """Tasks for an exchange of `df`: the session's number, or more if the bytes of the files it reads ask for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # what isn't read from files claims to be endless
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known // each, 200_000))
+
+
+def addressed(df: DataFrame) -> DataFrame:
+    """Rows (_row, _file, _place): each row as a struct, and where it stands in the files that hold it.
+
+    A plan that is more than a scan with projections and filters is staged first, so an address names one row.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or not plan.metadataOutput().size():
+        df = stage(df, "rows")
+    at = df.metadataColumn("_metadata")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return df.select(row, F.xxhash64(at["file_path"]).alias("_file"), at["row_index"].alias("_place"))
 
 
 def words(text: Column) -> Column:

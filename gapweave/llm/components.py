@@ -1,16 +1,17 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Each round points every node at the smallest node it knows of; rounds are written
-to the shared folder, and they end when the links no longer change. Links never
-come to the driver; minima are combined before the shuffle, so a hub costs no more
-than its links.
+to the shared folder, the one before is deleted, and they end when the links no
+longer change. Links never come to the driver; minima are combined before the
+shuffle. A hub is one row on its side of a join, so its links may be split over
+tasks by the adaptive skew join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapweave.llm.common import stage
+from gapweave.llm.common import discard, stage
 
 
 def star(links: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     now = stage(now, "links")
     seen = None
     while True:
-        now = stage(star(star(now, True), False), "links")
+        before, now = now, stage(star(star(now, True), False), "links")
+        discard(before)
         # decimals: sums of hashes outgrow a long
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if mark == seen:

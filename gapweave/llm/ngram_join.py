@@ -1,24 +1,27 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles have a similarity of 0.8 or more.
 
-Equal sets are one class. A first exchange counts in how many distinct sets each
-shingle occurs: a task sends the sets of each bucket of shingles as one block, with
-copies left out, and gets back only shingles that other sets share. A set with too
-few of those has no partner. The rest is ordered rare shingles first, in several
-global orders that break ties by different hashes; partners must share a shingle
-of their prefixes under every order. Candidates are verified on whole sets.
+Equal sets are one class, told by 128 bits. A first exchange counts in how many
+distinct sets each shingle occurs: a task sends the sets of each bucket of shingles
+as one block, with copies left out, and gets back only shingles that other sets
+share. A set with too few of those has no partner. The rest is ordered rare
+shingles first, in ORDERS global orders that break ties by different hashes;
+partners must share a shingle of their prefixes under every order. Candidates meet
+by the first order's prefixes, those whose prefixes do not meet under each of the
+others are dropped, and what is left is verified on whole sets.
 
 Large groups cost no pairs within: in each prefix bucket sets are first held
 against the most central one, and links make components. What is left are pairs of
-sets in different components whose prefixes meet under every order, with sizes and
-positions that allow the similarity; all of them are verified, so no link between
-components is lost. join_links then counts the links of every row: all pairs of
-distinct sets of a component are held against each other in cells of two blocks of
-sets, and a linked set counts with all its copies, as do a row's own copies.
+sets in different components; a bucket of more than HOT sets is cut by a second
+shared shingle, which every pair that links has. All of them are verified, so no
+link between components is lost. join_links then counts the links of every row:
+all pairs of distinct sets of a component are held against each other in cells of
+two blocks of sets, and a linked set counts with all its copies, as do a row's own
+copies.
 
 Null, empty and blank texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle. Repeated texts and ids are rows of their own
 and share a component; a null id has no say in the smallest id. An empty table
-gives no rows. Other input columns are ignored.
+gives no rows. Other input columns are ignored. first_rows judges rows, not ids.
 """
 
 from __future__ import annotations
@@ -28,21 +31,27 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gapweave.llm.common import stage, table
+from gapweave.llm.common import addressed, discard, stage, table, tasks_for
 from gapweave.llm.components import components
 from gapweave.llm.shingles import mix, shingle_sets
 
 #: Two sets link if PART * |intersection| >= OF * |union|.
 PART, OF = 100, 80
-ORDERS = 2
+ORDERS = 3
 #: Shingles that a task holds before it sends them.
-HOLD = 4_000_000
-#: Sets of a component in a block, about; two blocks make a cell.
-SIDE = 128
+HOLD = 500_000
+#: Sets of a prefix bucket beyond which it is cut by a second shingle.
+HOT = 500
+#: Shingles of a component in a block, about; two blocks make a cell.
+WEIGHT = 200_000
+#: Rows that are dropped through a broadcast of their addresses; more of them go through a shuffle.
+FEW = 4_000_000
 TOKEN = np.uint64((1 << 56) - 1)
-HEAD = np.dtype([("sid", "<u8"), ("n", "<u4"), ("k", "<u4")])
+HEAD = (("hi", "<u8"), ("lo", "<u8"), ("n", "<u4"), ("k", "<u4"))
+KEY = ["hi", "lo"]
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -50,61 +59,93 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return -(-OF * n // PART)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 63-bit hash of a set."""
-    mixed = mix(s ^ np.uint64(0x5851F42D4C957F2D))
-    both = np.bitwise_xor.reduce(mixed, keepdims=True) + np.add.reduce(s, keepdims=True) + np.uint64(len(s))
-    return int(mix(both)[0] >> np.uint64(1))
+def set_ids(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, 0 for an empty one: two sums of hashes of its shingles."""
+    hi, lo = np.zeros(len(found), np.uint64), np.zeros(len(found), np.uint64)
+    n = np.array([len(s) for s in found], np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        tokens = np.concatenate([found[i] for i in some])
+        begin = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+        for out, salt in ((hi, 0x5851F42D4C957F2D), (lo, 0x14057B7EF767814F)):
+            out[some] = mix(np.add.reduceat(mix(tokens ^ np.uint64(salt)), begin) + n[some].astype(np.uint64))
+    return hi, lo
 
 
-def texts_of(batch: pa.RecordBatch, size: int = 2000) -> Iterator[tuple[list, list]]:
-    for at in range(0, batch.num_rows, size):
-        some = batch.slice(at, size)
-        yield some.column(0).to_pylist(), some.column(1).to_pylist()
+def texts_of(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch, whose last column is a text, of about `size` bytes of it, and their texts."""
+    text = batch.num_columns - 1
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        some = batch.slice(at, to - at)
+        yield some, some.column(text).to_pylist()
+        at = to
 
 
-def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n_shingles, sid), sid null for an empty set."""
+def sets(df: DataFrame, keep: str, text: Column) -> DataFrame:
+    """Rows (the columns `keep`, n_shingles, hi, lo), hi and lo null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in texts_of(batch):
+            for some, texts in texts_of(batch):
                 found = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) if len(s) else None for s in found], pa.int64())],
-                    ["id", "n_shingles", "sid"],
-                )
+                n = np.array([len(s) for s in found], np.int64)
+                ids = [pa.array(x.view(np.int64), pa.int64(), mask=n == 0) for x in set_ids(found)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(n), *ids], [*some.schema.names[:-1], "n_shingles", *KEY])
 
-    typed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return typed.mapInArrow(run, "id long, n_shingles long, sid long")
+    typed = df.select(*[c.split()[0] for c in keep.split(", ")], text.cast("string").alias("text"))
+    return typed.mapInArrow(run, f"{keep}, n_shingles long, hi long, lo long")
 
 
-def pack(head: np.ndarray, tokens: np.ndarray, rank: np.ndarray | None = None) -> bytes:
-    """Sets as bytes: their heads, their shingles in seven bytes each, and if given a rank in one byte."""
-    parts = [len(head).to_bytes(8, "little"), len(tokens).to_bytes(8, "little"), head.tobytes(), tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()]
+def pack(head: dict[str, np.ndarray], tokens: np.ndarray, rank: np.ndarray | None = None) -> bytes:
+    """Sets as bytes: their heads by column, their shingles in seven bytes each, and if given a rank in one byte."""
+    parts = [len(head["k"]).to_bytes(8, "little"), len(tokens).to_bytes(8, "little"), *[head[c].astype(t).tobytes() for c, t in HEAD]]
+    parts.append(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes())
     return b"".join(parts + ([rank.astype(np.uint8).tobytes()] if rank is not None else []))
 
 
-def unpack(blob: bytes, ranked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def unpack(blob: bytes, ranked: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray | None]:
     k, t = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
-    at = 16 + k * HEAD.itemsize
+    head, at = {}, 16
+    for c, kind in HEAD:
+        head[c] = np.frombuffer(blob, kind, k, at)
+        at += head[c].nbytes
     wide = np.zeros((t, 8), np.uint8)
     wide[:, :7] = np.frombuffer(blob, np.uint8, 7 * t, at).reshape(t, 7)
-    return np.frombuffer(blob, HEAD, k, 16), wide.view("<u8").ravel(), np.frombuffer(blob, np.uint8, t, at + 7 * t) if ranked else None
+    return head, wide.view("<u8").ravel(), np.frombuffer(blob, np.uint8, t, at + 7 * t) if ranked else None
 
 
-def by_bucket(sid: np.ndarray, n: np.ndarray, tokens: np.ndarray, own: np.ndarray, bucket: np.ndarray, rank: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
-    """A block for each bucket; own: each shingle's set, as an index into sid and n."""
+def joined(blobs: list[bytes], ranked: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray | None]:
+    """The blocks of a bucket as one."""
+    parts = [unpack(b, ranked) for b in blobs]
+    head = {c: np.concatenate([p[0][c] for p in parts]) for c, _ in HEAD}
+    return head, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]) if ranked else None
+
+
+def distinct(head: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first head of each set id, and for every head which of those it is."""
+    order = np.lexsort((head["lo"], head["hi"]))
+    hi, lo = head["hi"][order], head["lo"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def by_bucket(head: dict[str, np.ndarray], tokens: np.ndarray, own: np.ndarray, bucket: np.ndarray, rank: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """A block for each bucket; own: each shingle's set, as an index into the heads."""
     order = np.lexsort((own, bucket))
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for rows in np.split(order, cuts[1:]) if len(order) else []:
         kinds, k = np.unique(own[rows], return_counts=True)
-        head = np.zeros(len(kinds), HEAD)
-        head["sid"], head["n"], head["k"] = sid[kinds], n[kinds], k
-        yield int(bucket[rows[0]]), pack(head, tokens[rows], rank[rows] if rank is not None else None)
+        some = {c: head[c][kinds] for c in ("hi", "lo", "n")} | {"k": k}
+        yield int(bucket[rows[0]]), pack(some, tokens[rows], rank[rows] if rank is not None else None)
 
 
-def block_batches(found: Iterator[tuple[int, bytes]], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def block_batches(found: Iterator[tuple[int, bytes]], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     keys, blobs, size = [], [], 0
     for k, b in found:
         keys.append(k)
@@ -124,42 +165,42 @@ def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
         yield k, [b for _, b in group]
 
 
-def shared_shingles(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
+def shared_shingles(df: DataFrame, text: Column, buckets: int) -> DataFrame:
     """Rows (bucket of set ids, block): for each set the shingles that other sets have too, with the rank of their frequency."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
-        sids: list[int] = []
+        ids: list[tuple[int, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sizes = np.array([len(s) for s in held])
+            n = np.array([len(s) for s in held])
             tokens = np.concatenate(held) & TOKEN
-            own = np.repeat(np.arange(len(held)), sizes)
-            yield from block_batches(by_bucket(np.array(sids, np.uint64), sizes, tokens, own, (mix(tokens) % np.uint64(buckets)).astype(np.int64)))
+            hi, lo = np.array(ids, np.uint64).T
+            yield from block_batches(by_bucket({"hi": hi, "lo": lo, "n": n}, tokens, np.repeat(np.arange(len(held)), n), (mix(tokens) % np.uint64(buckets)).astype(np.int64)))
 
         size = 0
         for batch in batches:
             for _, texts in texts_of(batch):
-                for s in shingle_sets(texts):
-                    if len(s) and (i := set_id(s)) not in seen:
+                found = shingle_sets(texts)
+                for s, i in zip(found, zip(*(x.tolist() for x in set_ids(found)), strict=True), strict=True):
+                    if len(s) and i not in seen:
                         seen.add(i)
-                        sids.append(i)
+                        ids.append(i)
                         held.append(s)
                         size += len(s)
-                if size > HOLD:
-                    yield from flush()
-                    held, sids, size = [], [], 0
+                        if size > HOLD:
+                            yield from flush()
+                            held, ids, size = [], [], 0
         if held:
             yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in buckets_of(batches):
-            parts = [unpack(b) for b in blobs]
-            head = np.concatenate([p[0] for p in parts])
-            tokens, own = np.concatenate([p[1] for p in parts]), np.repeat(np.arange(len(head)), head["k"])
-            once = np.zeros(len(head), bool)
-            once[np.unique(head["sid"], return_index=True)[1]] = True  # copies that several tasks sent
+            head, tokens, _ = joined(blobs)
+            own = np.repeat(np.arange(len(head["k"])), head["k"])
+            once = np.zeros(len(head["k"]), bool)
+            once[distinct(head)[0]] = True  # copies that several tasks sent
             keep = once[own]
             tokens, own = tokens[keep], own[keep]
             order = np.argsort(tokens, kind="stable")
@@ -168,13 +209,11 @@ def shared_shingles(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
             df_ = np.repeat(often, often)
             rank = np.minimum(255, (8 * np.log2(df_)).astype(np.int64))
             some = order[df_ > 1]
-            yield from block_batches(
-                by_bucket(head["sid"], head["n"], tokens[some], own[some], (head["sid"][own[some]] % np.uint64(buckets)).astype(np.int64), rank[df_ > 1])
-            )
+            to = ((head["lo"] % np.uint64(buckets)).astype(np.int64))[own[some]]
+            yield from block_batches(by_bucket(head, tokens[some], own[some], to, rank[df_ > 1]))
 
     kinds = "bucket long, block binary"
-    typed = df.select(F.lit(0).alias("x"), F.col(text_col).cast("string").alias("text"))
-    dealt = typed.mapInArrow(send, kinds).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = df.select(text.cast("string").alias("text")).mapInArrow(send, kinds).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(count, kinds)
 
 
@@ -184,20 +223,17 @@ def order_key(k: int, tokens: np.ndarray) -> np.ndarray:
 
 
 def survivors(shared: DataFrame, buckets: int) -> DataFrame:
-    """Sets that share enough to have a partner: rows sid, n, m (shared shingles), far (how uncommon they are),
-    tokens (the shared ones, sorted), pre0, pre1, ... (their prefixes)."""
+    """Sets that share enough to have a partner: rows node (a number), hi, lo, n, m (shared shingles), far (how uncommon
+    they are), tokens (the shared ones, sorted), pre0 (the prefix under the first order and one shingle more), pre1, ... (prefixes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in buckets_of(batches):
-            parts = [unpack(b, True) for b in blobs]
-            head = np.concatenate([p[0] for p in parts])
-            tokens, rank = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-            kinds, of = np.unique(head["sid"], return_inverse=True)
+            head, tokens, rank = joined(blobs, True)
+            first, of = distinct(head)
             own = np.repeat(of, head["k"])
-            n = np.zeros(len(kinds), np.int64)
-            n[of] = head["n"]
-            m = np.bincount(own, minlength=len(kinds))
-            good = m >= least_shared(n)
+            n = head["n"][first].astype(np.int64)
+            m = np.bincount(own, minlength=len(first))
+            good = (m >= least_shared(n)) & (n >= 4)  # of fewer, only equal sets link
             order = np.argsort(own, kind="stable")
             begin = np.concatenate([[0], np.cumsum(m)])
             rows: list[tuple] = []
@@ -205,82 +241,92 @@ def survivors(shared: DataFrame, buckets: int) -> DataFrame:
                 at = order[begin[i] : begin[i + 1]]
                 t, r = tokens[at], rank[at]
                 p = int(m[i] - least_shared(n[i]) + 1)
-                pre = [t[np.lexsort((order_key(k, t), r))[:p]].astype(np.int64) for k in range(ORDERS)]
+                pre = [t[np.lexsort((order_key(k, t), r))[: p + (k == 0)]].astype(np.int64) for k in range(ORDERS)]
                 far = float((n[i] - m[i]) / n[i] + (255 - r.mean()) / 255)
-                rows.append((int(kinds[i]), int(n[i]), int(m[i]), far, np.sort(t).tobytes(), *pre))
+                rows.append((*(int(head[c][first[i]].view(np.int64)) for c in KEY), int(n[i]), int(m[i]), far, np.sort(t).tobytes(), *pre))
+                if len(rows) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows = []
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), *[pa.list_(pa.int64())] * ORDERS]
-                names = ["sid", "n", "m", "far", "tokens", *[f"pre{k}" for k in range(ORDERS)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), *[pa.list_(pa.int64())] * ORDERS]
+    names = ["hi", "lo", "n", "m", "far", "tokens", *[f"pre{k}" for k in range(ORDERS)]]
     dealt = shared.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "sid long, n long, m long, far double, tokens binary, " + ", ".join(f"pre{k} array<bigint>" for k in range(ORDERS)))
+    kinds = "hi long, lo long, n long, m long, far double, tokens binary, " + ", ".join(f"pre{k} array<bigint>" for k in range(ORDERS))
+    return dealt.mapInArrow(run, kinds).withColumn("node", F.monotonically_increasing_id())
 
 
 def prefixes(sets_: DataFrame) -> DataFrame:
-    """Rows (ord, token, sid, n, far, rest): the prefix entries under each order; rest: shared shingles from the entry on."""
-    out = None
-    for k in range(ORDERS):
-        one = sets_.select(F.lit(k).alias("ord"), "sid", "n", "m", "far", F.posexplode(f"pre{k}").alias("i", "token"))
-        one = one.select("ord", "token", "sid", "n", "far", (F.col("m") - F.col("i")).alias("rest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows (token, node, n, far, rest): the prefix entries under the first order; rest: shared shingles from the entry on."""
+    prefix = F.slice("pre0", F.lit(1), (F.col("m") - F.ceil(F.col("n") * OF / PART) + 1).cast("int"))
+    one = sets_.select("node", "n", "m", "far", F.posexplode(prefix).alias("i", "token"))
+    return one.select("token", "node", "n", "far", (F.col("m") - F.col("i")).alias("rest"))
 
 
 def verify(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    side = lambda x: sets_.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    """Those of the pairs (a, b) whose prefixes meet under the other orders too and that link."""
+    more = [f"pre{k}" for k in range(1, ORDERS)]
+    side = lambda x: sets_.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), *[F.col(c).alias(f"{c}{x}") for c in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [x.to_pylist() for x in batch.columns]
+            na, nb = (batch.column(j).to_pylist() for j in (2, 4))
+            ta, tb = batch.column(3), batch.column(5)
             keep = []
-            for i, (na, ta, nb, tb) in enumerate(zip(*c[2:], strict=True)):
-                if PART * min(na, nb) >= OF * max(na, nb):
-                    both = len(np.intersect1d(np.frombuffer(ta, "<u8"), np.frombuffer(tb, "<u8"), assume_unique=True))
-                    if PART * both >= OF * (na + nb - both):
+            for i in range(batch.num_rows):
+                if PART * min(na[i], nb[i]) >= OF * max(na[i], nb[i]):
+                    both = len(np.intersect1d(np.frombuffer(ta[i].as_buffer(), "<u8"), np.frombuffer(tb[i].as_buffer(), "<u8"), assume_unique=True))
+                    if PART * both >= OF * (na[i] + nb[i] - both):
                         keep.append(i)
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([c[k][i] for i in keep], pa.int64()) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ta", "nb", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    for c in more:
+        met = met.filter(F.arrays_overlap(f"{c}a", f"{c}b"))
+    return met.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
 def central_pairs(entries: DataFrame) -> DataFrame:
-    """Each set with the most central set that its prefix buckets name most often, under every order."""
-    hubs = entries.groupBy("ord", "token").agg(F.min(F.struct("far", "sid")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("ord", "token", F.col("hub.sid").alias("b"))
-    named = entries.join(hubs, ["ord", "token"]).filter("sid <> b").groupBy("sid", "b", "ord").agg(F.count("*").alias("k"))
-    every = named.groupBy("sid", "b").agg(F.count("*").alias("orders"), F.sum("k").alias("k")).filter(F.col("orders") == ORDERS)
-    return every.groupBy("sid").agg(F.max(F.struct("k", "b")).alias("best")).select(F.col("sid").alias("a"), F.col("best.b").alias("b"))
-
-
-def other_pairs(entries: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """All pairs of sets in different components whose prefixes meet under every order and could link by size and position."""
-    own = entries.join(roots, entries.sid == roots.node, "left").select("ord", "token", "sid", "n", "rest", F.coalesce("root", "sid").alias("root"))
-    mixed = own.groupBy("ord", "token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("ord", "token")
-    own = stage(own.join(mixed, ["ord", "token"], "left_semi"), "mixed_buckets")
-    a = own.select("ord", "token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("roota"))
-    b = own.select("ord", "token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("rootb"))
-    met = a.join(b, ["ord", "token"]).filter(
+    """Each set with the most central set that its prefix buckets name most often."""
+    hubs = entries.groupBy("token").agg(F.min(F.struct("far", "node")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("hub.node").alias("b"))
+    named = entries.join(hubs, "token").filter("node <> b").groupBy("node", "b").agg(F.count("*").alias("k"))
+    return named.groupBy("node").agg(F.max(F.struct("k", "b")).alias("best")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
+
+
+def other_pairs(entries: DataFrame, sets_: DataFrame, roots: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs of sets in different components whose prefixes meet under the first order and that could link by size
+    and position; and the staged entries that they are made from."""
+    own = entries.join(roots, "node", "left").select("token", "node", "n", "rest", F.coalesce("root", "node").alias("root"))
+    mixed = own.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).filter("x < y").select("token", (F.col("k") > HOT).alias("hot"))
+    own = stage(own.join(mixed, "token").withColumn("second", F.lit(None).cast("long")), "mixed_buckets")
+    # a pair that links shares at least four shingles: in a hot bucket also one behind the first that they share
+    after = sets_.select("node", "pre0")
+    cut = own.filter("hot").join(after, "node").select("token", "node", "n", "rest", "root", F.explode(F.expr("slice(pre0, array_position(pre0, token) + 1, size(pre0))")).alias("second"))
+    all_ = own.filter("NOT hot").select("token", "node", "n", "rest", "root", F.lit(0).cast("long").alias("second")).unionByName(cut)
+    a = all_.select("token", "second", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("roota"))
+    b = all_.select("token", "second", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("rootb"))
+    met = a.join(b, ["token", "second"]).filter(
         (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb"))
         & (PART * F.least("na", "nb") >= OF * F.greatest("na", "nb"))
         & ((PART + OF) * F.least("ra", "rb") >= OF * (F.col("na") + F.col("nb")))
     )
-    every = met.groupBy("a", "b").agg(F.count_distinct("ord").alias("orders")).filter(F.col("orders") == ORDERS).select("a", "b")
     known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return every.join(known, ["a", "b"], "left_anti")
+    return met.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), own
 
 
-def set_links(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, root): the sets that aren't the smallest set id of their component, and that one; and the survivors."""
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets_ = stage(survivors(shared_shingles(df, text_col, buckets), buckets), "survivors")
+def set_links(df: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, root): the sets that aren't the smallest node of their component, and that one; and the survivors."""
+    buckets = tasks_for(df)
+    sets_ = stage(survivors(shared_shingles(df, text, buckets), buckets), "survivors")
     entries = stage(prefixes(sets_), "prefixes")
     tried = stage(central_pairs(entries), "central_pairs")
     links = stage(verify(tried, sets_), "links")
     roots = components(links)
-    more = stage(verify(other_pairs(entries, roots, tried), sets_), "other_links")
+    pairs, own = other_pairs(entries, sets_, roots, tried)
+    more = stage(verify(pairs, sets_), "other_links")
+    discard(entries, tried, links, own)
     if more.isEmpty():
         return roots, sets_
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), sets_
@@ -307,63 +353,95 @@ def cell_links(n: list[int], tokens: list[np.ndarray], copies: list[int], block:
 
 
 def links_by_set(sets_: DataFrame, roots: DataFrame, copies: DataFrame) -> DataFrame:
-    """Rows (sid, linked): with how many rows of other sets each set of a component links. copies: rows (sid, copies)."""
-    buckets = int(sets_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = roots.select(F.col("node").alias("sid"), "root").unionByName(roots.select(F.col("root").alias("sid"), "root").distinct())
-    large = roots.groupBy("root").agg((F.count("*") + 1).alias("k")).filter(F.col("k") > SIDE)
-    blocks = F.coalesce(F.ceil(F.col("k") / SIDE), F.lit(1))
-    placed = members.join(F.broadcast(large), "root", "left").select("sid", "root", blocks.cast("int").alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    full = placed.join(copies, "sid").join(sets_.select("sid", "n", "tokens"), "sid")
-    cells = full.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "copies", "tokens")
+    """Rows (hi, lo, linked): with how many rows of other sets each set of a component links. copies: rows (hi, lo, copies)."""
+    tasks = tasks_for(sets_)
+    members = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    full = members.join(sets_.select("node", *KEY, "n", "m", "tokens"), "node").join(copies, KEY)
+    large = full.groupBy("root").agg(F.sum("m").alias("k")).filter(F.col("k") > WEIGHT).withColumn("blocks", F.ceil(F.col("k") / WEIGHT).cast("int"))
+    placed = full.join(stage(large, "large"), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "copies", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
         for (_, i, j), group in groupby(rows, lambda r: r[:3]):
-            block, sid, n, c, t = zip(*[r[3:] for r in group], strict=True)
+            block, node, n, c, t = zip(*[r[3:] for r in group], strict=True)
             if i != j and len(set(block)) < 2:
                 continue
             got = cell_links(n, [np.frombuffer(x, "<u8") for x in t], c, block)
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(got, pa.int64())], ["sid", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(got, pa.int64())], ["node", "linked"])
+
+    dealt = cells.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    linked = dealt.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return linked.join(sets_.select("node", *KEY), "node").select(*KEY, "linked")
+
 
-    dealt = cells.repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(run, "sid long, linked long").groupBy("sid").agg(F.sum("linked").alias("linked"))
+def classes(rows: DataFrame, sets_: DataFrame, roots: DataFrame, *found: Column) -> DataFrame:
+    """Rows (hi, lo, root, and `found` aggregated over the rows of the set); root null for a set alone in its component."""
+    per_set = rows.filter("n_shingles > 0").groupBy(*KEY).agg(*found)
+    members = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return per_set.join(sets_.select("node", *KEY).join(members, "node").select(*KEY, "root"), KEY, "left")
 
 
-def with_components(rows: DataFrame, roots: DataFrame, id_col: str, linked: DataFrame | None = None) -> DataFrame:
+def with_components(rows: DataFrame, sets_: DataFrame, roots: DataFrame, id_col: str, linked: DataFrame | None = None) -> DataFrame:
     """Every row's id, n_shingles and component_id, and if links by set are given its n_links."""
-    per_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    rooted = stage(per_set.join(roots, per_set.sid == roots.node, "left").select("sid", "least", "copies", F.coalesce("root", "sid").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = rooted.join(least, "root").select("sid", "copies", "component_id")
-    out = [F.col("id").alias(id_col), "n_shingles", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")]
+    per_set = stage(classes(rows, sets_, roots, F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
+    least = per_set.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("least_all"))
+    of_set = per_set.join(least, "root", "left").select(*KEY, "copies", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("least_all")).alias("component_id"))
+    out = [F.col("id").alias(id_col), "n_shingles", F.col("component_id")]
     if linked is not None:
-        of_set = of_set.join(linked, "sid", "left")
-        out.append(F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links"))
-    return rows.join(of_set, "sid", "left").select(*out)
+        of_set = of_set.join(linked, KEY, "left")
+        out.append((F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    found = rows.filter("n_shingles > 0").join(of_set, KEY).select(*out)
+    alone = rows.filter("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if linked is not None else []))
+    return found.unionByName(alone)  # rows without words meet no join, so they are no hot key
+
+
+def set_rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged rows (id, n_shingles, hi, lo) of every row, the components and the survivors."""
+    text = F.col(f"`{text_col}`")
+    rows = stage(sets(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text), "id long", text), "sets")
+    return rows, *set_links(df, text)
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, n_shingles and component_id, the smallest id that links reach."""
-    rows = stage(sets(df, id_col, text_col), "sets")
-    return with_components(rows, set_links(df, text_col)[0], id_col)
+    rows, roots, sets_ = set_rows(df, id_col, text_col)
+    return with_components(rows, sets_, roots, id_col)
 
 
 def join_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As join_components, and n_links: how many other rows each row links with."""
-    rows = stage(sets(df, id_col, text_col), "sets")
-    roots, sets_ = set_links(df, text_col)
-    copies = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"))
-    return with_components(rows, roots, id_col, stage(links_by_set(sets_, roots, copies), "links_by_set"))
+    rows, roots, sets_ = set_rows(df, id_col, text_col)
+    copies = rows.filter("n_shingles > 0").groupBy(*KEY).agg(F.count("*").alias("copies"))
+    linked = stage(links_by_set(sets_, roots, copies), "links_by_set")
+    return with_components(rows, sets_, roots, id_col, linked)
 
 
 def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group stays: the one whose id the component has. Rows without an id all stay."""
-    found = join_components(df.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col)
-    keep = stage(found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct(), "kept")
-    some = df.filter(F.col(f"`{id_col}`").isNotNull())
-    return some.join(keep, some[f"`{id_col}`"] == keep["_keep"], "left_semi").unionByName(df.filter(F.col(f"`{id_col}`").isNull()))
+    """One row of each group stays: the one with the smallest id, among rows of equal id any one of them.
+
+    Rows are told apart by where they stand in their files, so repeated and null
+    ids are rows like others; a group without any id keeps one row too. Rows
+    without words all stay. Texts are not shuffled: the addresses of the rows to
+    drop are broadcast as long as there are at most FEW of them, and beyond that
+    they meet the rows in a shuffle.
+    """
+    at = addressed(df)
+    text = F.col(f"_row.`{text_col}`")
+    some = at.select(F.col(f"_row.`{id_col}`").cast("long").alias("id"), "_file", "_place", text.alias("text"))
+    rows = stage(sets(some, "id long, _file long, _place long", F.col("text")), "sets")
+    roots, sets_ = set_links(some, F.col("text"))
+    place = F.struct(F.col("id").isNull().alias("x"), "id", *KEY, "_file", "_place")
+    per_set = stage(classes(rows, sets_, roots, F.min(place).alias("least")), "classes")
+    alone = per_set.filter("root IS NULL").select("least")
+    stay = alone.unionByName(per_set.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("least")).select("least"))
+    gone = rows.filter("n_shingles > 0").join(stay.select("least._file", "least._place"), ["_file", "_place"], "left_anti")
+    gone = stage(gone.select("_file", "_place"), "gone")
+    discard(rows, per_set, sets_)
+    small = gone.count() <= FEW
+    return at.join(F.broadcast(gone) if small else gone.hint("shuffle_merge"), ["_file", "_place"], "left_anti").select("_row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

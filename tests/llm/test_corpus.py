@@ -204,10 +204,45 @@ def test_ngram_join_chains(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(df).collect()) == classes(ids, texts)
 
 
-@pytest.mark.parametrize("side", [128, 7])
-def test_ngram_join_links(spark, docs, none, monkeypatch, side):
+def test_ngram_join_hot_buckets(spark, monkeypatch):
+    """Texts that share a passage in their prefixes, in buckets that are cut by a second shingle and in whole ones."""
+    rng = np.random.default_rng(4)
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = []
+    for k in range(30):
+        own = [f"o{k}x{i}" for i in range(int(rng.integers(0, 14)))]
+        for _ in range(int(rng.integers(1, 5))):
+            w = list(own)
+            if w and rng.random() < 0.5:
+                w[int(rng.integers(len(w)))] = f"e{rng.integers(1 << 30)}"
+            texts.append(f"{shared} {' '.join(w)}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (3, 10_000):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(df).collect())
+        assert got == classes(range(len(texts)), texts)
+
+
+def test_first_rows(spark, none):
+    """Rows are judged, not ids: repeated and null ids keep one row of each group, through a broadcast and through a shuffle."""
+    other = "an entirely different sentence about boats that sail over the calm sea at night while we sleep"
+    rows = [(1, BASE, 0), (5, BASE, 1), (5, other, 2), (3, BASE, 3), (3, BASE, 4), (None, LONG, 5), (None, LONG, 6), (None, LONG + " end", 7), (None, "", 8), (None, None, 9), (2, " ", 10), (2, " ", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").withColumns({c: F.lit("x") for c in ["_row", "_file", "_place", "id", "hi", "node"]})
+    for few in (1000, 0):
+        mp = pytest.MonkeyPatch()
+        mp.setattr(ngram_join, "FEW", few)
+        for x in (df, stage(df.repartition(4), "in"), stage(df, "in").filter("k >= 0")):
+            kept = ngram_join.first_rows(x)
+            got = {r.k for r in kept.collect()}
+            assert kept.columns == df.columns and got - {5, 6, 7} == {0, 2, 8, 9, 10, 11} and len(got) == 7
+        mp.undo()
+    assert ngram_join.first_rows(none).count() == 0 and ngram_join.first_rows(none).columns == none.columns
+
+
+@pytest.mark.parametrize("weight", [200_000, 700])
+def test_ngram_join_links(spark, docs, none, monkeypatch, weight):
     """Every row's links are counted, copies and links within a component too, in one block or many."""
-    monkeypatch.setattr(ngram_join, "SIDE", side)
+    monkeypatch.setattr(ngram_join, "WEIGHT", weight)
     assert ngram_join.join_links(none).count() == 0
     rng = np.random.default_rng(2)
     texts = [r.text for r in docs.collect()]
