@@ -81,6 +81,40 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def before(a: Column, op=lambda s, x: s + x, zero: Column | None = None, levels: int = 3, chunk: int = 16) -> Column:
+    """For each element of an array of longs what `op` makes of those before it, `zero` for the first.
+
+    Chunks are folded first, and the folds of the chunks before each are found in the same way, so the work is about
+    `chunk` / 2 steps an element; plain slices would take half the array for each.
+    """
+    zero = F.lit(0).cast("long") if zero is None else zero
+    fold = lambda x, start: F.aggregate(x, start, op)
+    upto = lambda x, start: F.transform(x, lambda _, i: fold(F.slice(x, F.lit(1), i), start))
+    if not levels:
+        return upto(a, zero)
+
+    def by_chunks(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+        chunks = F.transform(starts, lambda s: F.slice(v, s, chunk))
+        return bound(chunks, lambda c: bound(before(F.transform(c, lambda x: fold(x, zero)), op, zero, levels - 1, chunk), lambda t: F.flatten(F.zip_with(c, t, upto))))
+
+    return bound(a, by_chunks)
+
+
+#: Rows of a table that may be broadcast.
+FEW = 2_000_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A staged table as the small side of a join: broadcast up to FEW rows, counted first; beyond, both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= (FEW if rows is None else rows) else df.hint("shuffle_merge")
+
+
 def paired(a: Column, step: int, size: Column, f) -> Column:
     """f(a[i], a[i + step]) for every i below size - step; empty if there is none."""
     n = F.greatest(size - F.lit(step), F.lit(0))

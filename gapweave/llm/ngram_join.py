@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gapweave.llm.common import addressed, discard, stage, table, tasks_for
+from gapweave.llm.common import addressed, discard, few, stage, table, tasks_for
 from gapweave.llm.components import components
 from gapweave.llm.shingles import mix, shingle_sets
 
@@ -440,8 +440,7 @@ def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = rows.filter("n_shingles > 0").join(stay.select("least._file", "least._place"), ["_file", "_place"], "left_anti")
     gone = stage(gone.select("_file", "_place"), "gone")
     discard(rows, per_set, sets_)
-    small = gone.count() <= FEW
-    return at.join(F.broadcast(gone) if small else gone.hint("shuffle_merge"), ["_file", "_place"], "left_anti").select("_row.*")
+    return at.join(few(gone, FEW), ["_file", "_place"], "left_anti").select("_row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

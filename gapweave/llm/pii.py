@@ -4,7 +4,8 @@ Base spans are e-mail addresses, ip addresses, card and phone numbers by fixed
 patterns, leftmost first within a kind, failing matches dropped. Their values are
 the protected entities. Over the distinct texts of the corpus, n(t, e) counts at
 how many mentions of entity e term t (a blank-separated word, lower-cased, outer
-signs cut off) stands within NEAR words and n(t) how often it stands anywhere;
+signs cut off) stands within NEAR words and WIDE code points, up to the next match
+of the entity's kind, and n(t) how often it stands anywhere;
 P(e | t) = n(t, e) / n(t) is what a reader of t knows of e. All terms near an
 entity are counted, also those of a single text. A term that carries BITS of
 information on e, exceeds the disclosure threshold and stands near e more often
@@ -14,18 +15,19 @@ near e with the share q of all words that do; n(t) draws have a tail of at most
 2 ** -(n(t) * KL(P, q)), which times the number of pairs (t, e) may be RISK.
 
 Null text counts as empty. All matches of whole texts are found, at any length;
-patterns do not backtrack. Equal texts count once, so copies alone disclose
-nothing. Repeated ids are judged row by row; a null id is kept. Words are summed
-before the shuffle and terms joined in broadcast blocks, so hot terms are not
-shuffled one by one. An empty table gives no rows. Other columns are ignored.
+patterns do not backtrack, and places come from running sums, so a text with many
+spans or terms costs little more than its length. Equal texts count once, so copies
+alone disclose nothing. Repeated ids are judged row by row; a null id is kept.
+Words are summed before the shuffle, so a hot term is one row a task. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gapweave.llm.common import SPACE_CLASS, stage, table, total
-from gapweave.llm.decontaminate import in_blocks, text_key
+from gapweave.llm.common import FEW, SPACE_CLASS, SPACES, before, bound, few, stage, table, total
+from gapweave.llm.decontaminate import text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run is entered only at its start or after the last match, and never given back: one pass over any text.
@@ -37,7 +39,9 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-NEAR = 5
+NEAR, WIDE = 5, 200
+#: Code points of a text that are cut out of it together when it is put together anew.
+CUT = 1000
 BITS = 4.0
 GENERALISE, REMOVE = 0.5, 0.9
 #: How likely chance may make any term of the corpus a disclosing one.
@@ -45,6 +49,7 @@ RISK = 0.05
 SIGNS = ".,;:!?()[]{}\"'"
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+FOUND = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
 
 
 def valid(kind: str, m: Column) -> Column:
@@ -66,27 +71,29 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def found(kind: str, text: str) -> Column:
-    """The valid spans of a kind, in order."""
+    """The valid spans of a kind, in order, with the text before and after them up to the next match."""
     t, pattern = F.col(text), F.lit(PATTERNS[kind])
-    matches = F.regexp_extract_all(t, pattern, F.lit(0))
-    packed = F.struct(matches.alias("m"), F.transform(F.split(t, PATTERNS[kind], -1), lambda g: F.length(g)).alias("g"))
+    packed = F.struct(F.regexp_extract_all(t, pattern, F.lit(0)).alias("m"), F.split(t, PATTERNS[kind], -1).alias("g"))
 
     def place(p: Column) -> Column:
-        sizes = F.transform(p.m, lambda x: F.length(x))
+        begins = before(F.zip_with(F.slice(p.g, F.lit(1), F.size(p.m)), p.m, lambda x, y: (F.length(x) + F.length(y)).cast("long")))
         good = F.filter(F.transform(p.m, lambda x, i: F.struct(x.alias("value"), i.alias("i"))), lambda s: valid(kind, s.value))
-        return F.transform(
-            good,
-            lambda s: F.struct(
-                F.lit(kind).alias("kind"),
-                (total(F.slice(p.g, 1, s.i + 1)) + total(F.slice(sizes, 1, s.i))).cast("int").alias("start"),
-                (total(F.slice(p.g, 1, s.i + 1)) + total(F.slice(sizes, 1, s.i + 1))).cast("int").alias("end"),
-                s.value.alias("value"),
-            ),
-        )
+
+        def spans(b: Column) -> Column:
+            start = lambda s: (b[s.i] + F.length(p.g[s.i])).cast("int")
+            return F.transform(
+                good,
+                lambda s: F.struct(
+                    F.lit(kind).alias("kind"), start(s).alias("start"), (start(s) + F.length(s.value)).alias("end"), s.value.alias("value"),
+                    p.g[s.i].alias("left"), p.g[s.i + 1].alias("right"),
+                ),
+            )
+
+        return bound(begins, spans)
 
     tried = t.rlike("[0-9]") if kind == "card" else F.contains(t, F.lit(NEEDS[kind]))
-    here = F.when(tried & t.rlike(PATTERNS[kind]), F.element_at(F.transform(F.array(packed), place), 1))
-    return F.coalesce(here, F.array().cast(SPANS))
+    here = F.when(tried & t.rlike(PATTERNS[kind]), bound(packed, place))
+    return F.coalesce(here, F.array().cast(FOUND))
 
 
 def entity(s: Column) -> Column:
@@ -96,21 +103,24 @@ def entity(s: Column) -> Column:
 
 
 def near(s: Column) -> Column:
-    """The terms within NEAR words of a span of the text _t, of more than one character."""
-    t = F.col("_t")
-    words = lambda x: F.slice(F.filter(F.split(x, SPACE_CLASS), lambda w: w != ""), 1, NEAR)
-    before = F.transform(words(F.reverse(F.substring(t, F.lit(1), s.start))), lambda w: F.reverse(w))
-    after = words(F.substring(t, s.end + 1, F.length(t)))
-    return F.filter(F.array_distinct(F.transform(F.concat(before, after), term)), lambda w: F.length(w) > 1)
+    """The terms within NEAR words of a span, of more than one character; a word that the limit of WIDE cuts is none."""
+    cut = lambda x, w, at: F.when(F.length(x) > WIDE, F.slice(w, F.lit(at), F.size(w) - 1)).otherwise(w)
+    words = lambda x, side, at: F.filter(cut(x, F.split(side(x, F.lit(WIDE)), SPACE_CLASS), at), lambda w: w != "")
+    last = bound(words(s.left, F.right, 2), lambda w: F.slice(w, F.greatest(F.size(w) - (NEAR - 1), F.lit(1)), F.lit(NEAR)))
+    first = F.slice(words(s.right, F.left, 1), 1, NEAR)
+    return F.filter(F.array_distinct(F.transform(F.concat(last, first), term)), lambda w: F.length(w) > 1)
 
 
 def base_spans(df: DataFrame, carry: list[str], text: Column) -> DataFrame:
-    """The columns `carry`, the text key, spans (base, by kind, then start), and around: each span's entity and near terms."""
+    """The columns `carry`, the text key, _n (words), spans (base, by kind, then start), and around: each span's entity and near terms."""
     out = df.select(*carry, F.coalesce(text.cast("string"), F.lit("")).alias("_t"))
-    out = out.select("*", F.concat(*[found(k, "_t") for k in KINDS]).alias("spans"))
-    around = F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), near(s).alias("terms")))
+    out = out.select("*", F.concat(*[found(k, "_t") for k in KINDS]).alias("_found"))
+    spans = F.transform("_found", lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.value.alias("value")))
+    around = F.transform("_found", lambda s: F.struct(entity(s).alias("entity"), near(s).alias("terms")))
     none = F.array().cast("array<struct<entity:string,terms:array<string>>>")
-    return out.select(*carry, *text_key(F.col("_t")), "spans", F.when(F.size("spans") > 0, around).otherwise(none).alias("around"))
+    # the pieces of a split at each single blank
+    n = F.length("_t") - F.length(F.translate("_t", SPACES, "")) + 1
+    return out.select(*carry, *text_key(F.col("_t")), n.alias("_n"), spans.alias("spans"), F.when(F.size("_found") > 0, around).otherwise(none).alias("around"))
 
 
 def tokens(df: DataFrame) -> DataFrame:
@@ -122,29 +132,24 @@ def term(word: Column) -> Column:
     return F.lower(F.btrim(word, F.lit(SIGNS)))
 
 
-def left_blocks(df: DataFrame, table_: DataFrame, col: str) -> DataFrame:
-    """`df` with the column `col` that a staged table has for its text key, or null; joined in broadcast blocks, so texts stay where they are."""
-    blocks = in_blocks(table_)
-    own = df.columns
-    for i, block in enumerate(blocks):
-        df = df.join(block.withColumnRenamed(col, f"_b{i}"), ["_k1", "_k2"], "left")
-    return df.select(*own, F.coalesce(*[F.col(f"_b{i}") for i in range(len(blocks))]).alias(col))
-
-
 def disclosing_terms(words: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows (term, p, action) of the terms that exceed the disclosure thresholds. words: all texts split as _w, with their keys."""
-    copies = stage(spans.groupBy("_k1", "_k2").agg(F.count("*").alias("_c")).filter("_c > 1"), "copies")
-    once = left_blocks(words, copies, "_c").select("_w", (1 / F.coalesce(F.col("_c"), F.lit(1))).alias("weight"))
-    texts = spans.filter(F.size("around") > 0).groupBy("_k1", "_k2").agg(F.first("around").alias("around"))
-    each = stage(texts.select(F.explode("around").alias("a")).select("a.entity", "a.terms"), "mentions")
+    texts = spans.groupBy("_k1", "_k2").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first(F.when(F.size("around") > 0, F.col("around")), True).alias("around"))
+    texts = stage(texts, "texts")
+    each = stage(texts.filter("around IS NOT NULL").select(F.explode("around").alias("a")).select("a.entity", "a.terms"), "mentions")
     own = each.select(term(F.regexp_extract("entity", "^[a-z]+:(.*)$", 1)).alias("term")).distinct()
     pairs = each.select("entity", F.explode("terms").alias("term")).join(own, "term", "left_anti")
     near_by = stage(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")), "near_terms")
+    copies = stage(texts.filter("_c > 1").select("_k1", "_k2", "_c"), "copies")
+    once = words.join(few(copies), ["_k1", "_k2"], "left").select("_w", (1 / F.coalesce(F.col("_c"), F.lit(1))).alias("weight"))
     at = once.select(F.explode_outer("_w").alias("w"), "weight").select(term(F.col("w")).alias("term"), "weight")
+    asked = stage(near_by.select("term").distinct(), "asked_terms")
+    if asked.count() <= FEW:  # else words are summed before they meet the terms
+        at = at.join(F.broadcast(asked), "term", "left_semi")
     # weights of copies add up to whole numbers
     counts = at.groupBy("term").agg(F.round(F.sum("weight")).alias("n_t"))
     entities = each.groupBy("entity").agg(F.count("*").alias("n_e"), F.sum(F.size("terms")).alias("near"))
-    n_all = once.agg(F.round(F.sum(F.size("_w") * F.col("weight"))).alias("n")).collect()[0].n or 1.0
+    n_all = float(texts.agg(F.sum("_n").alias("n")).collect()[0].n or 1)
     tested = max(1, near_by.count())
     p = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
     bits = F.log2(F.col("p") * F.lit(n_all) / F.col("n_e"))
@@ -158,14 +163,33 @@ def disclosing_terms(words: DataFrame, spans: DataFrame) -> DataFrame:
 
 def term_spans(df: DataFrame, terms: DataFrame, id_cols: list[str]) -> DataFrame:
     """For each row that has one, id columns and term_spans: where disclosing terms stand."""
-    hits = None
-    for block in in_blocks(terms):
-        at = df.select(*id_cols, "_w", F.posexplode_outer("_w").alias("i", "w")).withColumn("term", term(F.col("w"))).join(block, "term")
-        start = (total(F.transform(F.slice("_w", F.lit(1), F.col("i")), lambda x: F.length(x) + 1)) + F.length("w") - F.length(F.ltrim(F.col("w"), F.lit(SIGNS)))).cast("int")
-        got = at.select(*id_cols, start.alias("start"), (start + F.length("term")).alias("end"), F.col("term").alias("value"), "action")
-        hits = got if hits is None else hits.unionByName(got)
-    each = F.struct(F.col("action").alias("kind"), "start", "end", "value")
-    return hits.dropDuplicates([*id_cols, "start"]).groupBy(*id_cols).agg(F.array_sort(F.collect_list(each)).alias("term_spans"))
+    at = before(F.transform("_w", lambda w: (F.length(w) + 1).cast("long")))
+    each = F.zip_with("_w", at, lambda w, x: F.struct(w.alias("w"), x.cast("int").alias("at")))
+    hits = df.select(*id_cols, F.explode_outer(each).alias("e")).select(*id_cols, term(F.col("e.w")).alias("value"), "e.w", "e.at").join(few(terms.withColumnRenamed("term", "value")), "value")
+    start = F.col("at") + F.length("w") - F.length(F.ltrim(F.col("w"), F.lit(SIGNS)))
+    hits = hits.select(*id_cols, start.alias("start"), (start + F.length("value")).alias("end"), "value", "action").dropDuplicates([*id_cols, "start"])
+    return hits.groupBy(*id_cols).agg(F.collect_list(F.struct(F.col("action").alias("kind"), "start", "end", "value")).alias("term_spans"))
+
+
+def clear(base: Column, terms: Column) -> Column:
+    """The term spans that touch no base span, by start."""
+    far = (1 << 31) - 1
+    is_base = lambda s: s.kind.isin(*KINDS)
+
+    def kept(a: Column) -> Column:
+        ends = before(F.transform(a, lambda s: F.when(is_base(s), s.end).otherwise(0).cast("long")), most)
+        starts = F.reverse(before(F.reverse(F.transform(a, lambda s: F.when(is_base(s), s.start).otherwise(far).cast("long"))), least, F.lit(far).cast("long")))
+        sides = F.struct(ends.alias("ends"), starts.alias("starts"))
+        each = bound(sides, lambda e: F.transform(a, lambda s, i: F.struct(s.alias("s"), (~is_base(s) & (e.ends[i] <= s.start) & (e.starts[i] >= s.end)).alias("ok"))))
+        return F.transform(F.filter(each, lambda x: x.ok), lambda x: x.s)
+
+    return bound(in_order(F.concat(base, terms)), kept)
+
+
+def in_order(spans: Column) -> Column:
+    """By start, longer ones first."""
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("x"), s.alias("s"))))
+    return F.transform(keyed, lambda k: k.s)
 
 
 def all_spans(df: DataFrame, text: Column, carry: list[str]) -> DataFrame:
@@ -176,10 +200,40 @@ def all_spans(df: DataFrame, text: Column, carry: list[str]) -> DataFrame:
     terms = stage(disclosing_terms(keyed, based), "terms")
     if terms.isEmpty():
         return based.select(*carry, "spans", F.array().cast(SPANS).alias("term_spans"))
-    joined = left_blocks(based, stage(term_spans(keyed, terms, ["_k1", "_k2"]), "term_spans"), "term_spans")
-    clear = F.filter("term_spans", lambda t: ~F.exists("spans", lambda s: (s.start < t.end) & (t.start < s.end)))
-    by_start = F.array_sort(clear, lambda a, b: a.start - b.start)
-    return joined.select(*carry, "spans", F.coalesce(by_start, F.array().cast(SPANS)).alias("term_spans"))
+    found = stage(term_spans(keyed, terms, ["_k1", "_k2"]), "term_spans")
+    joined = based.join(few(found), ["_k1", "_k2"], "left").select(*carry, "spans", "term_spans")
+    own = F.when(F.col("term_spans").isNull(), F.array().cast(SPANS)).otherwise(clear(F.col("spans"), F.col("term_spans")))
+    return joined.select(*carry, "spans", own.alias("term_spans"))
+
+
+def replaced(text: Column, spans: Column, marks: Column) -> Column:
+    """The text with each run of overlapping spans replaced by the mark of its first one."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    place = lambda x: F.floor(x / CUT).cast("int")
+
+    def cut(c: Column, a: Column, b: Column) -> Column:
+        some = F.array_join(F.slice(c, place(a) + 1, place(b - 1) - place(a) + 1), "")
+        return F.when(b > a, F.substring(some, (a % CUT + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+
+    def put(p: Column) -> Column:
+        each = F.transform(p.s, lambda x, i: F.struct(x.start.cast("long").alias("start"), x.kind.alias("kind"), p.reach[i].alias("upto")))
+        parts = F.transform(F.filter(each, lambda x: x.start >= x.upto), lambda x: F.concat(cut(p.c, x.upto, x.start), marks[x.kind]))
+        end = F.array_max(F.transform(p.s, lambda x: x.end.cast("long")))
+        return F.concat(F.array_join(parts, ""), cut(p.c, end, p.n))
+
+    def laid(s: Column) -> Column:
+        reach = before(F.transform(s, lambda x: x.end.cast("long")), most)
+        return bound(F.struct(s.alias("s"), reach.alias("reach"), chunks.alias("c"), F.length(text).cast("long").alias("n")), put)
+
+    return bound(in_order(spans), laid)
+
+
+def most(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def least(x: Column, y: Column) -> Column:
+    return F.least(x, y)
 
 
 def spelt(spans: Column, kind: Column | None = None) -> Column:
@@ -205,19 +259,11 @@ def redact(df: DataFrame, text_col: str = "text", measure: str | None = None) ->
     """
     own = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
-    got = all_spans(packed, F.col(f"_row.`{text_col}`"), ["_row"]).withColumn("_t", F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))
+    text = F.col(f"_row.`{text_col}`")
+    got = all_spans(packed, text, ["_row"]).withColumn("_all", F.concat("spans", "term_spans"))
     marks = F.create_map(*[F.lit(x) for kv in (MARKS | {"generalise": "[TERM]", "remove": ""}).items() for x in kv])
-    spans = F.array_sort(F.concat("spans", "term_spans"), lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(b.end - a.end))
-
-    def put(s: Column, x: Column) -> Column:
-        fresh = x.start >= s.at
-        gap = F.when(fresh, F.substring(F.col("_t"), s.at + 1, x.start - s.at)).otherwise(F.lit(""))
-        return F.struct(F.greatest(s.at, x.end).alias("at"), F.concat(s.out, gap, F.when(fresh, marks[x.kind]).otherwise(F.lit(""))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(spans, start, put, lambda s: F.concat(s.out, F.substring(F.col("_t"), s.at + 1, F.length("_t"))))
-    new = F.when(F.size(F.concat("spans", "term_spans")) > 0, text).otherwise(F.col(f"_row.`{text_col}`"))
-    changed = got.withColumn("_new", new).withColumn("_more", F.size("spans") + F.size("term_spans") > 0)
+    new = F.when(F.size("_all") > 0, replaced(text.cast("string"), F.col("_all"), marks)).otherwise(text)
+    changed = got.select("_row", (F.size("_all") > 0).alias("_more"), new.alias("_new"))
 
     def column(c: str) -> Column:
         old = F.col(f"_row.`{c}`")

@@ -114,6 +114,30 @@ def test_pii_terms_of_one_text(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "v1 v2 ask   [EMAIL] v3 v4"
 
 
+def test_pii_many_spans(spark):
+    """A text of many spans, with and without room between them, costs seconds; what overlaps is replaced once."""
+    import time
+
+    rng = np.random.default_rng(7)
+    part = lambda i: ["x%d@y.org" % i, "+49 (30) 1234 %05d" % i, "10.0.%d.%d" % (i % 256, i // 256 % 256), "é😀 word", "4111 1111 1111 1111"][int(rng.integers(5))]
+    text = "".join(part(i) + str(rng.choice([" ", "\n", ", ", " and more words "])) for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "x@y.zz"), (3, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    new = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert time.time() - began < 120
+    assert got[1].base_sha256 == hashlib.sha256(spans_of(text).encode()).hexdigest()
+    spans = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in got[1].spans.split(",")))
+    out, at = [], 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += [text[at:a], {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}.get(kind, "?")]
+        at = max(at, -b)
+    want = "".join(out) + text[at:]
+    assert got[1].n_terms or new[1] == want
+    assert new[2] == "[EMAIL]" and new[3] is None
+
+
 def test_packing(docs, none):
     assert packing.pack(none).count() == 0
     rows = packing.pack(docs).collect()
@@ -304,6 +328,42 @@ def test_decontaminate_tolerance(spark, bench):
     assert {r.doc_id for r in decontaminate.overlaps(df, bench, ["doc_id"]).collect()} == set(range(60))
 
 
+def test_decontaminate_brute(spark):
+    """All windows that agree well enough, for items of every length, repeated words and repeated rows included."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: [str(x) for x in rng.choice(list("abcdefghij"), n)]
+    items = [draw(int(n)) for n in rng.integers(2, 30, 25)] + [["so"] * 9, ["so"] * 40]
+    texts = []
+    for _ in range(60):
+        w = list(items[int(rng.integers(len(items)))])
+        for k in rng.integers(0, len(w), int(rng.integers(0, 4))):
+            w[int(k)] = "zz"
+        cut = int(rng.integers(0, 3))
+        texts.append(draw(int(rng.integers(0, 8))) + w[cut:] + draw(int(rng.integers(0, 8))))
+    texts += [["so"] * 300, texts[0]]
+    want = {}
+    for i, d in enumerate(texts):
+        for j, b in enumerate(items):
+            n = min(13, len(b))
+            least = n - (2 if len(b) >= 12 else 1 if len(b) >= 8 else 0)
+            for at in range(len(b) - n + 1):
+                for p in range(len(d) - n + 1):
+                    same = sum(x == y for x, y in zip(b[at : at + n], d[p : p + n], strict=True))
+                    if len(b) >= 4 and same >= least:
+                        old = want.get((i, j), (p, 0))
+                        want[i, j] = (min(p, old[0]), max(same, old[1]))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.overlaps(df.unionByName(df.limit(3)), bench.unionByName(bench), ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id): (r.first_word, r.matched_words) for r in rows} == want and len(rows) == len(want)
+
+
+def test_decontaminate_native(spark, docs, bench):
+    """No Python on the path, and no join or aggregate expression that the optimizer repeats as a filter."""
+    plan = decontaminate.overlaps(docs, bench, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan and plan.count("zip_with") <= 40
+
+
 def test_urls(spark):
     rng = np.random.default_rng(0)
     hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "x.net", "net", "a..com", ".com", "example.org"]
