@@ -60,16 +60,17 @@ def tasks_for(df: DataFrame, each: int = 16 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known // each, 200_000))
 
 
-def addressed(df: DataFrame) -> DataFrame:
-    """Rows (_row, _file, _place): each row as a struct, and where it stands in the files that hold it.
-
-    A plan that is more than a scan with projections and filters is staged first, so an address names one row.
-    """
+def read_from_files(df: DataFrame) -> DataFrame:
+    """`df` if each of its rows is a row of a file; a plan that is more than a scan with projections and filters is staged."""
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
-    if plan.nodeName() != "LogicalRelation" or not plan.metadataOutput().size():
-        df = stage(df, "rows")
+    return df if plan.nodeName() == "LogicalRelation" and plan.metadataOutput().size() else stage(df, "rows")
+
+
+def addressed(df: DataFrame) -> DataFrame:
+    """Rows (_row, _file, _place): each row as a struct, and where it stands in the files that hold it."""
+    df = read_from_files(df)
     at = df.metadataColumn("_metadata")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
     return df.select(row, F.xxhash64(at["file_path"]).alias("_file"), at["row_index"].alias("_place"))

@@ -1,13 +1,15 @@
 """Training-order materialisation of token ids as fixed-stride binary shards.
 
 Each text's ids, closed by an end id, are cut into records of STRIDE ids, the last
-one padded. A record's index is its task's number and its place in the task; a
-keyed Feistel permutation of the index space, cycle-walking back into it, gives
-its training position. Equal ranges of positions are the shards: a map task sends
-each shard one compressed block, a shard's task sorts what it gets and writes one
-file of equal records. A record's global slot is its rank in that order, the
-records of the shards before its own plus its place in its file, so slot to file
-and byte is one division and reading is sequential and can resume anywhere.
+one padded. A record's index is its place in the input: files by name, rows as they
+stand in them, pieces in order. It comes from a staged table of compressed blocks of
+ids, each a run of neighbouring rows, and running sums of their sizes, so it does
+not depend on how the input is split into tasks, and texts are tokenized once. A
+keyed Feistel permutation of the N indexes, cycle-walking back into them, gives each
+record its global slot. SHARD slots in a row are a shard: a map task sends each
+shard one compressed block, and a shard's task puts the records where they belong
+and writes one file of equal records. Slot to file and byte is one division, and
+reading is sequential and can resume anywhere.
 
 A shard is written under a temporary name and moved into place, and its bytes are
 a function of the input alone, so a task that is run again after a lost executor
@@ -26,18 +28,17 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gapweave.llm.common import shared_dir, stage, table
+from gapweave.llm.common import discard, few, read_from_files, shared_dir, stage, table
 from gapweave.llm.tokens import vocabulary, word_ids
 
 STRIDE = 256
 KEY = 20_240_229
-#: Records that a task can make; the index space is this for each task.
-PER_TASK = 1 << 40
-#: Bytes of records that a map task holds before it sends them.
-HOLD = 64 << 20
+#: Records of a shard, the last one of all aside.
+SHARD = 1 << 16
+#: Bytes of records that a task holds before it sends them.
+HOLD = 16 << 20
 NO_ID = -(1 << 63)
 
 
@@ -64,53 +65,61 @@ def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = 6) -> np
     return out
 
 
-def shard_of(position: np.ndarray, size: int, shards: int) -> np.ndarray:
-    """Equal ranges of positions."""
-    return np.minimum(position // np.uint64(-(-size // shards)), np.uint64(shards - 1)).astype(np.int64)
+def pack(docs: np.ndarray, pieces: np.ndarray, n: np.ndarray, ids: bytes, slots: np.ndarray | None = None) -> bytes:
+    """Records as bytes: what is known of each, then all ids, low bytes before high ones."""
+    both = np.frombuffer(ids, np.uint8).reshape(-1, 2).T
+    parts = [len(n).to_bytes(8, "little"), docs.astype("<i8").tobytes(), pieces.astype("<i4").tobytes(), n.astype("<i4").tobytes()]
+    parts += [slots.astype("<i8").tobytes() if slots is not None else b"", both.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
-def blocks(df: DataFrame, id_col: str, text_col: str, file: str, size: int, shards: int, stride: int, key: int, end_id: int) -> DataFrame:
-    """Rows (shard, block): the records that a task has for a shard."""
-    end = end_id.to_bytes(2, "little")
+def unpack(block: bytes, slotted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """docs, pieces, lengths, slots if there are any, and all ids one after the other."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    k = int.from_bytes(raw[:8], "little")
+    docs, pieces, n = np.frombuffer(raw, "<i8", k, 8), np.frombuffer(raw, "<i4", k, 8 + 8 * k), np.frombuffer(raw, "<i4", k, 8 + 12 * k)
+    at = 8 + 16 * k
+    slots = np.frombuffer(raw, "<i8", k, at) if slotted else None
+    both = np.frombuffer(raw, np.uint8, -1, at + 8 * k * slotted).reshape(2, -1)
+    return docs, pieces, n, slots, np.ascontiguousarray(both.T).view("<u2").ravel()
+
 
-    def send(held: list[tuple[int, int, bytes]], first: int) -> pa.RecordBatch:
-        docs, at, ids = (list(c) for c in zip(*held, strict=True))
-        n = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
-        tokens = np.frombuffer(b"".join(x.ljust(2 * stride, b"\0") for x in ids), "<u2").reshape(-1, stride)
-        position = permute(np.arange(first, first + len(ids), dtype=np.uint64), size, key)
-        shard = shard_of(position, size, shards)
-        order = np.lexsort((position, shard))
-        docs, at = np.array(docs, np.int64), np.array(at, np.int64)
-        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        pack = zstandard.ZstdCompressor(level=3)
-        out = [b"".join(x[rows].tobytes() for x in (position, docs, at, n)) for rows in np.split(order, cuts[1:])]
-        data = [pack.compress(len(rows).to_bytes(8, "little") + meta + tokens[rows].tobytes()) for meta, rows in zip(out, np.split(order, cuts[1:]), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(shard[order[cuts]], pa.int64()), pa.array(data, pa.binary())], ["shard", "block"])
+def blocks(df: DataFrame, id_col: str, text_col: str, file: str, stride: int, end_id: int) -> DataFrame:
+    """Rows (path, first, records, block): the records of neighbouring rows of a file, from row `first` on."""
+    end = end_id.to_bytes(2, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_ids(file, "<u2")
-        first = TaskContext.get().partitionId() * PER_TASK
-        if first >= size:
-            raise ValueError("the input has more tasks than it had when it was planned; write it as a table first")
         held: list[tuple[int, int, bytes]] = []
+        path = first = following = None
+
+        def send() -> pa.RecordBatch:
+            docs, pieces, ids = zip(*held, strict=True)
+            n = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
+            block = pack(np.array(docs, np.int64), np.array(pieces, np.int32), n, b"".join(ids))
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([block], pa.binary())], ["path", "first", "records", "block"])
+
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for here, row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (here != path or row != following or len(held) * 2 * stride >= HOLD):
+                    yield send()
+                    held = []
+                if not held:
+                    path, first = here, row
+                following = row + 1
                 ids = table.text(text) + end
-                for i in range(0, len(ids), 2 * stride):
-                    held.append((NO_ID if doc is None else doc, i // (2 * stride), ids[i : i + 2 * stride]))
-                    if len(held) * 2 * stride >= HOLD:
-                        yield send(held, first)
-                        first += len(held)
-                        held = []
+                held += [(NO_ID if doc is None else doc, i // (2 * stride), ids[i : i + 2 * stride]) for i in range(0, len(ids), 2 * stride)]
         if held:
-            yield send(held, first)
+            yield send()
 
-    typed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return typed.mapInArrow(cut, "shard long, block binary")
+    df = read_from_files(df)
+    at = df.metadataColumn("_metadata")
+    typed = df.select(at["file_path"].alias("path"), at["row_index"].alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return typed.mapInArrow(cut, "path string, first long, records long, block binary")
 
 
 def materialise(
-    df: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", file: str | None = None, shards: int | None = None,
+    df: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", file: str | None = None, per_shard: int = SHARD,
     stride: int = STRIDE, key: int = KEY, end_id: int = 0,
 ) -> DataFrame:
     """Writes the shards below the folder `to`, which all executors share.
@@ -118,69 +127,78 @@ def materialise(
     Rows doc_id, piece, length, ids_crc32 (of the padded record), shard, slot, byte_offset.
     """
     spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(1, df.rdd.getNumPartitions()) * PER_TASK
-    sent = blocks(df, id_col, text_col, file or vocabulary(), size, shards, stride, key, end_id)
+    cut = stage(blocks(df, id_col, text_col, file or vocabulary(), stride, end_id), "blocks")
+    files, total = [], 0
+    for path, n in sorted(tuple(r) for r in cut.groupBy("path").agg(F.sum("records")).collect()):  # a number per input file
+        files.append((path, total))
+        total += n
+    inside = F.coalesce(F.sum("records").over(Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = cut.select("path", "first", "records").withColumn("inside", inside).join(F.broadcast(spark.createDataFrame(files, "path string, before long")), "path")
+    bases = stage(bases.select("path", "first", (F.col("before") + F.col("inside")).alias("base")), "bases")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs, pieces, n, _, ids = unpack(block.as_buffer())
+                slots = permute(np.arange(base, base + len(n), dtype=np.uint64), total, key).astype(np.int64)
+                shard = slots // per_shard
+                order, begin = np.lexsort((slots, shard)), np.concatenate([[0], np.cumsum(n)])
+                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+                out = [pack(docs[r], pieces[r], n[r], b"".join(ids[begin[i] : begin[i + 1]].tobytes() for i in r.tolist()), slots[r]) for r in np.split(order, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[order[cuts]], pa.int64()), pa.array(out, pa.binary())], ["shard", "block"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(to if "://" in to else f"file://{to}")
         store.create_dir(folder, recursive=True)
-        unpack = zstandard.ZstdDecompressor()
         rows = ((s, b) for batch in batches for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for shard, group in groupby(rows, lambda r: r[0]):
-            metas, tokens = [], []
+            have = min(per_shard, total - shard * per_shard)
+            out, known = np.zeros((have, stride), "<u2"), np.zeros((3, have), np.int64)
             for _, block in group:
-                raw = unpack.decompress(block)
-                n = int.from_bytes(raw[:8], "little")
-                metas.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
-                tokens.append(np.frombuffer(raw, "<u2", n * stride, 8 + 32 * n).reshape(n, stride))
-            meta, ids = np.concatenate(metas, axis=1), np.concatenate(tokens)
-            order = np.argsort(meta[0].view(np.uint64), kind="stable")
-            meta, ids = meta[:, order], ids[order]
+                docs, pieces, n, slots, ids = unpack(block, True)
+                place = slots - shard * per_shard
+                known[:, place] = docs, pieces, n
+                out.ravel()[np.repeat(place * stride - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(ids))] = ids
             name = f"{folder}/shard-{shard:08d}.bin"
             temporary = f"{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as f:
-                f.write(ids.tobytes())
+                f.write(memoryview(out).cast("B"))
             store.move(temporary, name)
-            crc = [zlib.crc32(x) for x in ids]
+            crc = [zlib.crc32(x) for x in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(meta[1], pa.int64(), mask=meta[1] == NO_ID), pa.array(meta[2].astype(np.int32)), pa.array(meta[3].astype(np.int32)),
-                 pa.array(crc, pa.int64()), pa.array(np.full(len(ids), shard, np.int64)), pa.array(np.arange(len(ids), dtype=np.int64))],
-                ["doc_id", "piece", "length", "ids_crc32", "shard", "place"],
+                [pa.array(known[0], pa.int64(), mask=known[0] == NO_ID), pa.array(known[1].astype(np.int32)), pa.array(known[2].astype(np.int32)),
+                 pa.array(crc, pa.int64()), pa.array(np.full(have, shard, np.int64)), pa.array(np.arange(have, dtype=np.int64) + shard * per_shard)],
+                ["doc_id", "piece", "length", "ids_crc32", "shard", "slot"],
             )
 
-    kinds = "doc_id long, piece int, length int, ids_crc32 long, shard long, place long"
-    done = stage(sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(write, kinds), "records")
-    counts = sorted((r.shard, r.n) for r in done.groupBy("shard").agg(F.count("*").alias("n")).collect())  # a number per shard
-    before, total = [], 0
-    for shard, n in counts:
-        before.append((shard, total))
-        total += n
-    first = spark.createDataFrame(before, "shard long, first long")
-    return done.join(F.broadcast(first), "shard").select(
-        "doc_id", "piece", "length", "ids_crc32", "shard", (F.col("first") + F.col("place")).alias("slot"), (F.col("place") * (2 * stride)).alias("byte_offset")
-    )
+    dealt = cut.join(few(bases), ["path", "first"]).select("base", "block").mapInArrow(deal, "shard long, block binary")
+    kinds = "doc_id long, piece int, length int, ids_crc32 long, shard long, slot long"
+    tasks = min(max(1, -(-total // per_shard)), 200_000)
+    done = stage(dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(write, kinds), "records")
+    discard(cut, bases)
+    return done.select("doc_id", "piece", "length", "ids_crc32", "shard", "slot", (F.pmod("slot", F.lit(per_shard)) * (2 * stride)).alias("byte_offset"))
 
 
-def read_slots(to: str, counts: list[int], slot: int, n: int, stride: int = STRIDE) -> np.ndarray:
-    """The n records from a global slot on; counts: the records of each shard file, in order. For resumed readers."""
+def read_slots(to: str, slot: int, n: int, per_shard: int = SHARD, stride: int = STRIDE) -> np.ndarray:
+    """The n records from a global slot on, fewer at the end. For resumed readers."""
     from pyarrow import fs
 
     store, folder = fs.FileSystem.from_uri(to if "://" in to else f"file://{to}")
-    names = sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".bin"))
-    out = []
-    for name, have in zip(names, counts, strict=True):
-        if n > 0 and slot < have:
-            take = min(n, have - slot)
-            with store.open_input_file(name) as f:
-                f.seek(slot * 2 * stride)
-                out.append(np.frombuffer(f.read(take * 2 * stride), "<u2").reshape(-1, stride))
-            n -= take
-            slot = have
-        slot -= have
-    return np.concatenate(out) if out else np.zeros((0, stride), "<u2")
+    out = [np.zeros((0, stride), "<u2")]
+    while n > 0:
+        name, place = f"{folder}/shard-{slot // per_shard:08d}.bin", slot % per_shard
+        if store.get_file_info(name).type == fs.FileType.NotFound:
+            break
+        with store.open_input_file(name) as f:
+            f.seek(place * 2 * stride)
+            got = np.frombuffer(f.read(min(n, per_shard - place) * 2 * stride), "<u2").reshape(-1, stride)
+        if not len(got):
+            break
+        out.append(got)
+        slot, n = slot + len(got), n - len(got)
+    return np.concatenate(out)
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

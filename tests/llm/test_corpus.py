@@ -283,22 +283,43 @@ def test_ngram_join_links(spark, docs, none, monkeypatch, weight):
     assert {r.doc_id: r.n_links for r in ngram_join.join_links(df).collect()} == want
 
 
-def test_shards(docs, none, tmp_path):
+def test_shards(spark, docs, none, tmp_path):
+    """Slots are the permuted places of the records in the input, however it is dealt out; all ids come back."""
     assert shards.materialise(none, str(tmp_path / "none")).count() == 0
-    rows = shards.materialise(docs, str(tmp_path / "some"), stride=64, shards=3).collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    n = [sum(r.shard == s for r in rows) for s in sorted({r.shard for r in rows})]
-    back = shards.read_slots(str(tmp_path / "some"), n, 0, len(rows), 64)
-    tail = shards.read_slots(str(tmp_path / "some"), n, 5, len(rows), 64)
-    assert (back[5:] == tail).all()
-    ids = {r.slot: back[r.slot][: r.length] for r in rows}
-    assert all(zlib.crc32(back[r.slot].tobytes()) == r.ids_crc32 for r in rows)
     tok = tokens.WordIds(tokens.vocabulary()).tok
-    for doc in (0, 11, 13):
-        text = next(r.text for r in docs.collect() if r.doc_id == doc)
-        mine = sorted((r for r in rows if r.doc_id == doc), key=lambda r: (r.piece, r.slot))
-        if doc != 0:  # two rows share id 0
-            assert np.concatenate([ids[r.slot] for r in mine]).tolist() == tok.encode(text, add_special_tokens=False).ids + [0]
+    given = [(r.doc_id, r.text) for r in docs.collect()] * 2
+    records = []
+    for doc, text in given:
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
+        records += [(doc, k // 64, ids[k : k + 64]) for k in range(0, len(ids), 64)]
+    slots = shards.permute(np.arange(len(records), dtype=np.uint64), len(records)).tolist()
+    want = {s: r for s, r in zip(slots, records, strict=True)}
+    for parts in (1, 3, 17):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(given, parts), "doc_id long, text string").withColumns({"path": F.lit(1), "first": F.lit(2), "_metadata": F.lit(3)})
+        to = str(tmp_path / f"in{parts}")
+        rows = shards.materialise(df, to, stride=64, per_shard=100).collect()
+        back = shards.read_slots(to, 0, len(rows) + 5, 100, 64)
+        assert sorted(r.slot for r in rows) == list(range(len(records))) and len(back) == len(rows)
+        assert {r.slot: (r.doc_id, r.piece, back[r.slot][: r.length].tolist()) for r in rows} == want
+        assert all(zlib.crc32(back[r.slot].tobytes()) == r.ids_crc32 and not back[r.slot][r.length :].any() for r in rows)
+        assert all(r.shard == r.slot // 100 and r.byte_offset == r.slot % 100 * 128 for r in rows)
+        assert (back[5:250] == shards.read_slots(to, 5, 245, 100, 64)).all()
+
+
+def test_shards_splits(spark, tmp_path):
+    """One file, read in one and in many splits, gives the same slots."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" ")), 5).alias("text"))
+    df.coalesce(1).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "in"))
+    got, tasks = [], set()
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        one = spark.read.parquet(str(tmp_path / "in"))
+        tasks.add(one.rdd.getNumPartitions())
+        got.append({(r.doc_id, r.piece, r.slot) for r in shards.materialise(one, str(tmp_path / size), per_shard=500).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0] == got[1] and len(tasks) == 2
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 1000, 4097])
