@@ -1,14 +1,15 @@
 """Token counts of whole texts under a unigram vocabulary, by dynamic programming shared over a trie.
 
 Pre-tokens are the blank-separated words, each led by the vocabulary's word mark.
-The distinct ones of a block are walked in the order of a trie: the best forward
-score of a prefix is computed once and stands for all words that share it; a
-word's end holds its count. A piece of rank r scores -round(10^6 ln(r + 2));
-characters without a piece fall back to their bytes. The segmentation of the
-highest score counts, among equals the shortest.
-
-Null and blank texts have no tokens. Very long words take time linear in their
-length. Rows are counted one by one, so repeats, ties and skew change nothing.
+The distinct ones of a block are inserted into a trie and the trie is walked once:
+the best forward score of a node stands for all words that share its prefix, and a
+word's last node holds its count. No vocabulary file at hand has unigram scores, so
+they follow from the ranks of its pieces: rank r scores -round(10^6 ln(r + 2)), as
+if frequency fell with the rank; characters without a piece fall back to their
+bytes. The segmentation of the highest score counts, among equals the shortest.
+
+Null and blank texts have no tokens. Words of more than LONG characters are scored
+alone, in time linear in their length. Rows are counted one by one, so repeats, ties and skew change nothing.
 An empty table gives no rows. Other input columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from gapweave.llm.tokens import vocabulary
 
 WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
 MARK = "▁"
+LONG = 200
 #: Code points of text whose distinct words are in memory at once.
 BLOCK = 16_000_000
 
@@ -39,38 +41,54 @@ class Unigram:
         self.byte = min(self.score.values(), default=0) * 2
         self.suffixes = {p[i:] for p in self.score for i in range(len(p))}
 
-    def forward(self, word: str, upto: list[tuple[int, int]], start: int) -> list[tuple[int, int]]:
-        """Completes `upto`, for each prefix its best (score, -tokens), whose first start + 1 entries hold for `word`."""
-        del upto[start + 1 :]
-        score, suffixes = self.score, self.suffixes
-        for i in range(start + 1, len(word) + 1):
-            n = len(word[i - 1].encode("utf-8", "surrogatepass"))
-            s, c = upto[i - 1]
-            best = None
-            j = i - 1
-            while j >= 0 and (sub := word[j:i]) in suffixes:
-                got = score.get(sub)
-                if got is not None:
-                    s2, c2 = upto[j]
-                    new = (s2 + got, c2 - 1)
-                    if best is None or new > best:
-                        best = new
-                j -= 1
-            if best is None or word[i - 1] not in score:
-                best = max(best or (s + n * self.byte, c - n), (s + n * self.byte, c - n))
-            upto.append(best)
-        return upto
+    def step(self, path: list[str], upto: list[tuple[int, int]]) -> None:
+        """Adds to `upto`, for each prefix of `path` its best (score, -tokens), that of the whole path."""
+        score, suffixes, at = self.score, self.suffixes, len(path) - 1
+        best, sub = None, ""
+        for j in range(at, -1, -1):
+            sub = path[j] + sub
+            if sub not in suffixes:
+                break
+            got = score.get(sub)
+            if got is not None:
+                s, c = upto[j]
+                new = (s + got, c - 1)
+                if best is None or new > best:
+                    best = new
+        if path[at] not in score:
+            n = len(path[at].encode("utf-8", "surrogatepass"))
+            s, c = upto[at]
+            new = (s + n * self.byte, c - n)
+            best = new if best is None else max(best, new)
+        upto.append(best)
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         """Tokens of each distinct word."""
-        found, last, upto = {}, "", [(0, 0)]
-        for w in sorted(words):
-            marked = MARK + w
-            n, most = 0, min(len(last), len(marked))
-            while n < most and last[n] == marked[n]:
-                n += 1
-            upto = self.forward(marked, upto, n)
-            found[w], last = -upto[-1][1], marked
+        root: dict = {}
+        found: dict[str, int] = {}
+        for w in words:
+            if len(w) > LONG:
+                path, upto = [], [(0, 0)]
+                for x in MARK + w:
+                    path.append(x)
+                    self.step(path, upto)
+                found[w] = -upto[-1][1]
+                continue
+            node = root
+            for x in MARK + w:
+                node = node.setdefault(x, {})
+            node[""] = w
+        path, upto, todo = [], [(0, 0)], [(0, x, node) for x, node in root.items()]
+        while todo:
+            depth, x, node = todo.pop()
+            del path[depth:], upto[depth + 1 :]
+            path.append(x)
+            self.step(path, upto)
+            for y, below in node.items():
+                if y:
+                    todo.append((depth + 1, y, below))
+                else:
+                    found[below] = -upto[-1][1]
         return found
 
 

@@ -2,9 +2,13 @@
 
 A tree builder with implied tags walks each page and a renderer follows it: what
 is visible is kept, in reading order, blocks are set apart by line ends or blank
-lines, list items carry marks, table cells stand in aligned columns. The walk
-keeps its own stack, so deep nesting costs no recursion, and is linear in the
-page; only an unclosed tag at the end of a page is skipped.
+lines, list items carry marks, table cells stand in aligned columns, with their
+own lines, paragraphs and lists; cells that span columns or rows keep the others in
+place. A row with a line of more than WIDEST characters in a cell of several lines
+is a layout, its cells follow one another as blocks. Hidden is what the standard,
+an attribute, an own style or a simple selector of a style sheet hides. The walk
+keeps its own stack, so deep nesting costs no recursion; only an unclosed tag at
+the end of a page is skipped.
 
 Null or empty pages give empty text. Repeated pages and ids are rendered row by
 row. An empty table gives no rows. Other input columns are ignored.
@@ -22,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gapweave.llm.common import table
 
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(?:>|\Z)""", re.S
 )
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed values of the HTML standard: elements without content, raw text, and their default display.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head script style template iframe noembed noframes noscript datalist object svg math audio video canvas title meta link base param rp area".split())
+HIDDEN = set("head script style template iframe noembed noframes noscript datalist audio video canvas title meta link base param rp area".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
 BLOCK = SPACED | set(
     "html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main menu nav "
@@ -54,17 +58,59 @@ SCOPE = {"td", "th", "caption", "table", "html", "button", "object"}
 IN_HEAD = set("title meta link base script style template noscript".split())
 #: Columns wider than this are not padded.
 WIDEST = 40
+WHITE = " \t\n\r\f"
+PART = re.compile(f"[^{WHITE}]+")
+AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})|/\*.*?\*/", re.S)
+STYLE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"[\w-]*(?:[.#][\w-]+)?")
 
 
-def hides(name: str, rest: str) -> bool:
+def attributes(rest: str) -> dict[str, str]:
+    return {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(rest)}
+
+
+def unseen_style(text: str) -> bool | None:
+    """Whether declarations hide, or show; None if they say nothing."""
+    text = re.sub(r"\s+", "", text.lower())
+    if "display:none" in text or "visibility:hidden" in text:
+        return True
+    return False if "display:" in text or "visibility:" in text else None
+
+
+def style_rules(sheet: str) -> dict[str, bool]:
+    """What a style sheet says of simple selectors (an element, a class, an id, or an element with one of these); the last word counts."""
+    found = {}
+    for names, text in STYLE.findall(AT_RULE.sub(" ", sheet)):
+        says = unseen_style(text)
+        for name in names.split(","):
+            if says is not None and SELECTOR.fullmatch(name.strip()):
+                found[name.strip()] = says
+    return found
+
+
+def hides(name: str, rest: str, rules: dict[str, bool] | None = None) -> bool:
     """Whether an element and all below it stay unseen."""
     if name in HIDDEN:
         return True
-    if not rest or not ("hid" in rest or "none" in rest or "HID" in rest or "NONE" in rest):
-        return False
-    attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(rest)}
-    style = re.sub(r"\s+", "", attrs.get("style", "").lower())
-    return "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
+    said = bool(rules) and rules.get(name, False)
+    low = rest.lower() if rest else ""
+    if low and ("hid" in low or "none" in low or "style" in low or rules and ("class" in low or "id" in low)):
+        attrs = attributes(rest)
+        if rules:
+            marks = ["." + c for c in attrs.get("class", "").split()] + (["#" + attrs["id"]] if "id" in attrs else [])
+            for m in [*marks, *(name + m for m in marks)]:
+                said = rules.get(m, said)
+        own = unseen_style(attrs.get("style", ""))
+        return "hidden" in attrs or (said if own is None else own)
+    return said
+
+
+def span(rest: str, name: str) -> int:
+    """A cell's colspan or rowspan."""
+    if not rest or name not in rest.lower():
+        return 1
+    n = attributes(rest).get(name, "")
+    return min(1000, max(1, int(n))) if n.isascii() and n.isdigit() else 1
 
 
 class Flow:
@@ -85,14 +131,14 @@ class Flow:
                 self.end_line()
                 self.now = [indent, x] if x else []
             return
-        parts = s.split()
+        parts = PART.findall(s)
         if not parts:
             self.space = True
             return
-        if s[0].isspace():
+        if s[0] in WHITE:
             self.space = True
         self.word(" ".join(parts), indent)
-        self.space = s[-1].isspace()
+        self.space = s[-1] in WHITE
 
     def word(self, s: str, indent: str) -> None:
         if not s:
@@ -119,19 +165,54 @@ class Flow:
 
     def done(self) -> list[str]:
         self.end_line()
-        return self.lines
+        return [x.replace("\xa0", " ").rstrip() for x in self.lines]
+
 
+#: A cell: its lines, the columns and the rows that it spans.
+Cell = tuple[list[str], int, int]
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Table rows as lines, cells two blanks apart in columns of equal width."""
-    wide: list[int] = []
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Table rows as lines, cells two blanks apart in columns of equal width; a row of layout as its cells' lines."""
+    placed: list[list[tuple[int, int, list[str]]]] = []  # column, columns, lines
+    busy: dict[int, int] = {}
     for r in rows:
-        for j, c in enumerate(r):
-            if j == len(wide):
-                wide.append(0)
-            if len(c) <= WIDEST:
-                wide[j] = max(wide[j], len(c))
-    return ["  ".join(c.ljust(wide[j]) if j < len(r) - 1 else c for j, c in enumerate(r)).rstrip() for r in rows]
+        at, out, held = 0, [], {c: n - 1 for c, n in busy.items() if n > 1}
+        for lines, wide, tall in r:
+            while at in busy:
+                at += 1
+            out.append((at, wide, lines))
+            if tall > 1:
+                held |= dict.fromkeys(range(at, at + wide), tall - 1)
+            at += wide
+        busy = held
+        placed.append(out)
+    layout = [any(len(lines) > 1 and max(map(len, lines)) > WIDEST for *_, lines in r) for r in placed]
+    width: dict[int, int] = {}
+    for r, blocks in zip(placed, layout, strict=True):
+        for c, wide, lines in r:
+            size = max(map(len, lines), default=0)
+            if not blocks and wide == 1 and size <= WIDEST:
+                width[c] = max(width.get(c, 0), size)
+            else:
+                width.setdefault(c, 0)
+    starts, total = {}, 0
+    for c in range(max(width, default=-1) + 1):
+        starts[c] = total
+        total += width[c] + 2 if c in width else 0
+    out = []
+    for r, blocks in zip(placed, layout, strict=True):
+        if blocks:
+            out += [x for _, _, lines in r for x in lines]
+            continue
+        for k in range(max((len(lines) for *_, lines in r), default=0)):
+            line = ""
+            for c, _, lines in r:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(starts[c]) if len(line) < starts[c] or not line else line + "  "
+                    line += lines[k]
+            out.append(line.rstrip())
+    return out
 
 
 class Page:
@@ -145,7 +226,9 @@ class Page:
         self.lists: list[list] = []  # kind, items so far
         self.indents: list[str] = [""]
         self.flows = [Flow()]
-        self.tables: list[list[list[str]]] = []
+        self.tables: list[list[list[Cell]]] = []
+        self.spans: list[tuple[int, int]] = []  # of the open cells
+        self.rules: dict[str, bool] = {}
 
     def text(self, s: str) -> None:
         if not self.unseen and s:
@@ -160,7 +243,7 @@ class Page:
             self.close_within("head")
         if name in ("html", "body") and self.open.get(name):
             return
-        unseen = hides(name, rest)
+        unseen = hides(name, rest, self.rules)
         if name in VOID:
             if not self.unseen and not unseen:
                 if name == "br":
@@ -177,9 +260,9 @@ class Page:
                 self.start("tr", "")
             elif not self.tables:
                 name = "div"  # a cell outside any table is a block
-        self.push(name, unseen)
+        self.push(name, unseen, rest)
 
-    def push(self, name: str, unseen: bool) -> None:
+    def push(self, name: str, unseen: bool, rest: str = "") -> None:
         self.stack.append((name, unseen))
         self.open[name] = self.open.get(name, 0) + 1
         self.unseen += unseen
@@ -189,6 +272,7 @@ class Page:
         if name in ("td", "th"):
             self.flows.append(Flow())
             self.indents.append("")
+            self.spans.append((span(rest, "colspan"), span(rest, "rowspan")))
         elif name == "tr":
             self.tables[-1].append([])
         elif name == "table":
@@ -221,8 +305,7 @@ class Page:
             return
         if name in ("td", "th"):
             self.indents.pop()
-            cell = " ".join(x.strip() for x in self.flows.pop().done() if x.strip())
-            self.tables[-1][-1].append(cell)
+            self.tables[-1][-1].append((self.flows.pop().done(), *self.spans.pop()))
         elif name == "caption":
             self.indents.pop()
             lines = self.flows.pop().done()
@@ -232,7 +315,10 @@ class Page:
                 self.flows[-1].part(1)
         elif name == "table":
             flow, pre = self.flows[-1], self.indents[-1]
-            for line in aligned([r for r in self.tables.pop() if any(r)]):
+            for line in aligned([r for r in self.tables.pop() if any(c[0] for c in r)]):
+                if not line:
+                    flow.part(2)
+                    continue
                 flow.word(line, pre)
                 flow.part(1)
             flow.part(2)
@@ -309,6 +395,8 @@ def html_text(html: str | None) -> str:
         if name in RAW and not (m["rest"] or "").endswith("/"):
             close = re.compile(f"</{name}", re.I).search(html, at)
             stop = close.start() if close else len(html)
+            if name == "style":
+                page.rules |= style_rules(html[at:stop])
             page.text(html[at:stop])
             at = stop
 

@@ -5,15 +5,18 @@ end mark; each character is predicted from the three before it. Four characters
 pack into one 64-bit key; a language's model is, for each order, a sorted array of
 keys with log probabilities and back-off weights. A block's distinct 4-grams are
 looked up once. The language of the lowest cross-entropy per character wins; a
-text whose cross-entropy exceeds what its language showed on calibration rows is
-marked as rejected.
+text whose cross-entropy exceeds what its language showed on calibration rows by
+REJECT deviations is marked as rejected. The score weighs the best language against
+the others and against that bound: in the language's deviations, over a temperature
+that makes the mean score of calibration rows their accuracy. So it is below 1/2
+where a text is rejected, and falls with every deviation from the usual.
 
 Models are trained on TRAIN_ROWS labelled rows per language, calibration takes as
-many others; both are chosen by a hash of the id, so the sample is the same on any
-cluster. Null texts and texts without a letter get `und` and score 0. Rows without
+many others, every second one of the permitted rows in the order of a hash, so a
+rare language trains first and the sample is the same on any cluster. Null texts and texts without a letter get `und` and score 0. Rows without
 a label train nothing; without any label all rows get `und`. A null id is never
 held out and never trains. Repeated rows are judged row by row; a hot label adds
-no rows beyond the bound. Other input columns are ignored.
+no rows beyond the bound, nor do repeated ids. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gapweave.llm.common import table
+from gapweave.llm.common import stage, table
 
 #: Bound on the labelled rows of a language that train its model, and on those that calibrate it.
 TRAIN_ROWS = 400
@@ -35,7 +38,7 @@ START, END = 1, 2
 LETTERS = regex.compile(r"\p{L}+")
 #: Code points of text whose distinct words are in memory at once.
 BLOCK = 16_000_000
-#: Characters beyond which more text does not make a prediction surer.
+#: Characters from which on a calibration row tells the usual cross-entropy of its language.
 SURE = 64
 #: A text is rejected beyond its language's mean cross-entropy by so many standard deviations.
 REJECT = 6.0
@@ -44,7 +47,8 @@ REJECT = 6.0
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The packed 4-grams of the words, and where each word's begin."""
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    codes = np.where((codes > 0xFFFF) | (codes <= END), 0xFFFD, codes)
+    # beyond the first plane: 2,048 classes, at code points that no text has
+    codes = np.where(codes > 0xFFFF, 0xD800 + (codes & np.uint64(0x7FF)), np.where(codes <= END, 0xFFFD, codes))
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 4)
     padded = np.full(int(ends[-1]) if len(ends) else 0, START, np.uint64)
@@ -123,17 +127,43 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, part: int, rows: int) -> DataFrame:
-    """At most `rows` labelled rows of each language from one fold, those of the lowest hashes."""
-    some = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) == part))
-    hashed = some.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("long")).alias("h"))
-    ranked = hashed.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).filter(F.col("k") <= rows)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(ranked.select("id", "label").distinct()), ["id", "label"], "left_semi")  # rows a language at most
-
-
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], list[Model], np.ndarray]:
-    """Languages, their models, and for each the mean and deviation of calibration rows."""
+def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """Rows (label, text, own): at most `rows` labelled rows of each language that train (own 0) and as many that calibrate (1)."""
+    typed = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    typed = typed.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (fold("id") != 1)).withColumn("t", F.xxhash64("text"))
+    keys = typed.select("id", "label", "t", F.xxhash64("id", "t").alias("h")).distinct()
+    # ranked within parts of a label first, so a hot label is many groups
+    parts = keys.withColumn("part", F.pmod("h", F.lit(32)))
+    few_ = parts.withColumn("k", F.row_number().over(Window.partitionBy("label", "part").orderBy("h", "id"))).filter(F.col("k") <= 2 * rows)
+    ranked = few_.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).filter(F.col("k") <= 2 * rows)
+    ranked = ranked.select("id", "label", "t", ((F.col("k") - 1) % 2).alias("own"))
+    return typed.join(F.broadcast(ranked), ["id", "label", "t"]).groupBy("id", "label", "t", "own").agg(F.first("text").alias("text"))  # 2 * rows a language
+
+
+def scores(h: np.ndarray, usual: np.ndarray, heat: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the best language and its score. usual: each language's mean and deviation of cross-entropy."""
+    best = h.argmin(axis=1)
+    at = np.arange(len(h))
+    mean, dev = usual[best].T
+    others = -(h - h[at, best][:, None]) / (dev * heat)[:, None]
+    bound = (h[at, best] - (mean + REJECT * dev)) / (dev * heat)
+    return best, 1 / (np.exp(np.minimum(others, 0)).sum(axis=1) + np.exp(np.minimum(bound, 700)))
+
+
+def temperature(h: np.ndarray, own: np.ndarray, usual: np.ndarray) -> float:
+    """The heat at which the mean score of calibration rows is their accuracy."""
+    if not len(h):
+        return 1.0
+    right = ((h.argmin(axis=1) == own).sum() + 0.5) / (len(h) + 1)
+    low, high = 1e-3, 1e3
+    for _ in range(60):
+        mid = (low * high) ** 0.5
+        low, high = (mid, high) if scores(h, usual, mid)[1].mean() > right else (low, mid)
+    return (low * high) ** 0.5
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], list[Model], np.ndarray, float]:
+    """Languages, their models, for each the mean and deviation of calibration rows, and the temperature of scores."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
@@ -143,23 +173,29 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                     k, n = np.unique(grams(words)[0], return_counts=True)
                     yield pd.DataFrame({"label": label, "gram": k.view(np.int64), "n": n})
 
-    counted = sample(df, id_col, text_col, label_col, 0, rows).mapInPandas(count, "label string, gram long, n long")
+    chosen = stage(sample(df, id_col, text_col, label_col, rows), "sample")
+    counted = chosen.filter("own = 0").select("label", "text").mapInPandas(count, "label string, gram long, n long")
     got = counted.groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()  # the kinds of 4-gram in a bounded sample
     langs = sorted(got["label"].unique().tolist())
     models = [Model(g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy()) for _, g in ((v, got[got["label"] == v]) for v in langs)]
     if not langs:
-        return [], [], np.zeros((0, 2))
+        return [], [], np.zeros((0, 2)), 1.0
 
     def calibrate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             h, chars = entropies(x["text"].tolist(), models)
             own = x["label"].map({v: j for j, v in enumerate(langs)})
-            ok = own.notna().to_numpy() & (chars >= SURE)
-            yield pd.DataFrame({"label": x["label"][ok], "h": h[ok, own[ok].astype(int)]})
+            ok = own.notna().to_numpy() & (chars > 0)
+            yield pd.DataFrame({"own": own[ok].astype(int), "chars": chars[ok], "h": list(h[ok])})
 
-    rows2 = sample(df, id_col, text_col, label_col, 2, rows).mapInPandas(calibrate, "label string, h double")
-    seen = {r["label"]: (r["m"], r["s"] or 0.0) for r in rows2.groupBy("label").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()}
-    return langs, models, np.array([seen.get(v, (np.inf, 0.0)) for v in langs])
+    seen = chosen.filter("own = 1").select("label", "text").mapInPandas(calibrate, "own int, chars double, h array<double>").toPandas()  # `rows` a language at most
+    h, own = np.array(seen["h"].tolist(), float).reshape(-1, len(langs)), seen["own"].to_numpy(int)
+    long_enough = seen["chars"].to_numpy(float) >= SURE
+    usual = np.zeros((len(langs), 2))
+    for j in range(len(langs)):
+        mine = h[(own == j) & long_enough, j]
+        usual[j] = (mine.mean(), max(0.02, mine.std())) if len(mine) else (np.log(1 << 16), 1.0)  # nothing known: reject nothing
+    return langs, models, usual, temperature(h, own, usual)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -167,14 +203,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     shared = df.sparkSession.sparkContext.broadcast(train(df, id_col, text_col, label_col, rows))
 
     def judge(block: list[tuple]) -> pa.RecordBatch:
-        langs, models, usual = shared.value
+        langs, models, usual, heat = shared.value
         h, chars = entropies([b[2] for b in block], models)
         none = (chars == 0) | (not langs)
         if langs:
-            best = h.argmin(axis=1)
-            low = h[np.arange(len(h)), best]
-            score = 1 / np.exp(-(h - low[:, None]) * np.minimum(chars, SURE)[:, None]).sum(axis=1)
-            rejected = low > usual[best, 0] + REJECT * np.maximum(usual[best, 1], 0.02)
+            best, score = scores(h, usual, heat)
+            rejected = h[np.arange(len(h)), best] > usual[best, 0] + REJECT * usual[best, 1]
             names = np.array(langs, object)[best]
         else:
             score, rejected, names = np.zeros(len(block)), np.ones(len(block), bool), np.full(len(block), "und", object)

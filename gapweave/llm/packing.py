@@ -27,33 +27,26 @@ from gapweave.llm.common import stage, table
 from gapweave.llm.tokens import vocabulary, word_ids
 
 CAPACITY = 2048
-#: Most patterns given to the least squares; a bound on the driver's work, whatever is left over is packed too.
-PATTERNS = 20_000
+#: The least squares end when a round moves the counts by less than this share.
+CLOSE, ROUNDS = 1e-5, 3000
 
 
-def exact_patterns(h: np.ndarray, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Pairs of lengths that fill a sequence, then triples, those of the commonest lengths first."""
+def exact_patterns(h: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
+    """All pairs and triples of lengths that fill a sequence; at most capacity squared / 12."""
     have = np.flatnonzero(h[:capacity])
     found = [(int(a), capacity - int(a)) for a in have if 2 * a >= capacity and h[capacity - a]]
-    order = have[np.argsort(-h[have], kind="stable")]
-    seen = set()
-    for i, a in enumerate(order):
-        b = order[: i + 1]
-        c = capacity - a - b
-        ok = c > 0
-        b, c = b[ok], c[ok]
-        ok = h[c] > 0
-        for y, z in zip(b[ok].tolist(), c[ok].tolist(), strict=True):
-            seen.add(tuple(sorted((int(a), y, z), reverse=True)))
-        if len(seen) + len(found) >= most:
-            break
-    return found + sorted(seen, reverse=True)[: most - len(found)]
+    for a in have[::-1]:
+        b = have[(have <= a) & (have < capacity - a) & (2 * have >= capacity - a)]
+        b = b[h[capacity - a - b] > 0][::-1]
+        found += [(int(a), int(x), int(capacity - a - x)) for x in b]
+    return found
 
 
-def nnls(patterns: list[tuple[int, ...]], h: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Repeat counts x >= 0 that nearly minimise |A x - h|, by accelerated projected gradient.
+def nnls(patterns: list[tuple[int, ...]], h: np.ndarray) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |A x - h|, by accelerated projected gradient until they stand still.
 
-    A has a column for each pattern, with how often each length occurs in it.
+    A has a column for each pattern, with how often each length occurs in it. What
+    convergence leaves open costs nothing but quality: counts are rounded down.
     """
     rows = np.array([v for p in patterns for v in p])
     cols = np.array([j for j, p in enumerate(patterns) for _ in p])
@@ -66,14 +59,19 @@ def nnls(patterns: list[tuple[int, ...]], h: np.ndarray, rounds: int = 200) -> n
         v /= norm
     x = y = np.zeros(len(patterns))
     t = 1.0
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         new = np.maximum(0, y - back(fwd(y) - h) / (1.05 * norm))
+        moved = np.linalg.norm(new - x)
+        if (y - new) @ (new - x) > 0:  # overshot: start the acceleration anew
+            t = 1.0
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         x, y, t = new, new + (t - 1) / t2 * (new - x), t2
+        if moved <= CLOSE * max(1.0, np.linalg.norm(x)):
+            break
     return x
 
 
-def plan(h: np.ndarray, capacity: int = CAPACITY, most: int = PATTERNS) -> list[tuple[int, int, int, int, int, int]]:
+def plan(h: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Places for h[v] pieces of each length v: rows (length, first rank, ranks, each, first sequence, offset).
 
     A row puts `each` neighbours in rank side by side into a sequence, from the offset on.
@@ -92,10 +90,12 @@ def plan(h: np.ndarray, capacity: int = CAPACITY, most: int = PATTERNS) -> list[
 
     if left[capacity]:
         place({capacity: 1}, int(left[capacity]))
-    patterns = exact_patterns(left, capacity, most)
+    patterns = exact_patterns(left, capacity)
     if patterns:
         counts = nnls(patterns, left.astype(float))
         for j in np.argsort(-counts, kind="stable"):
+            if counts[j] + 1e-6 < 1:
+                break
             lengths = {v: patterns[j].count(v) for v in patterns[j]}
             times = min(int(counts[j] + 1e-6), *(int(left[v]) // k for v, k in lengths.items()))
             if times > 0:

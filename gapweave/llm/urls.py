@@ -1,33 +1,35 @@
 """URL filters: a sort-merge range join of urls with nested host and path rules.
 
 A host's labels, reversed and each closed by U+0001, are its canonical key: a
-rule's host and all its subdomains are then one interval of keys. Urls and rules
-are range-partitioned and sorted together; a sweep keeps the stack of the rules
-whose interval is open. A task also reports which rules are open at its end, and a
-second, narrow pass hands them on to the tasks after it. Rule lists beyond
-SWEEP_RULES are joined on each host suffix instead, with the same result.
+rule's host and all its subdomains are then one interval of keys. Places in the
+order of (key, id) are cut into ranges at the keys of a sample of urls, which only
+decides where the cuts lie. A url goes to its range, a rule to every range that its
+interval meets; in each range urls and rules are sorted together, and a sweep keeps
+the stack of the rules whose interval is open. A hot host is many ranges. Rules
+are never on the driver.
 
 A null url, or one without "://", has an empty host and path; no rule fits it.
 Ties between rules of equal length go to the longer host. Of rules with the same
 host and path a block wins. Rules with a null part are ignored. Repeated urls are
-judged row by row, a hot host is cut by id into many ranges. Empty urls or rules
-give rows without a rule, or no rows. Other input columns are ignored.
+judged row by row; a null id sorts first. Empty urls or rules give rows without a
+rule, or no rows. Other input columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gapweave.llm.common import stage, table
+from gapweave.llm.common import table, tasks_for
 
-#: Rules up to which open stacks are handed on through the driver.
-SWEEP_RULES = 100_000
+#: Urls sampled for each range.
+SAMPLE = 20
 END = "\x01"
+#: Behind every key that starts with another one.
+LAST = "\U0010ffff"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query: verdict, host, path.
 RULES = (
@@ -73,82 +75,53 @@ def longest(stack: list[Open], key: str, path: str) -> list | None:
     return max(fit, key=lambda r: (len(r[0]) + len(r[1]), len(r[0])), default=None)
 
 
-SWEPT = "id long, host string, path string, key string, rule string, size int, verdict string, part int, mark string"
+SWEPT = "id long, host string, path string, rule string, verdict string"
 
 
 def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over a task's sorted rules and urls: each url's best rule of those opened here, and a last row on what stays open."""
-    part, stack, first, last = TaskContext.get().partitionId(), [], None, ""
+    """Over a task's sorted rules and urls, range by range: each url's longest rule of those open."""
+    stack: list[Open] = []
+    at = None
     for x in frames:
         out = []
-        for doc, host, path, key, verdict in zip(x["id"], x["host"], x["path"], x["key"], x["verdict"], strict=True):
-            first = key if first is None else first
-            last = key
+        for part, doc, host, path, key, verdict in zip(x["part"], x["id"], x["host"], x["path"], x["key"], x["verdict"], strict=True):
+            if part != at:
+                at, stack = part, []
             while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if verdict:
                 if not stack or stack[-1].key != key:
                     stack.append(Open(key))
                 stack[-1].add(path, [host, path, verdict])
-                continue
-            got = longest(stack, key, path)
-            out.append((doc, host, path, key, got and got[0] + got[1], len(got[0]) if got else None, got and got[2], part, None))
+            else:
+                got = longest(stack, key, path)
+                out.append((doc, host, path, got and got[0] + got[1], got and got[2]))
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SWEPT.split(", ")]).astype({"id": "Int64", "size": "Int32"})
-    if first is not None:
-        mark = json.dumps({"first": first, "last": last, "open": [[o.key, list(o.paths.values())] for o in stack]})
-        yield pd.DataFrame([(None, None, None, None, None, None, None, part, mark)], columns=[c.split()[0] for c in SWEPT.split(", ")]).astype({"id": "Int64", "size": "Int32"})
-
-
-def carried(marks: list[tuple[int, str]]) -> dict[int, list]:
-    """For each task, what the tasks before it leave open at its first key. marks: a row per task, not per url."""
-    stack: list = []
-    found = {}
-    for part, mark in sorted(marks):
-        m = json.loads(mark)
-        stack = [o for o in stack if m["first"].startswith(o[0])]
-        if stack:
-            found[part] = stack
-        stack = [o for o in stack if m["last"].startswith(o[0])] + m["open"]
-    return found
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SWEPT.split(", ")]).astype({"id": "Int64"})
 
 
 def swept(urls: DataFrame, rules: DataFrame, tasks: int) -> DataFrame:
-    events = urls.withColumn("verdict", F.lit(None).cast("string")).unionByName(rules.withColumn("id", F.lit(None).cast("long")))
-    events = events.withColumn("kind", F.when(F.col("verdict").isNull(), 1).otherwise(0))
-    ordered = events.repartitionByRange(tasks, "key", "kind", "id").sortWithinPartitions("key", "kind", "id")
-    done = stage(ordered.drop("kind").mapInPandas(sweep, SWEPT), "swept")
-    open_at = carried([(r.part, r.mark) for r in done.filter("mark IS NOT NULL").select("part", "mark").collect()])
-
-    def hand_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stacks: dict[int, list[Open]] = {}
-        for part, found in open_at.items():
-            for key, group in found:
-                stacks.setdefault(part, []).append(o := Open(key))
-                for r in group:
-                    o.add(r[1], r)
+    smallest = -(1 << 63)
+    place = F.struct("key", F.coalesce("id", F.lit(smallest)).alias("id"))
+    some = urls.select(place.alias("at")).orderBy(F.xxhash64("at")).limit(tasks * SAMPLE).collect()
+    keys = sorted((r["at"]["key"], r["at"]["id"]) for r in some)
+    cuts = sorted({keys[len(keys) * k // tasks] for k in range(1, tasks)}) if keys else []
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Urls to their range, rules to all ranges from the first to the last that their interval meets."""
         for x in frames:
-            rule, verdict = x["rule"].tolist(), x["verdict"].tolist()
-            if stacks:
-                for i, (part, key, path, size) in enumerate(zip(x["part"], x["key"], x["path"], x["size"], strict=True)):
-                    got = longest(stacks[part], key, path) if part in stacks else None
-                    if got and (rule[i] is None or (len(got[0]) + len(got[1]), len(got[0])) > (len(rule[i]), size)):
-                        rule[i], verdict[i] = got[0] + got[1], got[2]
-            yield pd.DataFrame({"id": x["id"], "host": x["host"], "path": x["path"], "rule": rule, "verdict": verdict})
-
-    return done.filter("mark IS NULL").mapInPandas(hand_on, "id long, host string, path string, rule string, verdict string")
-
+            lows, highs = [], []
+            for key, doc, verdict in zip(x["key"], x["id"], x["verdict"], strict=True):
+                doc = smallest if pd.isna(doc) else int(doc)
+                lows.append(bisect_right(cuts, (key, smallest - 1 if verdict else doc)))
+                highs.append(bisect_right(cuts, (key + LAST, 0)) if verdict else lows[-1])
+            yield x.assign(low=lows, high=highs)
 
-def by_suffix(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same by an equi-join on each host suffix, for rule lists of any size."""
-    labels = F.split("host", r"\.")
-    each = urls.select("host", "path").distinct()
-    suffixes = each.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
-    fit = suffixes.join(rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict"), "suffix").filter("startswith(path, rule_path)")
-    best = fit.groupBy("host", "path").agg(
-        F.max(F.struct(F.length("suffix") + F.length("rule_path"), F.length("suffix"), F.concat("suffix", "rule_path").alias("rule"), "verdict")).alias("b")
-    )
-    return urls.join(best, ["host", "path"], "left").select("id", "host", "path", "b.rule", "b.verdict")
+    typed = "id long, host string, path string, key string, verdict string"
+    events = urls.withColumn("verdict", F.lit(None).cast("string")).unionByName(rules.withColumn("id", F.lit(None).cast("long"))).select("id", "host", "path", "key", "verdict")
+    sent = events.mapInPandas(send, typed + ", low int, high int").withColumn("part", F.explode(F.sequence("low", "high")))
+    ordered = sent.repartition(tasks, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "id")
+    return ordered.select("part", "id", "host", "path", "key", "verdict").mapInPandas(sweep, SWEPT)
 
 
 def filter_urls(df: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -157,11 +130,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, id_col: str, url_col: str = "ur
     host, path = url_parts(F.col("_url"))
     urls = named.select("id", host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     lists = rules.select("verdict", "host", "path").dropna().withColumn("host", F.translate("host", UPPER, LOWER)).withColumn("key", host_key(F.col("host")))
-    if lists.limit(SWEEP_RULES + 1).count() <= SWEEP_RULES:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = swept(urls, lists, tasks)
-    else:
-        out = by_suffix(urls.drop("key"), lists)
+    out = swept(urls, lists, tasks_for(df))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 

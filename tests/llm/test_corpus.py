@@ -408,10 +408,11 @@ def test_urls(spark):
     want = {i: judge(u) for i, u in rows}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, lists, "page_id").collect()}
     assert got == want
-    named = df.select(F.col("page_id").alias("id"), F.col("url").alias("_url"))
-    host, path = urls.url_parts(F.col("_url"))
-    joined = urls.by_suffix(named.select("id", host.alias("host"), path.alias("path")), lists)
-    assert {r.id: (r.host, r.path, r.rule, r.verdict or "allow") for r in joined.collect()} == want
+    for tasks in (1, 40):  # one range, and more ranges than hosts
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, lists, "page_id").collect()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert urls.filter_urls(df.withColumn("page_id", F.lit(None).cast("long")), lists, "page_id").count() == len(rows)
     assert urls.filter_urls(df.limit(0), lists, "page_id").count() == 0
     assert {r.verdict for r in urls.filter_urls(df, lists.limit(0), "page_id").collect()} == {"allow"}
 
@@ -430,22 +431,63 @@ def test_token_counts(docs, none):
             best.append(max(ways))
         return -best[-1][1]
 
-    rows = [r for r in docs.collect() if len(r.text or "") < 4000]
-    want = collections.Counter((r.doc_id, len(WORD.findall(r.text or "")), sum(plain("▁" + w) for w in WORD.findall(r.text or ""))) for r in rows if len(r.text or "") < 2000)
-    got = collections.Counter((r.doc_id, r.n_words, r.n_tokens) for r in counts.token_counts(docs).collect())
-    assert not want - got
+    want = collections.Counter()
+    known = {}
+    for r in docs.collect():
+        found = WORD.findall(r.text or "")
+        known |= {w: plain("▁" + w) for w in set(found) - set(known)}
+        want[r.doc_id, len(found), sum(map(known.__getitem__, found))] += 1
+    assert want == collections.Counter((r.doc_id, r.n_words, r.n_tokens) for r in counts.token_counts(docs).collect())
+
+
+def kneser_ney(words):
+    """Interpolated Kneser-Ney of order 4 from dictionaries: p(context, character)."""
+    grams = collections.Counter()
+    for w in words:
+        x = ["<"] * 3 + list(w) + [">"]
+        grams.update(tuple(x[i - 3 : i + 1]) for i in range(3, len(x)))
+    levels = [grams]
+    for _ in range(3):
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+    levels = levels[::-1]
+    discount = []
+    for c in levels:
+        n = collections.Counter(c.values())
+        discount.append(n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5)
+    letters = {g[0] for g in levels[0]}
+
+    def p(context, x, n=4):
+        if n == 0:
+            return 1 / (len(letters) + 1)
+        context = context[len(context) - (n - 1) :]
+        here = {g: c for g, c in levels[n - 1].items() if g[:-1] == context}
+        lower = p(context, x, n - 1)
+        if not here:
+            return lower
+        total, d = sum(here.values()), discount[n - 1]
+        own = here.get((*context, x))
+        return (own - d if own else 0) / total + d * len(here) / total * lower
+
+    return p, letters
 
 
 def test_language_model():
-    """Probabilities of what may follow a context add up to one."""
-    keys, _ = langid.grams(["abc", "abd", "bca", "aab", "cab"] * 3)
-    k, n = np.unique(keys, return_counts=True)
+    """Probabilities are those of a plain restatement, and add up to one over all characters and an unknown one."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcd\U0001F600"), int(rng.integers(1, 7)))) for _ in range(200)]
+    k, n = np.unique(langid.grams(words)[0], return_counts=True)
     model = langid.Model(k, n)
-    ends = [langid.END, *map(ord, "abc"), ord("d")]
-    for before in ("ab", "ca", "zz"):
-        ctx = sum(ord(c) << 16 * (2 - i) for i, c in enumerate(before))
-        p = np.exp(model.log_p(np.array([(ctx | langid.START << 32) << 16 | e for e in ends], np.uint64))).sum()
-        assert 0.8 < p <= 1.0 + 1e-9
+    p, letters = kneser_ney(words)
+    code = lambda x: {"<": langid.START, ">": langid.END}.get(x, 0xD800 + (ord(x) & 0x7FF) if ord(x) > 0xFFFF else ord(x))
+    contexts = [("<", "<", "<"), ("<", "<", "a"), ("a", "b", "c"), ("z", "z", "z"), ("z", "a", "b"), ("d", "d", "\U0001F600")]
+    for c in contexts:
+        every = [*sorted(letters), "z"]
+        packed = [sum(code(x) << 16 * (3 - i) for i, x in enumerate((*c, e))) for e in every]
+        got = np.exp(model.log_p(np.array(packed, np.uint64)))
+        assert np.allclose(got, [p(c, e) for e in every], rtol=1e-9) and abs(got.sum() - 1) < 1e-9
+    h, chars = langid.entropies(["ab cda", None, "a"], [model])
+    plain = lambda w: sum(np.log(p(tuple((["<"] * 3 + list(w))[i : i + 3]), x)) for i, x in enumerate([*w, ">"]))
+    assert np.allclose(h[[0, 2], 0], [-(plain("ab") + plain("cda")) / 7, -plain("a") / 2]) and chars.tolist() == [7, 0, 2]
 
 
 def test_language_id(spark, docs, none):
@@ -456,7 +498,14 @@ def test_language_id(spark, docs, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(df).join(df.select("doc_id", "lang", "n_chars"), "doc_id").filter("held_out AND n_chars > 50").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
-    assert all(0 <= r.score <= 1 for r in rows)
+    assert all(0 <= r.score <= 1 for r in rows) and all((r.score < 0.5) >= r.rejected for r in rows)
+    assert max(r.score for r in rows) - min(r.score for r in rows) > 0.02
+    odd = df.limit(5).select("doc_id", F.lit("xqzj vkkw zzqx jjqv wvkx qqzz xkcd vvwq").alias("text"), "lang").withColumn("doc_id", -1 - F.col("doc_id")).withColumn("lang", F.lit(None).cast("string"))
+    twice = df.select("doc_id", "text", "lang").unionByName(df.select("doc_id", "text", "lang")).unionByName(odd)
+    assert all(r.score < 0.5 and r.rejected for r in langid.identify(twice).filter("doc_id < 0").collect())
+    assert langid.sample(twice, "doc_id", "text", "lang", 7).groupBy("label", "own").count().filter("count > 7").count() == 0
+    rare = df.select("doc_id", "text", F.when(F.col("doc_id") == 2, "xx").alias("lang"))
+    assert {r.lang_pred for r in langid.identify(rare).collect()} <= {"xx", "und"}
 
 
 @pytest.mark.parametrize(
@@ -467,6 +516,11 @@ def test_language_id(spark, docs, none):
         ("<table><tr><th>Name<th>Q<tr><td>apple &amp; co<td>1</table>", "Name        Q\napple & co  1"),
         ("<p hidden>no<p style='display: none'>no<p>yes<script>var a='</p>';</script><!-- no -->", "yes"), ("<pre>a\n  b</pre>", "a\n  b"),
         ("<title>t</title><body>x", "x"), ("<b>a</b> <i>b</i>\n c", "a b c"), ("</p></td>x<td>y", "x\ny"), ("<a href='>'>z</a><unclosed", "z"), ("<div>" * 5000 + "deep", "deep"),
+        ("<table><tr><td><p>one</p><p>two</p><ul><li>a<li>b</ul><td>x</table>", "one  x\n\ntwo\n\n- a\n- b"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f<tr><td rowspan=2>g<td>h<td>i<tr><td>j<td>k</table>", "ab    c\nd  e  f\ng  h  i\n   j  k"),
+        (f"<table><tr><td><p>{'w' * 50}<p>b<td>c</table>", f"{'w' * 50}\n\nb\nc"), ("a&nbsp;&nbsp;b", "a  b"), ("<a title=it's>x</a> y's", "x y's"),
+        ("<style>@media print{p{display:none}} .x, #y{display:none} b.z{visibility:hidden} i{display:none} i{display:inline}</style><p>a<p class='q x'>b<p id=y>c<p><b class=z>d</b><i>e</i>", "a\n\ne"),
+        ("<math>x</math> <svg><text>y</text></svg><object>z</object>", "x yz"), ("<p style='display:block'>a", "a"),
         ("<dl><dt>a<dd>b</dl>", "a\n  b"), ("1 < 2 & 3", "1 < 2 & 3"),
     ],
 )
