@@ -43,7 +43,7 @@ RULES = (
     Rule("long_words", "mean_word_chars", high=15.0),
     Rule("symbols", "symbol_ratio", high=0.2),
     Rule("repeated_lines", "dup_line_ratio", high=0.3),
-    Rule("stop_words", "stop_ratio", low=0.004, least=100),
+    Rule("stop_words", "stop_ratio", low=0.02, least=20),
 )
 
 
@@ -155,7 +155,7 @@ x AS (SELECT m.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM m L
 y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words >= 2.0 AND word_chars / n_words <= 15.0 AND n_symbols / n_words <= 0.2
-       AND NOT (n_dup_lines / n_lines > 0.3) AND NOT (n_words >= 100 AND n_stop / n_words < 0.004) AS kept
+       AND NOT (n_dup_lines / n_lines > 0.3) AND NOT (n_words >= 20 AND n_stop / n_words < 0.02) AS kept
 FROM y
 """.replace("STOPS", " ".join(STOP_WORDS))
 }
