@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapweave.functions import geometry as g
 
@@ -48,8 +48,8 @@ def evaluate(paths: DataFrame, couplings: bool = False) -> DataFrame:
 def add_linear(metrics: DataFrame, baseline: str = "linear") -> DataFrame:
     """Adds each metric's ratio to, and gain over, the same gap's baseline."""
     have = [c for c in PAIRED if c in metrics.columns]
-    own = metrics.filter(F.col("method") == baseline).groupBy("task_uid").agg(*[F.first(c).alias(f"linear_{c}") for c in have])
-    out = metrics.join(own, "task_uid", "left")
+    gap = Window.partitionBy("task_uid")
+    out = metrics.withColumns({f"linear_{c}": F.max(F.when(F.col("method") == baseline, F.col(c))).over(gap) for c in have})
     ratio = {f"{PAIRED[c]}_ratio_to_linear": F.try_divide(F.col(c), F.nullif(F.col(f"linear_{c}"), F.lit(0.0))) for c in have}
     out = out.withColumns(ratio)
     out = out.withColumns({f"{PAIRED[c]}_gain_pct_vs_linear": 100.0 * (1.0 - F.col(f"{PAIRED[c]}_ratio_to_linear")) for c in have})
@@ -57,17 +57,22 @@ def add_linear(metrics: DataFrame, baseline: str = "linear") -> DataFrame:
     return out.withColumns({"delta_ADE_vs_linear": delta, "better_than_linear": F.coalesce((delta < 0).cast("double"), F.lit(0.0))})
 
 
-def summary(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts, means, medians and rates of paired metrics by any keys."""
+def summary(metrics: DataFrame, keys: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """Counts, means, medians and rates of paired metrics by any keys.
+
+    Medians are exact, so all distinct values of a group end in one task; `accuracy` asks for sketches instead, whose
+    ranks are off by one in so many at most, for groups that no task can hold.
+    """
+    median = lambda c: F.percentile_approx(c, 0.5, accuracy) if accuracy else F.median(c)
     stats: list[Column] = [F.count_distinct("task_uid").alias("n_tasks")]
     for c in ("ADE", "RMSE"):
-        stats += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median")]
-    stats += [F.median(c).alias(f"{c}_median") for c in ("path_length_log_error", "path_length_ratio_error", "directness_error", "Frechet", "DTW") if c in metrics.columns]
+        stats += [F.avg(c).alias(f"{c}_mean"), median(c).alias(f"{c}_median")]
+    stats += [median(c).alias(f"{c}_median") for c in ("path_length_log_error", "path_length_ratio_error", "directness_error", "Frechet", "DTW") if c in metrics.columns]
     stats += [F.avg("within_50m").alias("within_50m_rate"), F.avg("within_100m").alias("within_100m_rate"), F.avg("better_than_linear").alias("better_than_linear_rate")]
     for c in ("ade", "rmse", "frechet", "dtw"):
         if f"{c}_ratio_to_linear" in metrics.columns:
             for kind in ("ratio_to_linear", "gain_pct_vs_linear"):
-                stats += [F.median(f"{c}_{kind}").alias(f"{c}_{kind}_median"), F.avg(f"{c}_{kind}").alias(f"{c}_{kind}_mean")]
+                stats += [median(f"{c}_{kind}").alias(f"{c}_{kind}_median"), F.avg(f"{c}_{kind}").alias(f"{c}_{kind}_mean")]
     return metrics.groupBy(*keys).agg(*stats)
 
 

@@ -61,7 +61,7 @@ def candidates(tasks: DataFrame, hits: DataFrame, motifs: DataFrame, most: int =
     """The candidate paths of each gap: the chord, heading continuity, then the motifs' variants, at most `most`,
     without paths that equal an earlier one of their style to a millimetre."""
     s, e, n = F.col("start"), F.col("end"), F.col("n_points")
-    keep = ["task_uid", "dataset", "taxon", "setting_name", "n_points", "start", "end", "prev", "next", "truth"]
+    keep = ["task_uid", "dataset", "taxon", "setting_name", "n_points", "start", "end", "prev", "next", "truth", *(["prior"] if "prior" in tasks.columns else [])]
     turn = F.col("prev").isNotNull() | F.col("next").isNotNull()
     zero = [F.lit(0.0).alias(c) for c in ("context_temporal_cost", "context_environment_cost", "context_demographic_cost")]
 
@@ -91,12 +91,18 @@ def candidates(tasks: DataFrame, hits: DataFrame, motifs: DataFrame, most: int =
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Drops repeated paths of a style and numbers the rest; ids name the gap, place, motif and variant."""
+    """Drops repeated paths of a style and numbers the rest; ids name the gap, place, motif and variant.
+
+    A gap has few candidates, so they are compared within one array; the gap's rows stay where they are for what follows.
+    """
     digits = F.transform("path", lambda p: F.struct(F.bround(p.x, 3), F.bround(p.y, 3)))
-    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("task_uid", "style", digits).orderBy("place"))).filter("_k = 1")
-    order = (F.row_number().over(Window.partitionBy("task_uid").orderBy("place")) - 1).alias("candidate_order")
+    rest = [c for c in found.columns if c != "task_uid"]
+    entry = F.struct("place", F.col("style").alias("_s"), digits.alias("_d"), F.struct(*rest).alias("_r"))
+    lists = found.groupBy("task_uid").agg(F.sort_array(F.collect_list(entry)).alias("_a"))
+    twin = lambda c, i: F.exists(F.slice("_a", F.lit(1), i), lambda e: (e["_s"] == c["_s"]) & (e["_d"] == c["_d"]))
+    first = lists.select("task_uid", F.posexplode(F.filter("_a", lambda c, i: ~twin(c, i))).alias("candidate_order", "_e")).select("task_uid", "_e._r.*", "candidate_order")
     uid = make_uid(F.col("task_uid"), F.lit("motif_timegeo_sr"), F.col("place"), F.col("motif_id"), F.initcap(F.col("mirror").cast("string")), F.col("lateral_scale"), F.col("style"))
-    return first.select("*", order, uid.alias("candidate_id")).drop("_k")
+    return first.withColumn("candidate_id", uid)
 
 
 def side(tasks_start: Column, end: Column, before: Column, after: Column) -> Column:
@@ -110,7 +116,7 @@ def side(tasks_start: Column, end: Column, before: Column, after: Column) -> Col
 def costs(found: DataFrame, priors: DataFrame) -> DataFrame:
     """Adds the thirteen cost terms of each candidate (cost_*), its shape figures and step capacity."""
     tiny = F.lit(g.EPS)
-    x = with_priors(found, priors)
+    x = found if "prior" in found.columns else with_priors(found, priors)
     x = x.withColumns(
         {
             "steps": g.steps(F.col("path")), "shape": g.in_frame(F.col("path"), F.col("start"), F.col("end")), "disp": g.distance(F.col("start"), F.col("end")),

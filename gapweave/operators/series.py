@@ -66,12 +66,11 @@ def setting_tasks(fixes: DataFrame, coarse: int, fine: int, stride_fraction: flo
     seats = F.array(block, F.when(into <= coarse + fine, block - 1), F.when(into >= span - fine, block + 1))
     placed = fixes.withColumn("home", block).withColumn("block", F.explode(F.filter(seats, lambda b: b.isNotNull())))
     w = Window.partitionBy(*KEY, "block").orderBy("t")
-    near = F.collect_list(F.struct("t", "x", "y", "elev")).over(w.rangeBetween(-fine, coarse + fine))
     own = F.sum((F.col("home") == F.col("block")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = placed.select("*", near.alias("near"), F.coalesce(own, F.lit(0)).alias("seat")).filter("home = block")
-    starts = starts.join(counts, [*KEY, "block"]).filter((F.col("all") >= max(min_points, n + 1)) & ((F.col("before") + F.col("seat")) % stride == 0))
-    at = lambda k: F.get(F.filter("near", lambda e: e.t == F.col("t") + k * fine), F.lit(0))
-    found = starts.withColumn("hits", F.transform(F.sequence(F.lit(0), F.lit(n)), at)).withColumn("before_", at(F.lit(-1))).withColumn("after_", at(F.lit(n + 1)))
+    # the fix at just so many minutes from here: a frame of one place, so nothing is listed or searched
+    at = lambda k: F.first(F.struct("x", "y", "elev")).over(w.rangeBetween(k * fine, k * fine))
+    starts = placed.select("*", F.array(*[at(k) for k in range(n + 1)]).alias("hits"), at(-1).alias("before_"), at(n + 1).alias("after_"), F.coalesce(own, F.lit(0)).alias("seat")).filter("home = block")
+    found = starts.join(counts, [*KEY, "block"]).filter((F.col("all") >= max(min_points, n + 1)) & ((F.col("before") + F.col("seat")) % stride == 0))
     good = found.filter(F.forall("hits", lambda h: h.isNotNull() & ~F.isnan(h.x) & ~F.isnan(h.y)))
     name = F.lit(f"{coarse}min_to_{fine}min")
     xy = lambda h: F.when(h.isNotNull(), g.point(h.x, h.y))

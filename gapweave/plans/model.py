@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapweave.operators import evaluate, families, library, scoring, series, transfer
+from gapweave.operators import evaluate, families, generators, library, scoring, series, transfer
 
 
 @dataclass
@@ -22,7 +22,7 @@ class Model:
 
 def fit(train: DataFrame, max_motifs: int = library.MAX_MOTIFS) -> Model:
     """A model of training gaps with truth."""
-    return Model(library.build(train, max_motifs), scoring.movement_priors(train), families.artifacts(train))
+    return Model(library.build(train, max_motifs), scoring.movement_priors(train), generators.artifacts(train))
 
 
 def load(spark: SparkSession, folder: str) -> Model:
@@ -37,7 +37,7 @@ def adapt(model: Model, calibration: DataFrame, union: bool = False) -> Model:
 
 def scored(model: Model, gaps: DataFrame) -> DataFrame:
     hits = library.retrieve(gaps, model.motifs)
-    return scoring.score(scoring.candidates(gaps, hits, model.motifs), model.priors)
+    return scoring.score(scoring.candidates(scoring.with_priors(gaps, model.priors), hits, model.motifs), model.priors)
 
 
 def reconstruct(model: Model, gaps: DataFrame, anchor: str = "direct", score: str = "cost_rank", beta: float = 0.5, lam: float = 0.25) -> DataFrame:

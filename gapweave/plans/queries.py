@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gapweave.functions import context, geometry as g, ids
-from gapweave.operators import evaluate, families, library, scoring, selection, series, splits, transfer
+from gapweave.operators import evaluate, families, generators, library, scoring, selection, series, splits, transfer
 from gapweave.plans import oracle as o
 from gapweave.sources.fixes import event_fixes
 
@@ -509,8 +509,9 @@ def retrieve_rerank(spark, sf):
 
 def scored_of(spark, sf):
     test, motifs, hits = retrieved(spark, sf)
-    found = scoring.candidates(test, hits, motifs)
-    return scoring.score(found, scoring.movement_priors(split_tasks(spark, sf)[0])).persist(), test
+    priors = scoring.movement_priors(split_tasks(spark, sf)[0])
+    found = scoring.candidates(scoring.with_priors(test, priors), hits, motifs)  # labels meet their priors before gaps become candidates
+    return scoring.score(found, priors).persist(), test
 
 
 @query()
@@ -569,7 +570,7 @@ def family_paths(spark, sf) -> DataFrame:
     named = weighted.withColumns({"anchor": null.cast("string"), "lam": null.cast("double")}).unionByName(mixed)
     name = families.method_name(*[F.col(c) for c in ("family", "score", "beta", "anchor", "lam")])
     out = named.select("task_uid", name.alias("method"), null.cast("int").alias("source_rank"), "path")
-    for more in (families.diverse(scored), families.ecological(test, families.artifacts(train)), families.latent(train, test)):
+    for more in (families.diverse(scored), generators.ecological(test, generators.artifacts(train)), generators.latent(train, test)):
         out = out.unionByName(more.select("task_uid", "method", F.col("source_rank").cast("int"), "path"))
     return out
 
@@ -596,18 +597,18 @@ def diverse_sr(spark, sf):
 @query()
 def ecological_paths(spark, sf):
     train, test = split_tasks(spark, sf)
-    return long_path(families.ecological(test, families.artifacts(train)), "path", "method")
+    return long_path(generators.ecological(test, generators.artifacts(train)), "path", "method")
 
 
 @query()
 def latent_decoder(spark, sf):
     train, test = split_tasks(spark, sf)
-    return long_path(families.latent(train, test), "path", "method")
+    return long_path(generators.latent(train, test), "path", "method")
 
 
 @query()
 def brownian_bridge(spark, sf):
-    return long_path(families.brownian(tasks_of(spark, sf)), "path", "method")
+    return long_path(generators.brownian(tasks_of(spark, sf)), "path", "method")
 
 
 # --- selection -----------------------------------------------------------------------------

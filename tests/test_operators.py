@@ -6,11 +6,12 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gapweave.operators import families, library, scoring, selection, series, splits, transfer
+from gapweave.operators import families, generators, library, scoring, selection, series, splits, transfer
 from gapweave.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +29,7 @@ def duck():
 def cells(df):
     number = lambda v: isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_))
     cols = sorted(df.columns)
-    return cols, collections.Counter(tuple("" if v is None or v != v else repr(float(v)) if number(v) else str(v) for v in row) for row in df[cols].astype(object).values.tolist())
+    return cols, collections.Counter(tuple("" if pd.api.types.is_scalar(v) and pd.isna(v) else repr(float(v)) if number(v) else str(v) for v in row) for row in df[cols].astype(object).values.tolist())
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.SQL) - SLOW))
@@ -114,12 +115,12 @@ def test_scoring(spark):
 
 def test_generators(spark):
     train, test = plans.split_tasks(spark, SF)
-    one = families.ecological(test, families.artifacts(train)).collect()
-    again = families.ecological(test.repartition(3), families.artifacts(train)).collect()
+    one = generators.ecological(test, generators.artifacts(train)).collect()
+    again = generators.ecological(test.repartition(3), generators.artifacts(train)).collect()
     key = lambda r: (r.task_uid, r.method)
     assert {key(r): r.path for r in one} == {key(r): r.path for r in again}
     ends = {r.task_uid: (r.start, r.end) for r in test.collect()}
-    for r in one + families.latent(train, test).collect():
+    for r in one + generators.latent(train, test).collect():
         assert np.allclose([r.path[0].x, r.path[0].y], [ends[r.task_uid][0].x, ends[r.task_uid][0].y])
 
 
