@@ -97,46 +97,52 @@ def scaled(features: Column, by: Sequence[tuple[float, float]]) -> Column:
 def nearest(queries: DataFrame, library: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k library rows nearest to each query by Euclidean distance, exact; ties go to the smaller id.
 
-    Both have id and vec. The library goes to the executors in blocks of bounded
-    size; with several blocks each keeps its k best and the best of those remain.
+    Both have id and vec. Library and queries are dealt into blocks; each pair of a block of either meets in one cell on
+    an executor, whose queries keep their k best there, and the best of those remain. Nothing goes through the driver, a
+    cell holds `block` library rows at most, about.
     """
-    n = max(1, -(-library.count() // block))
-    out = None
-    for i in range(n):
-        part = library if n == 1 else library.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
-        one = block_nearest(queries, part, k)
-        out = one if out is None else out.unionByName(one)
-    if n == 1:
-        return out
-    w = Window.partitionBy("id").orderBy("distance", "hit")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def block_nearest(queries: DataFrame, part: DataFrame, k: int) -> DataFrame:
-    rows = part.select("id", "vec").orderBy("id").collect()  # at most about a block
-    ids = np.array([r.id for r in rows], object)
-    mat = np.array([r.vec for r in rows], float).reshape(len(rows), -1)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, mat, (mat * mat).sum(axis=1)))
+    tasks = int(library.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-library.count() // block))
+    groups = max(1, -(-tasks // blocks))
+    deal = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = library.select(deal(library, blocks).alias("lib"), every(groups).alias("grp"), F.lit(None).cast(dict(queries.dtypes)["id"]).alias("id"), F.col("id").alias("hit"), "vec")
+    asks = queries.select(every(blocks).alias("lib"), deal(queries, groups).alias("grp"), "id", F.lit(None).cast(dict(library.dtypes)["id"]).alias("hit"), "vec")
+    dealt = rows.unionByName(asks).repartition(max(tasks, blocks * groups), "lib", "grp").sortWithinPartitions("lib", "grp", F.col("hit").isNull(), "hit")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mat, norms = shared.value
-        top = min(k, len(ids))
+        cell, ids, parts, mat = None, [], [], None
         for x in frames:
-            for at in range(0, len(x) if top else 0, 512):
-                some = x.iloc[at : at + 512]
-                q = np.array(some["vec"].tolist(), float)
-                rough = norms - 2 * q @ mat.T
-                least = np.partition(rough, top - 1, axis=1)[:, top - 1] + 1e-9 * (norms.max() + (q * q).sum(axis=1))
-                hit, dist = np.empty((len(q), top), int), np.empty((len(q), top))
-                for i in range(len(q)):  # all ties of the last place take part, by exact distance and id
-                    near = np.flatnonzero(rough[i] <= least[i])
-                    exact = np.sqrt(((mat[near] - q[i]) ** 2).sum(axis=1))
-                    order = np.lexsort((near, exact))[:top]
-                    hit[i], dist[i] = near[order], exact[order]
-                yield pd.DataFrame({"id": np.repeat(some["id"].to_numpy(), top), "hit": ids[hit.ravel()], "distance": dist.ravel(), "rank": np.tile(np.arange(1, top + 1, dtype=np.int32), len(some))})
-
-    kind = dict(queries.dtypes)["id"]
-    return queries.select("id", "vec").mapInPandas(run, f"id {kind}, hit {dict(part.dtypes)['id']}, distance double, rank int")
+            for key, some in x.groupby(["lib", "grp"], sort=True):
+                if key != cell:
+                    cell, ids, parts, mat = key, [], [], None
+                own = some["hit"].notna().to_numpy()
+                if own.any():
+                    ids += some["hit"][own].tolist()
+                    parts.append(np.array(some["vec"][own].tolist(), float))
+                if not own.all() and ids:
+                    mat = np.concatenate(parts) if mat is None else mat
+                    yield from cell_nearest(some[~own], ids, mat, k)
+
+    found = dealt.mapInPandas(run, f"id {dict(queries.dtypes)['id']}, hit {dict(library.dtypes)['id']}, distance double")
+    w = Window.partitionBy("id").orderBy("distance", "hit")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def cell_nearest(asks: pd.DataFrame, ids: list, mat: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The k nearest of the rows `mat`, in order of their ids, to each of the queries."""
+    top, norms, names = min(k, len(ids)), (mat * mat).sum(axis=1), np.array(ids, object)
+    for at in range(0, len(asks), 256):
+        some = asks.iloc[at : at + 256]
+        q = np.array(some["vec"].tolist(), float)
+        rough = norms - 2 * q @ mat.T
+        least = np.partition(rough, top - 1, axis=1)[:, top - 1] + 1e-9 * (norms.max() + (q * q).sum(axis=1))
+        row, near = np.nonzero(rough <= least[:, None])  # all ties of the last place take part, by exact distance and id
+        exact = np.sqrt(((mat[near] - q[row]) ** 2).sum(axis=1))
+        order = np.lexsort((near, exact, row))
+        place = np.arange(len(order)) - np.searchsorted(row, np.arange(len(q)))[row]
+        order = order[place < top]
+        yield pd.DataFrame({"id": some["id"].to_numpy()[row[order]], "hit": names[near[order]], "distance": exact[order]})
 
 
 def context_scales(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:

@@ -93,10 +93,29 @@ def balanced_set(rows: DataFrame, proxy: str, quota: dict[str, int] = QUOTA, siz
     return x.withColumn("set_rank", F.row_number().over(w)).filter(F.col("set_rank") <= size).withColumnRenamed("_in", "by_quota")
 
 
-def proxy_score(total_cost: Column, rank: Column, family: Column) -> Column:
-    """What orders candidates without truth: cost, rank and family."""
-    order = F.create_map(*[F.lit(x) for kv in {f: i for i, f in enumerate(QUOTA)}.items() for x in kv])
-    return F.coalesce(total_cost, F.lit(0.0)) + 0.10 * rank + 0.20 * F.try_element_at(order, family)
+#: What orders candidates of a pooled set without truth, with its weight.
+PROXY = {
+    "total_cost": 1.0, "score": 1.0, "cost": 1.0, "path_cost": 1.0, "ecological_energy": 0.75,
+    "path_to_straight_ratio": 0.25, "directness": -0.25, "source_rank": 0.25, "candidate_rank": 0.25,
+}
+
+
+def proxy_score(rows: DataFrame) -> Column:
+    """What orders candidates without truth: the figures of PROXY that a row has, its rank and its family's place.
+
+    A row's rank is `source_rank`, 999 where there is none; null and NaN figures count nothing.
+    """
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).otherwise(0.0)
+    figures = [w * finite(c) for c, w in PROXY.items() if c in rows.columns]
+    order = F.create_map(*[F.lit(x) for kv in {f: i for i, f in enumerate(PREFIXES)}.items() for x in kv])
+    rank = F.coalesce(F.col("source_rank"), F.lit(999)) if "source_rank" in rows.columns else F.lit(999)
+    return sum(figures, F.lit(0.0)) + 0.10 * rank + 0.20 * F.coalesce(F.try_element_at(order, F.col("family")), F.lit(9))
+
+
+def pooled_oracle(kept: DataFrame, name: str = "balanced_pooled_extension_top10_minADE_candidate_set") -> DataFrame:
+    """The row of least error of each gap's set, as a method of its own; it uses truth, and is marked so."""
+    best = kept.groupBy("task_uid").agg(F.min_by(F.struct("method", "ADE"), F.struct("ADE", "method")).alias("b"), F.count("*").alias("n_in_set"))
+    return best.select("task_uid", F.lit(name).alias("method"), F.col("b.method").alias("source_method"), F.col("b.ADE").alias("ADE"), "n_in_set", F.lit(True).alias("oracle_within_generated_set"))
 
 
 #: What reports call the methods.

@@ -67,7 +67,7 @@ CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS sex FROM customer""
 def normalize_ids(spark, sf):
     c = load(spark, sf, "customer")
     raw = F.concat(F.lit(" "), "c_name", F.lit(".0 "))
-    sex = ids.sex_label(F.when(F.col("c_custkey") % 2 == 0, "FT").otherwise(" m "))
+    sex = ids.sex_label(F.when(F.col("c_custkey") % 2 == 0, "F").otherwise(" m "))
     return c.select("c_custkey", ids.normalize_id(raw).alias("animal_id"), ids.animal_key(F.col("c_name")).alias("animal_key"), sex.alias("sex"))
 
 
@@ -188,11 +188,18 @@ def split_individual_disjoint(spark, sf):
     return individuals(spark, sf)
 
 
-@query(o.with_(INDIVIDUAL) + "SELECT split, taxon, count(*) AS n, count(*) FILTER (WHERE false) AS leaks FROM isplit GROUP BY ALL")
+@query(o.with_(INDIVIDUAL) + ", w AS (SELECT 'individual' AS kind, individual_key, split FROM isplit UNION ALL SELECT 'gap', dataset || '|' || taxon || '|' || animal_id, CASE WHEN h < 0.70 THEN 'train' WHEN h < 0.85 THEN 'validation' ELSE 'test' END FROM (SELECT *, "
+       + o.hash01("animal_id || '|' || strftime(time, '%Y-%m-%d')") + " AS h FROM fixes)), l AS (SELECT kind, individual_key, count(DISTINCT split) AS k FROM w GROUP BY ALL) SELECT kind, split, count(*) AS n, count(*) FILTER (k > 1) AS leaks FROM w JOIN l USING (kind, individual_key) GROUP BY kind, split")
 def split_leak_check(spark, sf):
-    who = individuals(spark, sf)
-    bad = splits.leaks(who).withColumn("leak", F.lit(1))
-    return who.join(bad, "individual_key", "left").groupBy("split", "taxon").agg(F.count("*").alias("n"), F.count("leak").alias("leaks"))
+    """Rows of individuals that are in more than one split: none under the split by individuals, some under a split of days."""
+    days = event_fixes(spark, sf).withColumn("individual_key", F.concat_ws("|", *series.KEY))
+    days = days.withColumn("split", splits.global_split(F.concat_ws("|", "animal_id", F.date_format("time", "yyyy-MM-dd"))))
+    out = None
+    for kind, who in (("individual", individuals(spark, sf)), ("gap", days)):
+        bad = splits.leaks(who).select("individual_key", F.lit(1).alias("leak"))
+        one = who.join(bad, "individual_key", "left").groupBy(F.lit(kind).alias("kind"), "split").agg(F.count("*").alias("n"), F.count("leak").alias("leaks"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY " + o.hash01("doc_id::VARCHAR") + ", doc_id) <= 10")
@@ -271,38 +278,38 @@ def resample(spark, sf):
     return long_path(tasks_of(spark, sf).withColumn("path", g.resample(F.col("truth"), F.lit(7))))
 
 
-def coupling_sql() -> str:
-    """Fréchet and DTW of three points against three, cell by cell."""
-    cells = []
-    for i in range(3):
-        for j in range(3):
+def coupled(n: int) -> str:
+    """Fréchet and DTW of n points against n: a table for each cell of the coupling, each of the one before."""
+    parts = [f"q{n} AS (SELECT * FROM paths WHERE n_points = {n})"]
+    last = f"q{n}"
+    for i in range(n):
+        for j in range(n):
             d = o.dist(f"path[{i + 1}]", f"truth[{j + 1}]")
-            back = [f"f{a}{b}" for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0]
-            cells.append(f"greatest({d}, {'least(' + ', '.join(back) + ')' if back else '0'}) AS f{i}{j}")
-            ways = [(a, b) for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0]
-            if not ways:
-                cells += [f"{d} AS c{i}{j}", f"1 AS k{i}{j}"]
-            elif len(ways) == 1:
-                a, b = ways[0]
-                cells += [f"c{a}{b} + {d} AS c{i}{j}", f"k{a}{b} + 1 AS k{i}{j}"]
-            else:
-                u, v, w = (f"{a}{b}" for a, b in ways)
+            ways = [f"{a}_{b}" for a, b in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if a >= 0 and b >= 0]
+            back = f"least({', '.join('f' + w for w in ways)})" if ways else "0"
+            pick = lambda x: x + ways[0]  # noqa: B023, E731
+            if len(ways) > 1:
+                u, v, w = ways
                 pick = lambda x: f"CASE WHEN c{u} <= c{v} AND c{u} <= c{w} THEN {x}{u} WHEN c{v} <= c{w} THEN {x}{v} ELSE {x}{w} END"  # noqa: B023, E731
-                cells += [f"{pick('c')} + {d} AS c{i}{j}", f"{pick('k')} + 1 AS k{i}{j}"]
-    return ", ".join(cells)
+            cost, size = (f"{pick('c')} + {d}", f"{pick('k')} + 1") if ways else (d, "1")
+            parts.append(f"q{n}_{i}_{j} AS MATERIALIZED (SELECT *, greatest({d}, {back}) AS f{i}_{j}, {cost} AS c{i}_{j}, {size} AS k{i}_{j} FROM {last})")
+            last = f"q{n}_{i}_{j}"
+    end = f"{n - 1}_{n - 1}"
+    return ", ".join([*parts, f"r{n} AS (SELECT task_uid, method, f{end} AS f, c{end} / k{end} AS c FROM {last})"])
 
 
-COUPLED = o.tasks(((1440, 720),)) + f", {o.PATHS}, cpl AS (SELECT task_uid, method, {coupling_sql()} FROM paths)"
+SIZES = (3, 5)  # points of the gaps of both settings
+COUPLED = o.tasks() + f", {o.PATHS}, " + ", ".join(coupled(n) for n in SIZES) + ", cpl AS (" + " UNION ALL ".join(f"SELECT * FROM r{n}" for n in SIZES) + ")"
 
 
-@query(o.with_(COUPLED) + "SELECT task_uid, method, round(f22, 6) + 0.0 AS frechet FROM cpl")
+@query(o.with_(COUPLED) + "SELECT task_uid, method, round(f, 6) + 0.0 AS frechet FROM cpl")
 def frechet(spark, sf):
-    return evaluate.baselines(tasks_of(spark, sf, ((1440, 720),))).select("task_uid", "method", r6(g.frechet(F.col("path"), F.col("truth")), "frechet"))
+    return paths_of(spark, sf).select("task_uid", "method", r6(g.frechet(F.col("path"), F.col("truth")), "frechet"))
 
 
-@query(o.with_(COUPLED) + "SELECT task_uid, method, round(c22 / k22, 6) + 0.0 AS dtw FROM cpl")
+@query(o.with_(COUPLED) + "SELECT task_uid, method, round(c, 6) + 0.0 AS dtw FROM cpl")
 def dtw(spark, sf):
-    return evaluate.baselines(tasks_of(spark, sf, ((1440, 720),))).select("task_uid", "method", r6(g.dtw(F.col("path"), F.col("truth")), "dtw"))
+    return paths_of(spark, sf).select("task_uid", "method", r6(g.dtw(F.col("path"), F.col("truth")), "dtw"))
 
 
 # --- evaluation and summaries --------------------------------------------------------------
@@ -521,14 +528,18 @@ def candidates(spark, sf):
     return found.select("task_uid", "candidate_id", "candidate_order", "style", "motif_id", "lateral_scale", "mirror", r6(g.path_length(F.col("path")), "length_m"))
 
 
-@query(o.with_(o.tasks()) + f", {o.PATHS}, " + """k AS (SELECT task_uid, method, CASE WHEN method = 'linear' THEN 'a' ELSE 'b' END AS style, list_transform(path, lambda p: {'x': round(p.x / 100), 'y': round(p.y / 100)}) AS key FROM paths),
-r AS (SELECT *, row_number() OVER (PARTITION BY task_uid, key ORDER BY method) AS n FROM k) SELECT task_uid, method FROM r WHERE n = 1""")
+@query(o.with_(o.tasks()) + f", {o.PATHS}, " + """u AS (SELECT task_uid, method, path, 0 AS again FROM paths UNION ALL SELECT task_uid, method, path, 1 FROM paths WHERE method <> 'linear'),
+k AS (SELECT task_uid, method, again, list_position(['linear', 'heading_hermite', 'rtg_bridge'], method) - 1 + 3 * again AS place, CASE WHEN method = 'linear' OR again = 1 THEN 'a' ELSE 'b' END AS style,
+list_transform(path, lambda p: {'x': round_even(p.x, 3), 'y': round_even(p.y, 3)}) AS key FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY task_uid, style, key ORDER BY place) AS n FROM k)
+SELECT task_uid, method, style, place::INT AS place, (row_number() OVER (PARTITION BY task_uid ORDER BY place) - 1)::INT AS candidate_order FROM r WHERE n = 1""")
 def candidate_dedupe(spark, sf):
-    from pyspark.sql import Window
-
-    key = F.transform("path", lambda p: F.struct(F.round(p.x / 100), F.round(p.y / 100)))
-    w = Window.partitionBy("task_uid", key).orderBy("method")
-    return paths_of(spark, sf).withColumn("n", F.row_number().over(w)).filter("n = 1").select("task_uid", "method")
+    """The candidates' operator on baselines: some stand twice in the list, and in a style some equal the chord."""
+    p = paths_of(spark, sf).select("task_uid", "method", "path")
+    both = p.withColumn("again", F.lit(0)).unionByName(p.filter("method <> 'linear'").withColumn("again", F.lit(1)))
+    names = F.array(F.lit("linear"), F.lit("heading_hermite"), F.lit("rtg_bridge"))
+    both = both.withColumns({"place": (F.array_position(names, F.col("method")) - 1 + 3 * F.col("again")).cast("int"), "style": F.when((F.col("method") == "linear") | (F.col("again") == 1), "a").otherwise("b")})
+    both = both.withColumns({"motif_id": F.col("method"), "mirror": F.lit(False), "lateral_scale": F.lit(1.0)})
+    return scoring.numbered(both).select("task_uid", "method", "style", "place", "candidate_order")
 
 
 @query()
@@ -656,11 +667,33 @@ def topk_oracle(spark, sf):
     return out.select("task_uid", "candidate_set_k", "method", "source_method", r6("ADE"), "n_in_set", "oracle_within_generated_set")
 
 
-@query(o.with_(RANKED_SQL) + """, f AS (SELECT *, CASE method WHEN 'linear' THEN 'a' ELSE 'b' END AS family FROM rk), r AS (SELECT *, row_number() OVER (PARTITION BY task_uid, family ORDER BY ADE, method) <= 1 AS by_quota FROM f),
-s AS (SELECT *, row_number() OVER (PARTITION BY task_uid ORDER BY by_quota DESC, ADE, method) AS set_rank FROM r) SELECT task_uid, method, family, by_quota, set_rank::INT AS set_rank FROM s WHERE set_rank <= 2""")
+POOL = ("probabilistic_tg_diverse_sr_rank", "direct_sr_conditional_latent_decoder_sample", "ecological_tg_constrained_decoder_rank", "ecological_tg_step_selection_sample")
+POOLED = PAIRED + f""", po AS (SELECT task_uid, [{', '.join(f"'{x}'" for x in POOL)}][fam + 1] || printf('%02d', i) AS method, fam, i AS source_rank, round(ADE, 6) AS cost, round(ADE * (((i * 7 + fam * 3) % 11) + 1), 6) AS ADE
+ FROM metrics2, (SELECT unnest(range(0, 4)) AS fam), (SELECT unnest(range(1, 11)) AS i) WHERE method = CASE fam % 3 WHEN 0 THEN 'linear' WHEN 1 THEN 'heading_hermite' ELSE 'rtg_bridge' END),
+pp AS (SELECT *, cost + 0.25 * source_rank + 0.10 * source_rank + 0.20 * fam AS proxy FROM po),
+pq AS (SELECT *, row_number() OVER (PARTITION BY task_uid, fam ORDER BY proxy, method) <= [5, 2, 2, 1][fam + 1] AS by_quota FROM pp),
+ps10 AS (SELECT *, row_number() OVER (PARTITION BY task_uid ORDER BY by_quota DESC, proxy, method) AS set_rank FROM pq)"""
+
+
+def pooled(spark, sf) -> DataFrame:
+    """Ten candidates of each of the four families for every gap, with a cost and an error made from the baselines'."""
+    m = evaluate.evaluate(paths_of(spark, sf)).select("task_uid", F.col("method").alias("base"), "ADE")
+    base = F.element_at(F.array(F.lit("linear"), F.lit("heading_hermite"), F.lit("rtg_bridge")), (F.col("fam") % 3 + 1).cast("int"))
+    grid = m.withColumn("fam", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter(F.col("base") == base).withColumn("source_rank", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in POOL]), F.col("fam") + 1), F.format_string("%02d", "source_rank"))
+    rows = grid.select("task_uid", name.alias("method"), "source_rank", F.round("ADE", 6).alias("cost"), F.round(F.col("ADE") * ((F.col("source_rank") * 7 + F.col("fam") * 3) % 11 + 1), 6).alias("ADE"))
+    rows = rows.withColumn("family", selection.candidate_family(F.col("method")))
+    return selection.balanced_set(rows.withColumn("proxy", selection.proxy_score(rows)), "proxy")
+
+
+@query(o.with_(POOLED) + "SELECT task_uid, method, by_quota, set_rank::INT AS set_rank FROM ps10 WHERE set_rank <= 10")
 def balanced_top10(spark, sf):
-    m = ranked_methods(spark, sf).withColumn("family", F.when(F.col("method") == "linear", "a").otherwise("b"))
-    return selection.balanced_set(m, "ADE", {"a": 1, "b": 1}, 2).select("task_uid", "method", "family", "by_quota", "set_rank")
+    return pooled(spark, sf).select("task_uid", "method", "by_quota", "set_rank")
+
+
+@query(o.with_(POOLED) + "SELECT task_uid, 'balanced_pooled_extension_top10_minADE_candidate_set' AS method, arg_min(method, row(ADE, method)) AS source_method, min(ADE) + 0.0 AS ADE, count(*) AS n_in_set, true AS oracle_within_generated_set FROM ps10 WHERE set_rank <= 10 GROUP BY task_uid")
+def balanced_top10_oracle(spark, sf):
+    return selection.pooled_oracle(pooled(spark, sf))
 
 
 @query(o.with_(PAIRED) + "SELECT task_uid, CASE method WHEN 'linear' THEN 'Linear' ELSE 'RTG bridge' END AS paper_label, true AS is_deployable_top1 FROM metrics2 WHERE method IN ('linear', 'rtg_bridge')")
@@ -681,9 +714,9 @@ def family_benchmark(spark, sf):
 
 
 def units(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as source individuals, every tenth customer as a target; nation is the species, region the habitat."""
+    """Suppliers as source individuals, customers as targets; nation is the species, region the habitat."""
     n = load(spark, sf, "nation")
-    s, c = load(spark, sf, "supplier"), load(spark, sf, "customer").filter("c_custkey % 10 = 0")
+    s, c = load(spark, sf, "supplier"), load(spark, sf, "customer")
     own = [F.col("n_name").alias("species_id"), F.col("n_regionkey").cast("string").alias("habitat_id")]
     a = s.join(n, s.s_nationkey == n.n_nationkey).select(F.lit("d").alias("dataset"), F.col("s_suppkey").cast("string").alias("animal_id"), *own)
     b = c.join(n, c.c_nationkey == n.n_nationkey).select(F.lit("d").alias("dataset"), F.col("c_custkey").cast("string").alias("animal_id"), *own)
@@ -691,7 +724,7 @@ def units(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 UNITS = """a AS (SELECT DISTINCT s_suppkey::VARCHAR AS animal_id, n_name AS species_id, n_regionkey::VARCHAR AS habitat_id FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-b AS (SELECT DISTINCT c_custkey::VARCHAR AS animal_id, n_name AS species_id, n_regionkey::VARCHAR AS habitat_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0),
+b AS (SELECT DISTINCT c_custkey::VARCHAR AS animal_id, n_name AS species_id, n_regionkey::VARCHAR AS habitat_id FROM customer JOIN nation ON c_nationkey = n_nationkey),
 pr AS (SELECT a.animal_id AS s, b.animal_id AS t, CASE WHEN a.species_id = b.species_id THEN 'same_species' ELSE 'different_species' END || '_' || CASE WHEN a.habitat_id = b.habitat_id THEN 'same_habitat' ELSE 'different_habitat' END AS relation FROM a, b WHERE a.animal_id <> b.animal_id)"""
 
 
@@ -702,7 +735,46 @@ def transfer_pairs(spark, sf):
 
 @query(o.with_(UNITS) + "SELECT relation AS transfer_relation, count(*) AS n FROM pr GROUP BY relation")
 def transfer_counts(spark, sf):
-    return transfer.pairs(*units(spark, sf)).groupBy("transfer_relation").agg(F.count("*").alias("n"))
+    return transfer.relation_counts(*units(spark, sf))
+
+
+@query(o.with_(UNITS) + "SELECT species_id, habitat_id, count(*) AS n_individuals FROM b GROUP BY species_id, habitat_id")
+def species_habitat_counts(spark, sf):
+    return transfer.species_habitat_counts(units(spark, sf)[1])
+
+
+RELATED = PAIRED + """, ind AS (SELECT DISTINCT dataset, taxon, animal_id FROM tasks), un AS (SELECT *, CASE WHEN taxon IN ('puma', 'cougar') THEN 'puma_concolor' WHEN taxon = 'bobcat' THEN 'lynx_rufus' WHEN taxon = 'tiger' THEN 'panthera_tigris' ELSE 'panthera_pardus' END AS sp FROM ind),
+rl AS (SELECT t.dataset, t.animal_id, min(CASE WHEN s.sp = t.sp THEN CASE WHEN s.dataset = t.dataset THEN 1 ELSE 2 END ELSE CASE WHEN s.dataset = t.dataset THEN 3 ELSE 4 END END) AS o
+ FROM un t LEFT JOIN un s ON NOT (s.dataset = t.dataset AND s.animal_id = t.animal_id) AND s.animal_id::INT % 3 = 0 GROUP BY ALL)"""
+
+
+@query(o.with_(RELATED) + """SELECT ['same_species_same_habitat', 'same_species_different_habitat', 'different_species_same_habitat', 'different_species_different_habitat', 'no_training_source'][coalesce(o, 5)] AS transfer_relation, method, count(DISTINCT task_uid) AS n_tasks,
+round(avg(ADE), 6) + 0.0 AS ADE_mean, round(median(ADE), 6) + 0.0 AS ADE_median, coalesce(o, 5)::INT AS relation_order FROM metrics2 JOIN rl USING (dataset, animal_id) GROUP BY o, method""")
+def transfer_summary(spark, sf):
+    """Metrics by how close the nearest training individual is: every third animal trains, the data set is the habitat."""
+    m = evaluate.evaluate(paths_of(spark, sf))
+    own = event_units(spark, sf)
+    best = transfer.support(own.filter("CAST(animal_id AS INT) % 3 = 0"), own, "animal_id").select("animal_id", F.col("best_relation").alias("transfer_relation"))
+    return transfer.ordered_relations(m.join(best, "animal_id")).select("transfer_relation", "method", "n_tasks", r6("ADE_mean"), r6("ADE_median"), "relation_order")
+
+
+def event_units(spark, sf) -> DataFrame:
+    return tasks_of(spark, sf).select("dataset", "animal_id", ids.mapped(F.col("taxon"), ids.SPECIES).alias("species_id"), F.col("dataset").alias("habitat_id")).distinct()
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'female' WHEN 1 THEN 'male' WHEN 2 THEN 'female' WHEN 3 THEN 'male' ELSE 'unknown' END AS sex, ['subadult', 'adult', 'subadult', 'adult', 'unknown', 'old', 'unknown'][o_orderkey % 7 + 1] AS age,
+CASE WHEN o_orderkey % 3 = 0 THEN 'female' WHEN o_orderkey % 3 = 1 THEN 'male' ELSE 'unknown' END AS suffix, ['female', 'male', 'female', 'unknown'][o_orderkey % 4 + 1] AS code_sex, ['leopard', 'tiger', 'tiger', 'unknown'][o_orderkey % 4 + 1] AS code_taxon,
+CASE WHEN o_orderkey % 2 = 0 THEN 'b' WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'a' END || CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0 THEN ';b' ELSE '' END AS source FROM orders""")
+def metadata_labels(spark, sf):
+    """The words of sources for sex and age, sexes in ids and collar codes, and lists of sources."""
+    k = F.col("o_orderkey")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    sex = ids.sex_label(pick(["Fem", "M ", "\u2640", "\u2642", "x", "", None], 7))
+    age = ids.age_label(pick(["juv.", " Adult", "Sub adult", "a", "N/A", "Old", None], 7))
+    suffix = ids.suffix_sex(F.concat(k.cast("string"), pick(["f", " M", "x"], 3)))
+    code = ids.code_labels(pick(["fl 2", "MT1", "F", "x"], 4))
+    source = ids.appended(F.when(k % 2 == 0, "unknown").otherwise("a"), "b", (k % 2 == 0) | (k % 3 == 0))
+    return load(spark, sf, "orders").select("o_orderkey", sex.alias("sex"), age.alias("age"), suffix.alias("suffix"), code[0].alias("code_sex"), code[1].alias("code_taxon"), source.alias("source"))
 
 
 @query(o.with_(UNITS) + """, c AS (SELECT b.animal_id, count(*) FILTER (relation = 'same_species_same_habitat') AS n_ss, count(*) FILTER (relation = 'same_species_different_habitat') AS n_sd, count(*) FILTER (relation = 'different_species_same_habitat') AS n_ds,

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -49,7 +49,7 @@ def standardize(raw: DataFrame, spec: TrackSpec) -> DataFrame:
     x, y = number(spec.x_col), number(spec.y_col)
     if spec.lonlat:
         x, y = project_utm(x, y, spec.epsg or 32600)
-    time = utc_time(F.col(f"`{spec.time_col}`"))
+    time = utc_time(F.col(f"`{spec.time_col}`"), raw.schema[spec.time_col].dataType.typeName())
     env = F.map_from_arrays(F.array(*[F.lit(c) for c in spec.env_cols]), F.array(*[number(c) for c in spec.env_cols])) if spec.env_cols else F.create_map().cast("map<string,double>")
     out = raw.select(
         F.lit(spec.dataset).alias("dataset"), F.lit(spec.taxon).alias("taxon"), normalize_id(F.col(f"`{spec.id_col}`")).alias("animal_id"),
@@ -58,9 +58,21 @@ def standardize(raw: DataFrame, spec: TrackSpec) -> DataFrame:
     return out.filter(F.col("animal_id") != "").na.drop(subset=["time", "x", "y"])
 
 
-def utc_time(c: Column) -> Column:
-    """A time string or timestamp as UTC without zone; null if it can't be read."""
-    return c.cast("string").try_cast("timestamp").cast("timestamp_ntz")
+def utc_time(c: Column, kind: str = "string") -> Column:
+    """A time as UTC without zone, whatever the session's zone; null if it can't be read.
+
+    Strings with a zone and instants are converted, strings without one are kept. kind: the column's type.
+    """
+    if kind == "timestamp_ntz":
+        return c
+    text = F.trim(c.cast("string"))
+    instant = c if kind == "timestamp" else text.try_cast("timestamp")
+    seconds = (F.unix_micros(instant).cast("decimal(24,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    if kind == "timestamp":
+        return utc
+    zoned = text.rlike(r"(?i)[0-9] ?(?:z|utc|gmt|[+-][0-9]{1,2}(?::?[0-9]{2})?|[a-z]+/[a-z_/]+)$") & text.contains(":")
+    return F.when(zoned, utc).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def read_all(spark: SparkSession, specs: Sequence[TrackSpec], taxa: Sequence[str] | None = None) -> DataFrame:
@@ -98,9 +110,9 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet or CSV table; where the named file is missing, its twin of the other kind."""
-    store = spark._jvm.org.apache.hadoop.fs.Path(path)
-    twin = str(Path(path).with_suffix(".csv" if path.endswith(".parquet") else ".parquet"))
-    found = path if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store) else twin
+    twin = re.sub(r"(?:\.[A-Za-z0-9]+)?$", ".csv" if path.endswith(".parquet") else ".parquet", path, count=1)
+    fs, at = store(spark, path)
+    found = path if fs.exists(at) else twin
     return spark.read.parquet(found) if found.endswith(".parquet") else spark.read.options(header=True, inferSchema=True).csv(found)
 
 
@@ -109,18 +121,34 @@ def write_table(df: DataFrame, path: str) -> None:
     writer.parquet(path) if path.endswith(".parquet") else writer.option("header", True).csv(path)
 
 
+def store(spark: SparkSession, path: str) -> tuple:
+    """The file system that a path lies in, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def write_json(value: object, path: str) -> None:
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str))
+    fs, at = store(SparkSession.active(), path)
+    out = fs.create(at, True)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str), "utf-8"))
+    out.close()
 
 
 def read_json(path: str) -> object:
-    return json.loads(Path(path).read_text())
+    return json.loads(SparkSession.active().read.text(path, wholetext=True).first()[0])
 
 
 def spec_json(spec: TrackSpec) -> str:
     return json.dumps(asdict(spec), sort_keys=True)
 
 
+def spec_of(text: str) -> TrackSpec:
+    """A spec from its JSON."""
+    d = json.loads(text)
+    tuples = {c: tuple(tuple(x) if isinstance(x, list) else x for x in d[c]) for c in ("paths", "env_cols", "settings")}
+    return TrackSpec(**d | tuples)
+
+
 def sample_raster(points: DataFrame, cells: DataFrame, x0: float, y0: float, res: float, layer: str) -> DataFrame:
     """Points with the value of the raster cell that each lies in; null outside and for nodata. cells: row, col, value."""
     at = points.withColumn("_col", F.floor((F.col("x") - x0) / res)).withColumn("_row", F.floor((F.lit(y0) - F.col("y")) / res))

@@ -152,3 +152,59 @@ def test_readers(spark, tmp_path):
     tables.write_table(spark.range(3), str(tmp_path / "t.parquet"))
     assert tables.read_table(spark, str(tmp_path / "t.csv")).count() == 3
     assert tables.layers_to_sample(spark.sql("SELECT 1 AS a, CAST(NULL AS INT) AS b"), ["a", "b", "c"]) == ["b", "c"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Kolkata"])
+def test_utc_time(spark, zone):
+    """Times are read alike under any session zone."""
+    from gapweave.sources.tables import utc_time
+
+    rows = [("2024-01-01T00:00:00Z", "2024-01-01 00:00:00"), ("2024-01-01 00:00:00", "2024-01-01 00:00:00"), ("2024-03-10T05:30:00+05:30", "2024-03-10 00:00:00"), ("2024-11-03 01:30:00", "2024-11-03 01:30:00"), ("2024-01-01", "2024-01-01 00:00:00"), ("bad", None), (None, None), ("2024-01-01 00:00:00.25 UTC", "2024-01-01 00:00:00.250000")]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame(rows, "t string, want string")
+        assert [(None if r.got is None else str(r.got)) for r in df.select(utc_time(F.col("t")).alias("got")).collect()] == [w for _, w in rows]
+        one = spark.sql("SELECT TIMESTAMP_SECONDS(1704067200) AS t").select(utc_time(F.col("t"), "timestamp").alias("got")).first().got
+        assert str(one) == "2024-01-01 00:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_support_nulls(spark):
+    """Null, empty and `nan` labels are one unknown label, for pairs and for counts."""
+    rows = [("d", "a", None, "h"), ("d", "b", "", "h"), ("d", "c", "nan", None), ("d", "e", "lynx", "h"), ("d", "a", "", "h")]
+    a = spark.createDataFrame(rows, "dataset string, animal_id string, species_id string, habitat_id string")
+    counted = transfer.pairs(a, a).groupBy("target_animal_id").agg(*[F.count_if(F.col("transfer_relation") == r).alias(c) for r, c in zip(transfer.RELATIONS, ["n_ss", "n_sd", "n_ds", "n_dd"], strict=True)])
+    got = {(r.animal_id, r.n_ss, r.n_sd, r.n_ds, r.n_dd) for r in transfer.support(a, a, "animal_id").collect()}
+    assert got == {tuple(r) for r in counted.collect()} and ("b", 1, 1, 1, 0) in got
+    assert {r.transfer_relation: r.n for r in transfer.relation_counts(a, a).collect()} == {r.transfer_relation: r["count"] for r in transfer.pairs(a, a).groupBy("transfer_relation").count().collect()}
+
+
+def test_nearest_in_time_repeats(spark):
+    """Repeated left rows each have a result, and columns that are no keys may be maps."""
+    left = spark.sql("SELECT 'a' AS k, TIMESTAMP_NTZ '2024-01-01 00:10:00' AS time, map('x', 1) AS m FROM range(2)")
+    right = spark.sql("SELECT 'a' AS k, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS time, 1.5D AS v UNION ALL SELECT 'a', TIMESTAMP_NTZ '2024-01-01 00:20:00', 2.5D")
+    assert [(r.near_v, r.m) for r in transfer.nearest_in_time(left, right, ["k"], "time", ["v"], 30).collect()] == [(1.5, {"x": 1})] * 2
+
+
+def test_json_and_twins(spark, tmp_path):
+    from gapweave.sources import tables
+
+    spec = tables.TrackSpec("d", "cougar", ("a.csv",), "who", "when", "e", "n", env_cols=("alt",), settings=((240, 60),))
+    tables.write_json({"spec": tables.spec_json(spec)}, f"file://{tmp_path}/s.json")
+    assert tables.spec_of(tables.read_json(f"file://{tmp_path}/s.json")["spec"]) == spec
+    tables.write_table(spark.range(3), f"file://{tmp_path}/t.parquet")
+    assert tables.read_table(spark, f"file://{tmp_path}/t.csv").count() == 3
+
+
+def test_coarser_artifacts(spark):
+    """Gaps without a training gap of their labels or size keep all paths of the seeded families."""
+    from gapweave.operators import generators
+
+    train, test = plans.split_tasks(spark, SF)
+    few = train.filter("n_points = 3 AND taxon = 'puma'")
+    rows = generators.ecological(test, generators.artifacts(few)).groupBy("task_uid").count().collect()
+    assert len(rows) == test.count() and {r["count"] for r in rows} == {20}
+    none = generators.ecological(test, generators.artifacts(few.limit(0))).groupBy("task_uid").count().collect()
+    assert len(none) == len(rows)
