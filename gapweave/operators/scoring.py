@@ -158,10 +158,10 @@ def costs(found: DataFrame, priors: DataFrame) -> DataFrame:
 
 
 def score(found: DataFrame, priors: DataFrame, profile: dict[str, float] = PROFILE) -> DataFrame:
-    """Adds total_cost, rank (ties by candidate order) and listwise_probability."""
+    """Adds total_cost to nine digits, rank (ties, such as mirrored paths, by candidate order) and listwise_probability."""
     x = costs(found, priors)
     cost = sum((F.lit(w) * F.coalesce(F.col(f"cost_{k}"), F.lit(0.0)) for k, w in profile.items()), F.lit(0.0))
-    return ranked(x.withColumn("total_cost", cost))
+    return ranked(x.withColumn("total_cost", F.round(cost, 9)))
 
 
 def ranked(x: DataFrame, cost: str = "total_cost", order: str = "candidate_order") -> DataFrame:

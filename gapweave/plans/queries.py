@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gapweave.functions import context, geometry as g, ids
 from gapweave.operators import evaluate, families, generators, library, scoring, selection, series, splits, transfer
-from gapweave.plans import oracle as o
+from gapweave.plans import oracle as o, oracle_motifs as om
 from gapweave.sources.fixes import event_fixes
 
 #: Added before rounding on both sides, so that exact halves round alike.
@@ -503,13 +503,13 @@ def retrieved(spark, sf):
     return test, motifs, library.retrieve(test, motifs).persist()
 
 
-@query()
+@query(o.with_(om.LIBRARY) + "SELECT motif_id, source_task_uid, n_points, round(ratio, 6) + 0.0 AS motif_path_ratio, round(direct, 6) + 0.0 AS motif_directness, round(lat_mean, 6) + 0.0 AS motif_lateral_mean, lat_sign AS motif_lateral_sign, len(f)::INT AS n_features FROM mt")
 def motif_library(spark, sf):
     m = library.build(split_tasks(spark, sf)[0])
     return m.select("motif_id", "source_task_uid", "n_points", r6("motif_path_ratio"), r6("motif_directness"), r6("motif_lateral_mean"), "motif_lateral_sign", F.size("features").alias("n_features"))
 
 
-@query()
+@query(o.with_(om.RETRIEVED) + "SELECT task_uid, motif_id, rk AS retrieval_rank, round(score, 6) + 0.0 AS retrieval_score, round(dd, 6) + 0.0 AS descriptor_distance, round(tc, 6) + 0.0 AS context_temporal_cost, round(ec, 6) + 0.0 AS context_environment_cost, round(dc, 6) + 0.0 AS context_demographic_cost FROM hits")
 def retrieve_rerank(spark, sf):
     return retrieved(spark, sf)[2].select("task_uid", "motif_id", "retrieval_rank", r6("retrieval_score"), r6("descriptor_distance"), r6("context_temporal_cost"), r6("context_environment_cost"), r6("context_demographic_cost"))
 
@@ -521,7 +521,7 @@ def scored_of(spark, sf):
     return scoring.score(found, priors).persist(), test
 
 
-@query()
+@query(o.with_(om.CANDIDATES) + f"SELECT task_uid, candidate_id, candidate_order, style, motif_id, scale::DOUBLE AS lateral_scale, mirror, round({o.length('path')}, 6) + 0.0 AS length_m FROM cand")
 def candidates(spark, sf):
     test, motifs, hits = retrieved(spark, sf)
     found = scoring.candidates(test, hits, motifs)
@@ -542,7 +542,7 @@ def candidate_dedupe(spark, sf):
     return scoring.numbered(both).select("task_uid", "method", "style", "place", "candidate_order")
 
 
-@query()
+@query(o.with_(om.SCORED) + "SELECT task_uid, candidate_id, rank, round(total_cost, 6) + 0.0 AS total_cost, round(listwise_probability, 6) + 0.0 AS listwise_probability, " + o.r6(*[f"cost_{k}" for k in om.TOTAL]) + " FROM scored")
 def score_candidates(spark, sf):
     scored, _ = scored_of(spark, sf)
     return scored.select("task_uid", "candidate_id", "rank", r6("total_cost"), r6("listwise_probability"), *[r6(f"cost_{k}") for k in scoring.PROFILE])
@@ -586,21 +586,21 @@ def family_paths(spark, sf) -> DataFrame:
     return out
 
 
-@query()
+@query(o.with_(om.REPRESENTED) + long_sql("rep", "path", "score", "beta"))
 def representatives(spark, sf):
     scored, _ = scored_of(spark, sf)
     made = families.representatives(scored)
     return long_path(made, "path", "score", "beta")
 
 
-@query()
+@query(o.with_(om.MIXED) + f"SELECT task_uid, method, round({o.length('path')}, 6) + 0.0 AS length_m FROM mx")
 def blend_grid(spark, sf):
     scored, _ = scored_of(spark, sf)
     mixed = families.blends(scored, families.representatives(scored))
     return mixed.select("task_uid", families.method_name(*[F.col(c) for c in ("family", "score", "beta", "anchor", "lam")]).alias("method"), r6(g.path_length(F.col("path")), "length_m"))
 
 
-@query()
+@query("WITH RECURSIVE " + om.DIVERSE + f" SELECT task_uid, 'probabilistic_tg_diverse_sr_rank' || printf('%02d', source_rank) AS method, source_rank, candidate_id, round({o.length('path')}, 6) + 0.0 AS length_m FROM dr")
 def diverse_sr(spark, sf):
     return families.diverse(scored_of(spark, sf)[0]).select("task_uid", "method", "source_rank", "candidate_id", r6(g.path_length(F.col("path")), "length_m"))
 
