@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space, the word separator of every operator: space and U+0009 to U+000D.
@@ -76,6 +80,30 @@ def addressed(df: DataFrame) -> DataFrame:
     return df.select(row, F.xxhash64(at["file_path"]).alias("_file"), at["row_index"].alias("_place"))
 
 
+def lean() -> None:
+    """Called first in a Python task: lets freed memory, its own and the last task's, go back to the system.
+
+    Without it a reused worker keeps what its largest task once held, beside an executor's heap.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc: large blocks apart, so they are returned when freed
+        libc.mallopt(-3, 1 << 20)
+        libc.mallopt(-1, 1 << 20)
+        libc.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, size: int = 1 << 20):
+    """Slices of a batch, whose last column is a text, of about `size` bytes of it."""
+    text = batch.num_columns - 1
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def words(text: Column) -> Column:
     """The words of a text, maximal runs of non-space characters; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

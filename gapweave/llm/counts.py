@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapweave.llm.common import table
+from gapweave.llm.common import lean, slices, table
 from gapweave.llm.tokens import vocabulary
 
 WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
@@ -106,6 +106,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     file = file or vocabulary("piece_bpe_32k.model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         model, block, size = unigram(file), [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -116,8 +117,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = [(i, len(w := WORD.findall(text or "")), sum(map(found.__getitem__, w))) for i, text in block]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [id_col, "n_words", "n_tokens"])
 
-        for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for some in (x for batch in batches for x in slices(batch)):
+            for row in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 block.append(row)
                 size += len(row[1] or "")
                 if size > BLOCK:

@@ -23,7 +23,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapweave.llm.common import table
+from gapweave.llm.common import lean, slices, table
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(?:>|\Z)""", re.S
@@ -405,7 +405,8 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> D
     """Every row's id, text and n_lines."""
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        lean()
+        for batch in (x for b in batches for x in slices(b, 4 << 20)):
             texts = [html_text(x) for x in batch.column(1).to_pylist()]
             lines = [len(t.splitlines()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int32())], [id_col, "text", "n_lines"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gapweave.llm.common import stage, table
+from gapweave.llm.common import lean, slices, stage, table
 
 #: Bound on the labelled rows of a language that train its model, and on those that calibrate it.
 TRAIN_ROWS = 400
@@ -37,7 +37,7 @@ ORDER = 4
 START, END = 1, 2
 LETTERS = regex.compile(r"\p{L}+")
 #: Code points of text whose distinct words are in memory at once.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 #: Characters from which on a calibration row tells the usual cross-entropy of its language.
 SURE = 64
 #: A text is rejected beyond its language's mean cross-entropy by so many standard deviations.
@@ -220,9 +220,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         block, size = [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for some in (x for batch in batches for x in slices(batch)):
+            for row in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 block.append(row)
                 size += len(row[2] or "")
                 if size > BLOCK:

@@ -31,10 +31,9 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gapweave.llm.common import addressed, discard, few, stage, table, tasks_for
+from gapweave.llm.common import addressed, discard, few, lean, slices, stage, table, tasks_for
 from gapweave.llm.components import components
 from gapweave.llm.shingles import mix, shingle_sets
 
@@ -72,22 +71,17 @@ def set_ids(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return hi, lo
 
 
-def texts_of(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of a batch, whose last column is a text, of about `size` bytes of it, and their texts."""
-    text = batch.num_columns - 1
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64) + 16)
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-        some = batch.slice(at, to - at)
-        yield some, some.column(text).to_pylist()
-        at = to
+def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch, whose last column is a text, and their texts."""
+    for some in slices(batch):
+        yield some, some.column(batch.num_columns - 1).to_pylist()
 
 
 def sets(df: DataFrame, keep: str, text: Column) -> DataFrame:
     """Rows (the columns `keep`, n_shingles, hi, lo), hi and lo null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for some, texts in texts_of(batch):
                 found = shingle_sets(texts)
@@ -169,6 +163,7 @@ def shared_shingles(df: DataFrame, text: Column, buckets: int) -> DataFrame:
     """Rows (bucket of set ids, block): for each set the shingles that other sets have too, with the rank of their frequency."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         ids: list[tuple[int, int]] = []
@@ -196,6 +191,7 @@ def shared_shingles(df: DataFrame, text: Column, buckets: int) -> DataFrame:
             yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for _, blobs in buckets_of(batches):
             head, tokens, _ = joined(blobs)
             own = np.repeat(np.arange(len(head["k"])), head["k"])
@@ -227,6 +223,7 @@ def survivors(shared: DataFrame, buckets: int) -> DataFrame:
     they are), tokens (the shared ones, sorted), pre0 (the prefix under the first order and one shingle more), pre1, ... (prefixes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for _, blobs in buckets_of(batches):
             head, tokens, rank = joined(blobs, True)
             first, of = distinct(head)
@@ -270,6 +267,7 @@ def verify(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
     side = lambda x: sets_.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), *[F.col(c).alias(f"{c}{x}") for c in more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             na, nb = (batch.column(j).to_pylist() for j in (2, 4))
             ta, tb = batch.column(3), batch.column(5)
@@ -318,7 +316,7 @@ def other_pairs(entries: DataFrame, sets_: DataFrame, roots: DataFrame, done: Da
 
 def set_links(df: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
     """Rows (node, root): the sets that aren't the smallest node of their component, and that one; and the survivors."""
-    buckets = tasks_for(df)
+    buckets = tasks_for(df, 8 << 20)
     sets_ = stage(survivors(shared_shingles(df, text, buckets), buckets), "survivors")
     entries = stage(prefixes(sets_), "prefixes")
     tried = stage(central_pairs(entries), "central_pairs")
@@ -364,6 +362,7 @@ def links_by_set(sets_: DataFrame, roots: DataFrame, copies: DataFrame) -> DataF
     cells = cells.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "copies", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
         for (_, i, j), group in groupby(rows, lambda r: r[:3]):
             block, node, n, c, t = zip(*[r[3:] for r in group], strict=True)

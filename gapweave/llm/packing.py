@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gapweave.llm.common import stage, table
+from gapweave.llm.common import lean, slices, stage, table
 from gapweave.llm.tokens import vocabulary, word_ids
 
 CAPACITY = 2048
 #: The least squares end when a round moves the counts by less than this share.
-CLOSE, ROUNDS = 1e-5, 3000
+CLOSE, ROUNDS = 1e-4, 1000
 
 
 def exact_patterns(h: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
@@ -133,10 +133,11 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, file: str,
     typed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         table, part, ranks = word_ids(file), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for some in (x for batch in batches for x in slices(batch)):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 ids = memoryview(table.text(text) + end)
                 for i in range(0, len(ids), 4 * capacity):
                     piece = ids[i : i + 4 * capacity]

@@ -30,15 +30,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gapweave.llm.common import discard, few, read_from_files, shared_dir, stage, table
+from gapweave.llm.common import discard, few, lean, read_from_files, shared_dir, slices, stage, table
 from gapweave.llm.tokens import vocabulary, word_ids
 
 STRIDE = 256
 KEY = 20_240_229
 #: Records of a shard, the last one of all aside.
-SHARD = 1 << 16
+SHARD = 1 << 15
 #: Bytes of records that a task holds before it sends them.
-HOLD = 16 << 20
+HOLD = 8 << 20
 NO_ID = -(1 << 63)
 
 
@@ -66,11 +66,10 @@ def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = 6) -> np
 
 
 def pack(docs: np.ndarray, pieces: np.ndarray, n: np.ndarray, ids: bytes, slots: np.ndarray | None = None) -> bytes:
-    """Records as bytes: what is known of each, then all ids, low bytes before high ones."""
-    both = np.frombuffer(ids, np.uint8).reshape(-1, 2).T
+    """Records as bytes: what is known of each, then all ids."""
     parts = [len(n).to_bytes(8, "little"), docs.astype("<i8").tobytes(), pieces.astype("<i4").tobytes(), n.astype("<i4").tobytes()]
-    parts += [slots.astype("<i8").tobytes() if slots is not None else b"", both.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    parts += [slots.astype("<i8").tobytes() if slots is not None else b"", ids]
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
 def unpack(block: bytes, slotted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
@@ -79,9 +78,7 @@ def unpack(block: bytes, slotted: bool = False) -> tuple[np.ndarray, np.ndarray,
     k = int.from_bytes(raw[:8], "little")
     docs, pieces, n = np.frombuffer(raw, "<i8", k, 8), np.frombuffer(raw, "<i4", k, 8 + 8 * k), np.frombuffer(raw, "<i4", k, 8 + 12 * k)
     at = 8 + 16 * k
-    slots = np.frombuffer(raw, "<i8", k, at) if slotted else None
-    both = np.frombuffer(raw, np.uint8, -1, at + 8 * k * slotted).reshape(2, -1)
-    return docs, pieces, n, slots, np.ascontiguousarray(both.T).view("<u2").ravel()
+    return docs, pieces, n, np.frombuffer(raw, "<i8", k, at) if slotted else None, np.frombuffer(raw, "<u2", -1, at + 8 * k * slotted)
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str, file: str, stride: int, end_id: int) -> DataFrame:
@@ -89,6 +86,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, file: str, stride: int, en
     end = end_id.to_bytes(2, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         table = word_ids(file, "<u2")
         held: list[tuple[int, int, bytes]] = []
         path = first = following = None
@@ -99,8 +97,8 @@ def blocks(df: DataFrame, id_col: str, text_col: str, file: str, stride: int, en
             block = pack(np.array(docs, np.int64), np.array(pieces, np.int32), n, b"".join(ids))
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([block], pa.binary())], ["path", "first", "records", "block"])
 
-        for batch in batches:
-            for here, row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for some in (x for batch in batches for x in slices(batch)):
+            for here, row, doc, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 if held and (here != path or row != following or len(held) * 2 * stride >= HOLD):
                     yield send()
                     held = []
@@ -137,6 +135,7 @@ def materialise(
     bases = stage(bases.select("path", "first", (F.col("before") + F.col("inside")).alias("base")), "bases")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for base, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs, pieces, n, _, ids = unpack(block.as_buffer())
@@ -148,11 +147,12 @@ def materialise(
                 yield pa.RecordBatch.from_arrays([pa.array(shard[order[cuts]], pa.int64()), pa.array(out, pa.binary())], ["shard", "block"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(to if "://" in to else f"file://{to}")
         store.create_dir(folder, recursive=True)
-        rows = ((s, b) for batch in batches for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        rows = ((s, b.as_buffer()) for batch in batches for s, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
         for shard, group in groupby(rows, lambda r: r[0]):
             have = min(per_shard, total - shard * per_shard)
             out, known = np.zeros((have, stride), "<u2"), np.zeros((3, have), np.int64)

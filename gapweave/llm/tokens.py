@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries in each of a worker's two generations, of words and of pieces; bounds its memory, not its results.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Texts of printable ASCII, blanks, line feeds and Latin-1 letters: one normal form, one lower case, no marks.
 PLAIN = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 #: Fixed value: the split pattern of the vocabulary file, for such texts in lower case.
