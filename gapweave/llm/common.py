@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space, the word separator of every operator: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch.
+BATCH = 2 << 20
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -40,10 +42,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as Parquet into the shared folder and reads it back.
 
     This cuts the lineage: what follows reads files that survive a lost
-    executor, and a plan used twice is computed once.
+    executor, and a plan used twice is computed once. While it is written, Arrow
+    batches are BATCH bytes: a batch is held by the JVM and by a worker at once.
     """
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before_ = conf.get(key)
+    conf.set(key, str(BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before_)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
