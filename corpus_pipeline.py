@@ -1,4 +1,10 @@
-"""The corpus pipeline: STAGES in order, each written and read again before the next."""
+"""The corpus pipeline: STAGES in order, each written and read again before the next.
+
+Every stage but the last returns the columns of its input, whatever their names.
+Rows are judged one by one, so null and repeated ids are rows like others. Null
+and empty texts fail the quality rules, so no later stage meets them. An empty
+table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +15,27 @@ from gapweave.llm.common import stage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
+    """Drops the documents that the quality rules reject; null and empty texts are among them."""
     return quality.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    """Keeps one row of each group of near duplicates, the one with the smallest id; rows without words all stay."""
     return ngram_join.first_rows(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that overlap a benchmark item."""
+    """Drops the documents that overlap a benchmark item; null texts overlap none, null items match nothing."""
     return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacts personal data and disclosing terms; n_chars follows the new text."""
+    """Redacts personal data and disclosing terms; n_chars follows the new text, a null text stays null."""
     return pii.redact(docs, measure="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences; a row per piece."""
+    """Packs what is left into sequences; a row per piece, one of length 1 for a text without tokens."""
     return packing.pack(docs)
 
 
