@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapweave.functions import geometry as g
 from gapweave.functions.ids import make_uid
@@ -113,3 +113,32 @@ def prediction_gaps(coarse: DataFrame, fine_min: float) -> DataFrame:
     gaps = gaps.withColumn("n_points", F.greatest(F.bround(F.col("coarse_dt_min") / fine_min).cast("int") + 1, F.lit(2))).withColumn("setting_name", name)
     time = F.date_format("start_time", "yyyy-MM-dd HH:mm:ss")
     return gaps.withColumn("task_uid", make_uid(*[F.col(c) for c in KEY], F.col("setting_name"), time, F.col("i")))
+
+
+SETTING = "array<struct<coarse_dt_min:double,fine_dt_min:double,setting_name:string>>"
+
+
+def settings_of(json: Column, fallback_fine: Column | None = None, coarse: Sequence[int] = ()) -> Column:
+    """Settings from their JSON text: those of positive minutes that divide, each once, in order.
+
+    A missing name is made from the minutes. Where none is left, the coarse intervals
+    that the fallback's fine minutes divide; nothing where there is no such interval.
+    """
+    name = lambda c, f: F.format_string("%dmin_to_%dmin", F.bround(c).cast("int"), F.bround(f).cast("int"))
+    fits = lambda c, f: (c > 0) & (f > 0) & (F.abs(c / f - F.bround(c / f)) <= 1e-6) & (c < float("inf"))
+    given = F.filter(F.coalesce(F.from_json(json, SETTING), F.array().cast(SETTING)), lambda s: F.coalesce(fits(s.coarse_dt_min, s.fine_dt_min), F.lit(False)))
+    own = F.coalesce(F.array_distinct(F.transform(given, lambda s: F.struct(
+        F.round(s.coarse_dt_min, 6).alias("coarse_dt_min"), F.round(s.fine_dt_min, 6).alias("fine_dt_min"),
+        F.coalesce(F.nullif(s.setting_name, F.lit("")), name(s.coarse_dt_min, s.fine_dt_min)).alias("setting_name"),
+    ))), F.array().cast(SETTING))
+    if fallback_fine is None:
+        return own
+    fine = F.nullif(fallback_fine.cast("double"), F.lit(float("nan")))
+    usual = F.filter(F.array(*[F.lit(float(c)) for c in coarse]), lambda c: F.coalesce(fits(c, fine) & (c >= fine), F.lit(False)))
+    made = F.transform(usual, lambda c: F.struct(c.alias("coarse_dt_min"), fine.alias("fine_dt_min"), name(c, fine).alias("setting_name")))
+    return F.when(F.size(own) > 0, own).otherwise(made.cast(SETTING))
+
+
+def settings_json(settings: Column) -> Column:
+    """Settings as JSON text."""
+    return F.to_json(settings)

@@ -77,3 +77,42 @@ def balanced_sample(df: DataFrame, uid: str, groups: Sequence[str], most: int, s
     ranked = hashed.withColumn("_r", F.row_number().over(w))
     order = [(F.col("_r") > quota).cast("int"), F.when(F.col("_r") > quota, F.col("_h")), F.when(F.col("_r") > quota, F.col(uid)), *[F.col(c) for c in groups], "_h", uid]
     return ranked.orderBy(*order).limit(most).drop("_h", "_r")
+
+
+def repaired(df: DataFrame, saved: DataFrame | None, keys: Sequence[str], strata: Sequence[str], seed: int = SEED) -> DataFrame:
+    """Rows with every individual in one split, and its individual_key.
+
+    Saved splits (individual_key, split; the first by name of a key's) go before the rows' own. If then any
+    individual is in two splits or has none, or no saved split fits, all individuals are split anew.
+    """
+    rows = df if "split" in df.columns else df.withColumn("split", F.lit(None).cast("string"))
+    rows = rows.withColumn("individual_key", F.concat_ws("|", *keys))
+    fresh = individual_split(rows, keys, strata, seed).select("individual_key", F.col("split").alias("_new"))
+    if saved is None:
+        return rows.drop("split").join(fresh, "individual_key").withColumnRenamed("_new", "split")
+    once = saved.groupBy("individual_key").agg(F.min("split").alias("_saved"))
+    met = rows.join(once, "individual_key", "left").withColumn("split", F.coalesce("_saved", "split"))
+    state = met.groupBy("individual_key").agg(F.count_distinct("split").alias("_k"), F.count_if(F.col("split").isNull()).alias("_none"), F.count("_saved").alias("_fit"))
+    bad = state.agg(F.coalesce(F.max((F.col("_k") > 1) | (F.col("_none") > 0)) | (F.sum("_fit") == 0), F.lit(False)).alias("_bad"))
+    out = met.join(fresh, "individual_key").crossJoin(F.broadcast(bad))  # one row
+    return out.withColumn("split", F.when(F.col("_bad"), F.col("_new")).otherwise(F.col("split"))).drop("_saved", "_new", "_bad")
+
+
+def formal_tables(tasks: DataFrame, points: DataFrame | None, saved: DataFrame | None, taxa: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Gaps of the taxa in scope with repaired splits, the points of those gaps, and the split table."""
+    scope = tasks.filter(F.lower("taxon").isin(*[t.lower() for t in taxa]))
+    out = repaired(scope, saved, keys, ["taxon"])
+    kept = points.join(out.select("task_uid").distinct(), "task_uid", "left_semi") if points is not None else None
+    own = ["individual_key", *dict.fromkeys([*keys, "taxon"])]
+    return out, kept, out.select(*own, "split").distinct()
+
+
+def split_report(tasks: DataFrame, splits: DataFrame) -> DataFrame:
+    """Counts of gaps and individuals in all, by split, and by taxon and split; rows figure, taxon, split, n. A count over no rows is 0 for the totals and absent for the others."""
+    counts = lambda df, figure, by: df.groupBy(*by).agg(F.count("*").alias("n")).select(
+        F.lit(figure).alias("figure"), *[F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in ("taxon", "split")], "n"
+    )
+    out = counts(tasks, "n_tasks", []).unionByName(counts(splits.select("individual_key").distinct(), "n_individuals", []))
+    for figure, df, by in (("tasks_by_split", tasks, ["split"]), ("tasks_by_taxon_split", tasks, ["taxon", "split"]), ("individuals_by_taxon_split", splits, ["taxon", "split"])):
+        out = out.unionByName(counts(df, figure, by))
+    return out

@@ -581,6 +581,7 @@ def family_paths(spark, sf) -> DataFrame:
     named = weighted.withColumns({"anchor": null.cast("string"), "lam": null.cast("double")}).unionByName(mixed)
     name = families.method_name(*[F.col(c) for c in ("family", "score", "beta", "anchor", "lam")])
     out = named.select("task_uid", name.alias("method"), null.cast("int").alias("source_rank"), "path")
+    out = out.unionByName(families.anchor_methods(scored).withColumn("source_rank", null.cast("int")))
     for more in (families.diverse(scored), generators.ecological(test, generators.artifacts(train)), generators.latent(train, test)):
         out = out.unionByName(more.select("task_uid", "method", F.col("source_rank").cast("int"), "path"))
     return out

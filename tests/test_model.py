@@ -1,5 +1,6 @@
 """The model end to end, and the streaming gap filler."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gapweave.plans import model as m, queries as plans
@@ -52,3 +53,68 @@ def test_metric_bundle(spark, tmp_path):
 
     metric_bundle(plans.paired_of(spark, SF), str(tmp_path), "val")
     assert spark.read.parquet(str(tmp_path / "val_method.parquet")).count() == 3
+
+
+def test_raster_discovery(spark, tmp_path):
+    from gapweave.sources import rasters
+
+    for name in ("slope.tif", "deep/Cover.TIF", "deep/slope.asc", "notes.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("")
+    found = rasters.discover(spark, str(tmp_path), {"grade": str(tmp_path / "slope.tif")})
+    assert found["grade"] == str(tmp_path / "slope.tif") and set(found) == {"grade", "Cover", "slope"} and found["slope"].endswith("deep/slope.asc")
+    assert set(rasters.discover(spark, str(tmp_path), recursive=False)) == {"slope"}
+    assert rasters.discover(spark, str(tmp_path / "none")) == {} == rasters.discover(spark, None)
+
+
+def test_reproject(spark):
+    from pyspark.sql import functions as F
+
+    from gapweave.sources import rasters
+
+    with pytest.raises(ValueError, match="3857"):
+        rasters.reproject(F.lit(0.0), F.lit(0.0), 3857, 4326)
+    x, y = rasters.reproject(F.lit(-75.0), F.lit(-33.5), 4326, 32718)
+    east, north = spark.range(1).select(x, y).first()
+    assert abs(east - 500000) < 1e-6 and 6_200_000 < north < 6_300_000
+    lon, lat = spark.range(1).select(*rasters.reproject(F.lit(east), F.lit(north), 32718, 4326)).first()
+    assert abs(lon + 75) < 1e-9 and abs(lat + 33.5) < 1e-8
+
+
+def test_reports_on_edges(spark):
+    """Empty tables, nulls, NaN, one value, ties."""
+    from pyspark.sql import functions as F
+
+    from gapweave.operators import regimes, reporting
+
+    rows = "task_uid string, method string, regime string, ADE double, ade_ratio_to_linear double, better_than_linear double, split string"
+    none = spark.createDataFrame([], rows)
+    nan = float("nan")
+    for made in (reporting.compact(none), reporting.histogram(none, "ADE"), reporting.clipped(none, "ADE"), reporting.value_counts(none, ["regime"], "method", "ADE"),
+                 reporting.weighted_means(none, ["regime"], "ADE", ["ADE"]), regimes.choose(none, "linear"), regimes.ranked_sets(none, none, (1,)), reporting.common_gaps(none, ["a"])):
+        assert made.count() == 0
+    odd = spark.createDataFrame([("a", "m", None, 2.0, None, None, None), ("a", "m", None, nan, nan, None, None), ("b", None, "r", None, 1.0, 1.0, "validation"), ("b", None, "r", float("inf"), 1.0, 1.0, "validation")], rows)
+    assert [tuple(r) for r in reporting.histogram(odd, "ADE").collect()] == [(0, 2.0, 2.0, 1)]
+    assert {r.regime: (r.dominant_method, r.method_counts) for r in reporting.value_counts(odd, ["regime"], "method", "ADE").collect()} == {None: ("m", "m:2"), "r": ("unknown", "unknown:2")}
+    assert reporting.weighted_means(odd.filter("task_uid = 'a'").withColumn("w", F.lit(0.0)), ["task_uid"], "w", ["ADE"]).first().weighted_ADE == 1.0
+    # a better method that wins too seldom is passed over for the default; a plain winner is not
+    seen = [("t1", "x", "r", 1.0, 0.98, 0.0, "validation"), ("t2", "x", "r", 1.0, 0.98, 0.0, "validation"), ("t1", "d", "r", 1.0, 1.0, 0.9, "validation"), ("t2", "d", "r", 1.0, 1.0, 0.9, "validation")]
+    df = spark.createDataFrame(seen, rows)
+    assert tuple(regimes.choose(df, "d").first()) == ("r", "d", "default_guarded_no_eligible")
+    plain = df.withColumn("method", F.when(F.col("method") == "x", "linear").otherwise("d"))
+    assert tuple(regimes.choose(plain, "d").first()) == ("r", "linear", "fallback_to_clear_regime_winner")
+    # a chosen method that a gap lacks gives way to the default, then the chord
+    pool = spark.createDataFrame([("t3", "linear", "q", 1.0, 1.0, 0.0, "test"), ("t4", "z", None, 1.0, 1.0, 0.0, "test")], rows)
+    got = {r.task_uid: (r.method, r.source_method) for r in regimes.apply_choices(pool, regimes.choose(df, "d"), "d", "sel").collect()}
+    assert got == {"t3": ("sel", "linear"), "t4": ("sel", "z")}
+
+
+def test_split_repair_without_individuals(spark):
+    from gapweave.operators import splits
+
+    df = spark.createDataFrame([("d", "a", "t", None), ("d", "a", "t", "test"), ("d", "b", "t", "train")], "dataset string, animal_id string, taxon string, split string")
+    saved = spark.createDataFrame([("d|z", "train")], "individual_key string, split string")
+    for given in (None, saved):
+        out = splits.repaired(df, given, ["dataset", "animal_id"], ["taxon"])
+        assert out.count() == 3 and splits.leaks(out).count() == 0 and out.filter("split is null").count() == 0
+    assert splits.repaired(df.limit(0), saved, ["dataset", "animal_id"], ["taxon"]).count() == 0
