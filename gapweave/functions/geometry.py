@@ -145,6 +145,27 @@ def hermite_path(a: Column, b: Column, n: Column, before: Column, after: Column,
     return at_fractions(n, at)
 
 
+def flow_path(a: Column, b: Column, n: Column, before: Column, after: Column) -> Column:
+    """Cubic Hermite path whose tangents have the headings before and after, and the chord's length; the chord where a heading is unknown."""
+    d, base = distance(a, b), point(b.x - a.x, b.y - a.y)
+
+    def tangent(known: Column, p: Column, q: Column) -> Column:
+        leg = distance(p, q)
+        return F.when(known.isNotNull() & (leg > 0), point((q.x - p.x) / leg * d, (q.y - p.y) / leg * d)).otherwise(base)
+
+    # unit tangents at the ends' distances stand for fixes before and after: the tension is the tangents' share
+    m0, m1 = tangent(before, before, a), tangent(after, b, after)
+    bent = hermite_path(a, b, n, point(a.x - m0.x, a.y - m0.y), point(b.x + m1.x, b.y + m1.y), tension=0.55)
+    return F.when(d > 0, bent).otherwise(linear_path(a, b, n))
+
+
+def with_residual(base: Column, path: Column, chord_: Column, weight: Column) -> Column:
+    """A path with a share of what another adds to the chord; its ends stay the chord's."""
+    n = F.size(base)
+    moved = F.zip_with(base, F.zip_with(resample(path, n), chord_, lambda p, c: point(p.x - c.x, p.y - c.y)), lambda p, r: point(p.x + weight * r.x, p.y + weight * r.y))
+    return F.transform(moved, lambda p, i: F.when(i == 0, F.element_at(chord_, 1)).when(i == n - 1, F.element_at(chord_, -1)).otherwise(p))
+
+
 def rtg_path(a: Column, b: Column, n: Column, lateral: float = 0.15) -> Column:
     """The chord with a half sine wave to its left."""
     d = distance(a, b)
@@ -217,7 +238,7 @@ def turns(path: Column) -> Column:
     return F.coalesce(mean(pairs), F.lit(0.0))
 
 
-def blend(a: Column, b: Column, weight: float) -> Column:
+def blend(a: Column, b: Column, weight: Column | float) -> Column:
     """(1 - weight) a + weight b, point by point."""
     return F.zip_with(a, b, lambda p, q: point((1 - weight) * p.x + weight * q.x, (1 - weight) * p.y + weight * q.y))
 

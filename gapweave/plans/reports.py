@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gapweave.operators import evaluate, families, regimes, reporting, series, splits
+from gapweave.functions import geometry as g
+from gapweave.operators import evaluate, families, regimes, reporting, series, splits, variants
 from gapweave.plans import oracle as o, oracle_motifs as om
 from gapweave.plans.queries import INDIVIDUAL, PAIRED, SPLIT, event_fixes, family_benchmark, load, long_path, long_sql, paired_of, paired_split, paths_of, query, r6, scored_of, tasks_of
 from gapweave.sources import metadata, rasters
@@ -150,6 +151,51 @@ def anchor_methods(spark, sf):
     return long_path(families.anchor_methods(scored_of(spark, sf)[0]), "path", "method")
 
 
+_m = lambda c, known, p, q: f"CASE WHEN {known} IS NOT NULL AND {o.dist(p, q)} > 0 AND {o.dist('s', 'e')} > 1e-9 THEN ({q}.{c} - {p}.{c}) / {o.dist(p, q)} * {o.dist('s', 'e')} ELSE e.{c} - s.{c} END"
+_f = lambda c: f"(2*t**3 - 3*t**2 + 1) * s.{c} + (t**3 - 2*t**2 + t) * 0.55 * ({_m(c, 'prev', 'prev', 's')}) + (3*t**2 - 2*t**3) * e.{c} + (t**3 - t**2) * 0.55 * ({_m(c, 'nxt', 'e', 'nxt')})"
+FLOW = o.fractions("{'x': " + _f("x") + ", 'y': " + _f("y") + "}")
+
+
+@query(o.with_(o.tasks()) + f", l AS (SELECT task_uid, {FLOW} AS path FROM tasks) " + long_sql("l"))
+def two_sided_flow(spark, sf):
+    return long_path(variants.two_sided(tasks_of(spark, sf)))
+
+
+@query(o.with_(o.tasks()) + f", l AS (SELECT task_uid, n_points AS n, {o.RTG} AS path FROM tasks), h AS (SELECT task_uid, n, path, gamma, i, ((i - 1) / (n - 1)) ** gamma * (n - 1) AS u FROM l, (SELECT unnest([0.75, 1.3])::DOUBLE AS gamma), (SELECT unnest(range(1, 20)) AS i) WHERE i <= n) "
+       + "SELECT task_uid, gamma, (i - 1)::INT AS point_order, round(path[floor(u)::INT + 1].x + (u - floor(u)) * (path[least(floor(u)::INT + 2, n)].x - path[floor(u)::INT + 1].x), 6) + 0.0 AS x, round(path[floor(u)::INT + 1].y + (u - floor(u)) * (path[least(floor(u)::INT + 2, n)].y - path[floor(u)::INT + 1].y), 6) + 0.0 AS y FROM h")
+def phase_warp(spark, sf):
+    t, (s, e, n) = tasks_of(spark, sf), (F.col(c) for c in ("start", "end", "n_points"))
+    both = F.array(*[F.struct(F.lit(x).alias("gamma"), g.phase_warp(g.rtg_path(s, e, n), x).alias("path")) for x in (0.75, 1.3)])
+    return long_path(t.select("task_uid", F.explode(both).alias("m")).select("task_uid", "m.gamma", "m.path"), "path", "gamma")
+
+
+TRUSTED = om.MIXED + """, cf0 AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY task_uid ORDER BY total_cost, candidate_order) <= 20),
+cf1 AS (SELECT task_uid, count(*) FILTER (style = 'retrieved_motif') AS n, max(-total_cost) AS best, quantile_cont(-total_cost, 0.75) AS q, count(*) AS every_, arg_min({'d': cost_direction, 'c': cost_context, 'e': cost_efficiency, 's': cost_source_shape, 'r': path_ratio}, row(total_cost, candidate_order)) AS f FROM cf0 GROUP BY task_uid),
+cf AS (SELECT task_uid, 0.22 * least(1, n / 8) + 0.18 * exp(-f.d) + 0.14 * exp(-f.c / 1.2) + 0.14 * exp(-f.e) + 0.12 * exp(-f.s) + 0.10 * CASE WHEN every_ > 1 THEN greatest(0, least(1, (best - q) / (abs(best) + 1e-6))) ELSE 0.5 END + 0.10 * CASE WHEN f.r > 0 THEN exp(-abs(ln(greatest(f.r, 1e-6))) / 0.75) ELSE 0.5 END AS confidence FROM cf1)"""
+
+
+@query(o.with_(TRUSTED) + "SELECT task_uid, round(confidence, 6) + 0.0 AS confidence FROM cf")
+def confidence(spark, sf):
+    return variants.confidence(scored_of(spark, sf)[0]).select("task_uid", r6("confidence"))
+
+
+@query(o.with_(TRUSTED) + f""", ab AS (SELECT task_uid, 'pretrained_motif_adaptive_blend_direct_weighted_' || score || '_K20_b' || beta::DOUBLE AS method, 0.12 + 0.6 * confidence AS w, coalesce(dr, t) AS a, path FROM rep JOIN an USING (task_uid) JOIN cf USING (task_uid) WHERE beta IN (0.35, 0.5)),
+ac AS (SELECT task_uid, method, list_transform(range(1, len(path) + 1), lambda i: {{'x': (1 - w) * a[i].x + w * path[i].x, 'y': (1 - w) * a[i].y + w * path[i].y}}) AS path FROM ab) """ + long_sql("ac", "path", "method"))
+def adaptive_blends(spark, sf):
+    return long_path(variants.adaptive_blends(scored_of(spark, sf)[0]), "path", "method")
+
+
+@query(o.with_(TRUSTED) + f""", rw AS (SELECT task_uid, 'weighted_cost_rank_K20_b' || beta::DOUBLE AS source, path FROM rep WHERE score = 'cost_rank' AND beta IN (0.35, 0.5) UNION ALL SELECT task_uid, 'top1', t FROM an WHERE t IS NOT NULL
+ UNION ALL SELECT task_uid, 'top1_phase_g' || gamma, list_transform(list_transform(range(0, len(t)), lambda k: (k / (len(t) - 1)) ** gamma * (len(t) - 1)), lambda u: {{'x': t[floor(u)::INT + 1].x + (u - floor(u)) * (t[least(floor(u)::INT + 2, len(t))].x - t[floor(u)::INT + 1].x),
+ 'y': t[floor(u)::INT + 1].y + (u - floor(u)) * (t[least(floor(u)::INT + 2, len(t))].y - t[floor(u)::INT + 1].y)}}) FROM an, (SELECT unnest([0.9, 1.1])::DOUBLE AS gamma) WHERE t IS NOT NULL),
+rb AS (SELECT task_uid, source, path, confidence, {o.LINEAR} AS chord, {FLOW} AS flow FROM rw JOIN te USING (task_uid) JOIN cf USING (task_uid)),
+rm AS (SELECT task_uid, 'pretrained_motif_residual_' || short || '_' || source || '_lam' || lam AS method, CASE lam WHEN 'conf' THEN greatest(0.05, least(0.85, confidence)) ELSE 0.5 END AS w, CASE short WHEN 'flow' THEN flow ELSE chord END AS base, path, chord FROM rb, (SELECT unnest(['conf', '0p5']) AS lam), (SELECT unnest(['linear', 'flow']) AS short)),
+rn AS (SELECT task_uid, method, list_transform(range(1, len(base) + 1), lambda i: CASE WHEN i = 1 THEN chord[1] WHEN i = len(base) THEN chord[len(base)] ELSE {{'x': base[i].x + w * (path[i].x - chord[i].x), 'y': base[i].y + w * (path[i].y - chord[i].y)}} END) AS path FROM rm) """ + long_sql("rn", "path", "method"))
+def residual_paths(spark, sf):
+    scored, test = scored_of(spark, sf)
+    return long_path(variants.residuals(scored, test), "path", "method")
+
+
 query()(family_benchmark)
 
 # --- splits, settings, metadata ------------------------------------------------------------

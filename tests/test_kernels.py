@@ -119,3 +119,20 @@ def test_utm(spark):
     rows = df.select(x.alias("x"), y.alias("y")).collect()
     assert abs(rows[0].x - 500000) < 1e-6 and abs(rows[0].y) < 1e-6
     assert abs(rows[1].x - 27253.0) < 500 and 4.98e6 < rows[1].y < 5.01e6
+
+
+def test_sql_functions(spark):
+    """SQL functions give what the column functions give, on null and short paths too."""
+    from gapweave.functions import sql
+
+    assert "gw_path_ade" in sql.register(spark)
+    rows = [([(0.0, 0.0), (3.0, 4.0), (3.0, 9.0)], [(0.0, 1.0), (3.0, 4.0), (0.0, 5.0)], " a1 .0"), ([(1.0, 1.0)], [(2.0, 1.0)], "31899.0"), ([], [], ""), (None, None, None)]
+    df = spark.createDataFrame(rows, "path array<struct<x:double,y:double>>, truth array<struct<x:double,y:double>>, value string")
+    p, t, v = F.col("path"), F.col("truth"), F.col("value")
+    pairs = {
+        "gw_path_length_m(path)": g.path_length(p), "gw_path_directness(path)": g.directness(p), "gw_path_ade(path, truth)": g.ade(p, t), "gw_path_rmse(path, truth)": g.rmse(p, t),
+        "gw_path_blend(path, truth, 0.25D)": g.blend(p, t, 0.25), "gw_normalize_id(value)": ids.normalize_id(v), "gw_animal_key(value)": ids.animal_key(v), "gw_stable_hash01(value)": ids.hash01(v),
+    }
+    for text, column in pairs.items():
+        for got in df.selectExpr(f"{text} AS a", "path", "truth", "value").withColumn("b", column).collect():
+            assert got.a == got.b or abs(got.a - got.b) < 1e-12, (text, got)

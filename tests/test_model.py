@@ -118,3 +118,25 @@ def test_split_repair_without_individuals(spark):
         out = splits.repaired(df, given, ["dataset", "animal_id"], ["taxon"])
         assert out.count() == 3 and splits.leaks(out).count() == 0 and out.filter("split is null").count() == 0
     assert splits.repaired(df.limit(0), saved, ["dataset", "animal_id"], ["taxon"]).count() == 0
+
+
+def test_opt_in_families(spark):
+    """Gaps without retrieved candidates, without headings and without length."""
+    from gapweave.operators import variants
+
+    kind = "task_uid string, style string, candidate_order int, total_cost double, rank int, path_ratio double, listwise_probability double, path array<struct<x:double,y:double>>, " + ", ".join(f"cost_{c} double" for c in variants.SCALES)
+    chord = [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]
+    bent = [(0.0, 0.0), (1.0, 1.0), (2.0, 0.0)]
+    scored = spark.createDataFrame([("a", "direct_identity", 0, 1.0, 1, 1.0, 1.0, chord, None, 0.0, 0.0, 0.0), ("b", "retrieved_motif", 0, 1.0, 1, None, 1.0, bent, 0.0, 0.0, 0.0, 0.0)], kind)
+    trust = {r.task_uid: r.confidence for r in variants.confidence(scored).collect()}
+    assert abs(trust["a"] - (0.18 * 0.5 + 0.14 + 0.14 + 0.12 + 0.05 + 0.10)) < 1e-12
+    assert abs(trust["b"] - (0.22 / 8 + 0.18 + 0.14 + 0.14 + 0.12 + 0.05 + 0.05)) < 1e-12
+    ends = "task_uid string, start struct<x:double,y:double>, end struct<x:double,y:double>, n_points int, prev struct<x:double,y:double>, next struct<x:double,y:double>"
+    tasks = spark.createDataFrame([("a", (0.0, 0.0), (2.0, 0.0), 3, None, None), ("b", (0.0, 0.0), (2.0, 0.0), 3, None, None), ("c", (1.0, 1.0), (1.0, 1.0), 3, (0.0, 0.0), None)], ends)
+    flow = {r.task_uid: [tuple(p) for p in r.path] for r in variants.two_sided(tasks).collect()}
+    assert flow["c"] == [(1.0, 1.0)] * 3 and flow["a"][0] == (0.0, 0.0) and flow["a"][-1] == (2.0, 0.0)
+    rows = variants.every(scored, tasks).collect()
+    assert not [r for r in rows if r.task_uid == "a" and "top1" in r.method]
+    half = {r.method: [tuple(p) for p in r.path] for r in rows if r.task_uid == "b"}["pretrained_motif_residual_linear_top1_lam0p5"]
+    assert half == [(0.0, 0.0), (1.0, 0.5), (2.0, 0.0)]
+    assert variants.every(scored.limit(0), tasks.limit(0)).count() == 0

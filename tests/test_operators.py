@@ -15,7 +15,7 @@ from gapweave.operators import families, generators, library, scoring, selection
 from gapweave.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"motif_library", "retrieve_rerank", "candidates", "score_candidates", "representatives", "blend_grid", "diverse_sr", "anchor_methods", "guarded_paths", "select_paths"}
+SLOW = {"motif_library", "retrieve_rerank", "candidates", "score_candidates", "representatives", "blend_grid", "diverse_sr", "anchor_methods", "guarded_paths", "select_paths", "confidence", "adaptive_blends", "residual_paths"}
 
 
 @pytest.fixture(scope="module")
