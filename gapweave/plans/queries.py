@@ -796,10 +796,10 @@ def fewshot_calibration(spark, sf):
     return transfer.past_calibration(t, t, DAYS).select("task_uid", "days", "calibration_uid")
 
 
-@query(o.with_(FEW) + ", n AS (SELECT t.task_uid, d.days, count(fs.task_uid) AS n FROM tasks t CROSS JOIN dd d LEFT JOIN fs ON fs.task_uid = t.task_uid AND fs.days = d.days GROUP BY ALL) SELECT days::INT AS days, count(*) AS n_targets, count(*) FILTER (n > 0) AS n_covered, round(avg(n), 6) + 0.0 AS mean_gaps, median(n)::DOUBLE AS median_gaps FROM n GROUP BY days")
+@query(o.with_(FEW) + ", n AS (SELECT t.task_uid, d.days, count(fs.task_uid) AS n FROM tasks t CROSS JOIN dd d LEFT JOIN fs ON fs.task_uid = t.task_uid AND fs.days = d.days GROUP BY ALL) SELECT days::INT AS days, count(*) AS n_targets, count(*) FILTER (n > 0) AS n_covered, round(avg((n > 0)::INT), 6) + 0.0 AS coverage_rate, sum(n)::BIGINT AS n_gaps, round(avg(n), 6) + 0.0 AS mean_gaps, median(n)::DOUBLE AS median_gaps FROM n GROUP BY days")
 def fewshot_coverage(spark, sf):
     t = tasks_of(spark, sf)
-    return transfer.coverage(t, transfer.past_calibration(t, t, DAYS), DAYS).select("days", "n_targets", "n_covered", r6("mean_gaps"), "median_gaps")
+    return transfer.coverage(t, transfer.past_calibration(t, t, DAYS), DAYS).select("days", "n_targets", "n_covered", r6("coverage_rate"), "n_gaps", r6("mean_gaps"), "median_gaps")
 
 
 @query(o.with_(o.tasks()) + """, f AS (SELECT dataset || '|' || taxon || '|' || animal_id AS fold_key, count(*) AS n_test FROM tasks GROUP BY ALL ORDER BY fold_key LIMIT 8) SELECT (row_number() OVER (ORDER BY fold_key) - 1)::INT AS fold, fold_key, n_test, (SELECT count(*) FROM tasks) - n_test AS n_train FROM f""")
