@@ -118,6 +118,30 @@ def pooled_oracle(kept: DataFrame, name: str = "balanced_pooled_extension_top10_
     return best.select("task_uid", F.lit(name).alias("method"), F.col("b.method").alias("source_method"), F.col("b.ADE").alias("ADE"), "n_in_set", F.lit(True).alias("oracle_within_generated_set"))
 
 
+#: How many ranks of diverse and of latent paths an expanded set unites.
+UNIONS = ((3, 3), (5, 5), (10, 10))
+
+
+def expanded_oracle(rows: DataFrame, unions: Sequence[tuple[int, int]] = UNIONS) -> DataFrame:
+    """For each gap and union the row of least error among the first ranks of diverse and of latent paths; it uses truth, and is marked so.
+
+    rows: task_uid, method, family, source_rank, ADE. A set is named by how many methods it
+    unites over all gaps. No rows where either family has none; null and NaN errors never win.
+    """
+    diverse = F.col("family") == "motif_diverse_sr"
+    some = rows.filter(F.col("family").isin("motif_diverse_sr", "latent_direct")).withColumn("_p", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in unions])))
+    sized = some.filter(F.col("source_rank") <= F.when(diverse, F.col("_p.a")).otherwise(F.col("_p.b")))
+    names = sized.groupBy("_p").agg(F.count_distinct(F.when(diverse, F.col("method"))).alias("diverse_sr_k"), F.count_distinct(F.when(~diverse, F.col("method"))).alias("latent_direct_k"))
+    whole = rows.agg((F.count_if(diverse) > 0).alias("_d"), (F.count_if(F.col("family") == "latent_direct") > 0).alias("_l")).filter("_d AND _l")
+    names = names.crossJoin(whole)  # a row a union, one row
+    best = sized.filter(F.col("ADE").isNotNull() & ~F.isnan("ADE")).groupBy("task_uid", "_p").agg(F.min_by(F.struct("method", "ADE"), F.struct("ADE", "method")).alias("b")).join(F.broadcast(names), "_p")
+    k = F.col("diverse_sr_k") + F.col("latent_direct_k")
+    return best.select(
+        "task_uid", F.concat(F.lit("expanded_sr_top"), k, F.lit("_minADE_candidate_set")).alias("method"), F.col("b.method").alias("source_method"), F.col("b.ADE").alias("ADE"),
+        k.alias("candidate_set_k"), "diverse_sr_k", "latent_direct_k", F.lit(True).alias("oracle_within_generated_set"),
+    )
+
+
 #: What reports call the methods.
 LABELS = {
     "linear": "Linear", "heading_hermite": "Heading Hermite", "brownian_bridge": "Brownian bridge", "rtg_bridge": "RTG bridge",

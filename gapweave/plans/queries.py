@@ -676,14 +676,19 @@ pq AS (SELECT *, row_number() OVER (PARTITION BY task_uid, fam ORDER BY proxy, m
 ps10 AS (SELECT *, row_number() OVER (PARTITION BY task_uid ORDER BY by_quota DESC, proxy, method) AS set_rank FROM pq)"""
 
 
-def pooled(spark, sf) -> DataFrame:
+def pool_rows(spark, sf) -> DataFrame:
     """Ten candidates of each of the four families for every gap, with a cost and an error made from the baselines'."""
     m = evaluate.evaluate(paths_of(spark, sf)).select("task_uid", F.col("method").alias("base"), "ADE")
     base = F.element_at(F.array(F.lit("linear"), F.lit("heading_hermite"), F.lit("rtg_bridge")), (F.col("fam") % 3 + 1).cast("int"))
     grid = m.withColumn("fam", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter(F.col("base") == base).withColumn("source_rank", F.explode(F.sequence(F.lit(1), F.lit(10))))
     name = F.concat(F.element_at(F.array(*[F.lit(x) for x in POOL]), F.col("fam") + 1), F.format_string("%02d", "source_rank"))
     rows = grid.select("task_uid", name.alias("method"), "source_rank", F.round("ADE", 6).alias("cost"), F.round(F.col("ADE") * ((F.col("source_rank") * 7 + F.col("fam") * 3) % 11 + 1), 6).alias("ADE"))
-    rows = rows.withColumn("family", selection.candidate_family(F.col("method")))
+    return rows.withColumn("family", selection.candidate_family(F.col("method")))
+
+
+def pooled(spark, sf) -> DataFrame:
+    """The balanced set of ten of each gap's pool."""
+    rows = pool_rows(spark, sf)
     return selection.balanced_set(rows.withColumn("proxy", selection.proxy_score(rows)), "proxy")
 
 
@@ -697,6 +702,13 @@ def balanced_top10_oracle(spark, sf):
     return selection.pooled_oracle(pooled(spark, sf))
 
 
+@query(o.with_(POOLED) + """, u AS (SELECT unnest([3, 5, 10]) AS k), es AS (SELECT task_uid, k, method, ADE FROM po JOIN u ON source_rank <= k WHERE fam IN (0, 1))
+SELECT task_uid, 'expanded_sr_top' || 2 * k || '_minADE_candidate_set' AS method, arg_min(method, row(ADE, method)) AS source_method, round(min(ADE), 6) + 0.0 AS ADE, (2 * k)::BIGINT AS candidate_set_k, k::BIGINT AS diverse_sr_k, k::BIGINT AS latent_direct_k, true AS oracle_within_generated_set FROM es GROUP BY task_uid, k""")
+def expanded_sets(spark, sf):
+    out = selection.expanded_oracle(pool_rows(spark, sf))
+    return out.select("task_uid", "method", "source_method", r6("ADE"), "candidate_set_k", "diverse_sr_k", "latent_direct_k", "oracle_within_generated_set")
+
+
 @query(o.with_(PAIRED) + "SELECT task_uid, CASE method WHEN 'linear' THEN 'Linear' ELSE 'RTG bridge' END AS paper_label, true AS is_deployable_top1 FROM metrics2 WHERE method IN ('linear', 'rtg_bridge')")
 def paper_labels(spark, sf):
     m = evaluate.evaluate(paths_of(spark, sf))

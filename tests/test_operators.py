@@ -208,3 +208,14 @@ def test_coarser_artifacts(spark):
     assert len(rows) == test.count() and {r["count"] for r in rows} == {20}
     none = generators.ecological(test, generators.artifacts(few.limit(0))).groupBy("task_uid").count().collect()
     assert len(none) == len(rows)
+
+
+def test_expanded_sets_on_edges(spark):
+    """One family alone has no sets; null and NaN errors never win; fewer ranks make a smaller name."""
+    kind = "task_uid string, method string, family string, source_rank int, ADE double"
+    d, la = ("motif_diverse_sr", "latent_direct")
+    rows = [("t", "d1", d, 1, float("nan")), ("t", "d2", d, 2, 3.0), ("t", "l1", la, 1, None), ("t", "l4", la, 4, 1.0), ("u", "d1", d, 1, None)]
+    df = spark.createDataFrame(rows, kind)
+    got = {(r.method, r.source_method, r.ADE) for r in selection.expanded_oracle(df, ((3, 3), (5, 5))).collect()}
+    assert got == {("expanded_sr_top3_minADE_candidate_set", "d2", 3.0), ("expanded_sr_top4_minADE_candidate_set", "l4", 1.0)}
+    assert selection.expanded_oracle(df.filter(F.col("family") == d)).count() == selection.expanded_oracle(df.limit(0)).count() == 0
