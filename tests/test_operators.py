@@ -219,3 +219,16 @@ def test_expanded_sets_on_edges(spark):
     got = {(r.method, r.source_method, r.ADE) for r in selection.expanded_oracle(df, ((3, 3), (5, 5))).collect()}
     assert got == {("expanded_sr_top3_minADE_candidate_set", "d2", 3.0), ("expanded_sr_top4_minADE_candidate_set", "l4", 1.0)}
     assert selection.expanded_oracle(df.filter(F.col("family") == d)).count() == selection.expanded_oracle(df.limit(0)).count() == 0
+
+
+def test_pairs_in_many_tasks(spark, monkeypatch):
+    """The product is dealt out over tasks, whichever side is larger and where neither is small, and stays whole."""
+    unit = ["'d' AS dataset", "CAST(id AS string) AS animal_id", "CAST(id % 3 AS string) AS species_id", "CAST(id % 2 AS string) AS habitat_id"]
+    few, many = spark.range(20).selectExpr(*unit), spark.range(60).selectExpr(*unit)
+    kind = lambda s, t: transfer.RELATIONS[2 * (s % 3 != t % 3) + (s % 2 != t % 2)]
+    for limit in (transfer.FEW, 0):
+        monkeypatch.setattr(transfer, "FEW", limit)
+        for a, b, n, m in ((few, many, 20, 60), (many, few, 60, 20)):
+            rows = transfer.pairs(a, b, cell=100).select("source_animal_id", "target_animal_id", "transfer_relation", F.spark_partition_id().alias("task")).collect()
+            want = [(str(s), str(t), kind(s, t)) for s in range(n) for t in range(m) if s != t]
+            assert sorted(tuple(r)[:3] for r in rows) == sorted(want) and len({r.task for r in rows}) > 5
