@@ -232,3 +232,17 @@ def test_pairs_in_many_tasks(spark, monkeypatch):
             rows = transfer.pairs(a, b, cell=100).select("source_animal_id", "target_animal_id", "transfer_relation", F.spark_partition_id().alias("task")).collect()
             want = [(str(s), str(t), kind(s, t)) for s in range(n) for t in range(m) if s != t]
             assert sorted(tuple(r)[:3] for r in rows) == sorted(want) and len({r.task for r in rows}) > 5
+
+
+def test_family_benchmark(spark):
+    """All families are evaluated over all test gaps, and the plan that is left has no family's plan in it."""
+    got = plans.family_benchmark(spark, SF)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    rows = {r.method: r for r in got.collect()}
+    train, test = plans.split_tasks(spark, SF)
+    n = test.count()
+    assert sum(m.startswith("pretrained_motif_") for m in rows) == 8 + 48 + 1 and len([m for m in rows if "ecological" in m]) == 20
+    assert all(r.n_tasks == n for m, r in rows.items() if "diverse" not in m and "latent" not in m)
+    assert rows["linear"].ade_ratio_to_linear_median == 1.0 and rows["endpoint_fallback"].ADE_median == rows["linear"].ADE_median
+    errors = [r.ADE for r in plans.evaluate.evaluate(plans.evaluate.baselines(test).filter("method = 'rtg_bridge'")).collect()]
+    assert abs(rows["rtg_bridge"].ADE_median - np.median(errors)) < 1e-5
