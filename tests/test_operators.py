@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -93,6 +94,26 @@ def test_nearest_blocks(spark):
         assert {(r.id, r.hit) for r in library.nearest(df.filter("id < 20"), df, 7, block).collect()} == want
 
 
+def test_library_cut(spark):
+    """A library cut to fewer motifs has those of the smallest hashes; no limit over a sort is in its plan, whose order executors do not keep."""
+    train, _ = plans.split_tasks(spark, SF)
+    uids = [r.task_uid for r in train.select("task_uid").collect()]
+    want = sorted(uids, key=lambda u: (hashlib.md5(u.encode()).hexdigest()[:12], u))
+    for most in (0, 1, len(uids) // 2, len(uids), len(uids) + 5):
+        made = library.build(train, most)
+        assert sorted(r.source_task_uid for r in made.collect()) == sorted(want[:most])
+        assert "Limit" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_by_hash(spark):
+    """Equal ids are rows like others, on whichever side of the cut."""
+    df = spark.createDataFrame([(str(i // 3), i) for i in range(300)] + [(None, 300)], "uid string, v int").repartition(7)
+    want = sorted((hashlib.md5(str(i // 3).encode()).hexdigest()[:12], str(i // 3)) for i in range(300))
+    for most in (2, 101, 299):
+        got = [r.uid for r in splits.first_by_hash(df, "uid", most).collect()]
+        assert sorted(got, key=str) == sorted([None, *(u for _, u in want[: most - 1])], key=str)
+
+
 def test_scoring(spark):
     """Ranks are a permutation, probabilities add up, candidates keep the ends and the bound."""
     scored, test = plans.scored_of(spark, SF)
