@@ -267,3 +267,11 @@ def test_family_benchmark(spark):
     assert rows["linear"].ade_ratio_to_linear_median == 1.0 and rows["endpoint_fallback"].ADE_median == rows["linear"].ADE_median
     errors = [r.ADE for r in plans.evaluate.evaluate(plans.evaluate.baselines(test).filter("method = 'rtg_bridge'")).collect()]
     assert abs(rows["rtg_bridge"].ADE_median - np.median(errors)) < 1e-5
+
+
+def test_adaptive_blends_plan(spark):
+    """The candidates are staged: what is left to plan has neither retrieval nor scoring in it."""
+    got = plans.QUERIES["adaptive_blends"](spark, SF)
+    assert len(got._jdf.queryExecution().executedPlan().toString()) < 300_000
+    _, test = plans.split_tasks(spark, SF)
+    assert got.select("task_uid", "method").distinct().count() == 4 * test.count()
