@@ -255,6 +255,16 @@ def test_pairs_in_many_tasks(spark, monkeypatch):
             assert sorted(tuple(r)[:3] for r in rows) == sorted(want) and len({r.task for r in rows}) > 5
 
 
+def test_pairs_are_compact(spark, tmp_path):
+    """Pairs are made in an order that files store in a small part of a byte a row."""
+    unit = ["'d' AS dataset", "CAST(id AS string) AS animal_id", "CAST(id % 25 AS string) AS species_id", "CAST(id % 5 AS string) AS habitat_id"]
+    a = spark.range(2500).selectExpr(*unit)
+    transfer.pairs(a, a).select("source_animal_id", "target_animal_id", "transfer_relation").write.parquet(out := str(tmp_path / "pairs"))
+    rows = spark.read.parquet(out).groupBy("transfer_relation").count().collect()
+    assert {r.transfer_relation: r["count"] for r in rows} == {"same_species_same_habitat": 2500 * 99, "different_species_same_habitat": 2500 * 400, "different_species_different_habitat": 2500 * 2000}
+    assert sum(os.path.getsize(p) for p in glob.glob(f"{out}/*.parquet")) < 0.2 * 2500 * 2499
+
+
 def test_family_benchmark(spark):
     """All families are evaluated over all test gaps, and the plan that is left has no family's plan in it."""
     got = plans.family_benchmark(spark, SF)
