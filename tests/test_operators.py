@@ -105,6 +105,24 @@ def test_library_cut(spark):
         assert "Limit" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+WHOLE = ["adaptive_blends"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_library(spark, monkeypatch, name):
+    """Every training gap is a motif: neither code nor SQL cuts the library."""
+
+    def cut(*_):
+        raise AssertionError("the library is cut")
+
+    monkeypatch.setattr(library, "first_by_hash", cut)
+    if name in plans.SQL:
+        assert "LIMIT 25000" not in plans.SQL[name]
+        assert plans.QUERIES[name](spark, SF).columns
+    else:
+        assert len(plans.family_paths(*plans.split_tasks(spark, SF))) == 6
+
+
 def test_first_by_hash(spark):
     """Equal ids are rows like others, on whichever side of the cut."""
     df = spark.createDataFrame([(str(i // 3), i) for i in range(300)] + [(None, 300)], "uid string, v int").repartition(7)
