@@ -105,7 +105,7 @@ def test_library_cut(spark):
         assert "Limit" not in made._jdf.queryExecution().executedPlan().toString()
 
 
-WHOLE = ["adaptive_blends", "anchor_methods"]
+WHOLE = ["adaptive_blends", "anchor_methods", "diverse_sr"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
