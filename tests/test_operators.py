@@ -105,7 +105,7 @@ def test_library_cut(spark):
         assert "Limit" not in made._jdf.queryExecution().executedPlan().toString()
 
 
-WHOLE = ["adaptive_blends", "anchor_methods", "diverse_sr", "family_benchmark", "guarded_paths", "representatives"]
+WHOLE = ["adaptive_blends", "anchor_methods", "diverse_sr", "family_benchmark", "guarded_paths", "representatives", "retrieve_rerank"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
